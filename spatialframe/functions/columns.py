@@ -52,3 +52,7 @@ def stars(p: Column) -> Column:
     return (F.when(p.isNull() | F.isnan(p), "ns")
             .when(p < 1e-3, "***").when(p < 1e-2, "**").when(p < 0.05, "*")
             .otherwise("ns"))
+
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))

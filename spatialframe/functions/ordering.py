@@ -58,19 +58,26 @@ def exact_percentiles(df: DataFrame, by, specs: dict[str, tuple[str | Column, fl
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
     hit = (long.join(brackets, same)
            .select(*keys, "__m", "__v", "__n", F.explode("__w").alias("__b"))
-           .where("__v <= __b.hi")
-           .select(*keys, "__m", "__n", F.col("__b.w").alias("__w"), F.col("__b.p").alias("__p"),
-                   F.expr("case when __v >= __b.lo then __v end").alias("__v")))
-    counts = hit.groupBy(*keys, "__m", "__w", "__p", "__n", "__v").agg(F.count(F.lit(1)).alias("__c"))
-    order = W.partitionBy(*keys, "__m", "__w").orderBy(F.col("__v").asc_nulls_first())
+           .select(*keys, "__m", "__n", F.col("__b.w").alias("__w"), F.col("__b.p").alias("__p"), "__v",
+                   F.expr("case when __v < __b.lo then 0 when __v <= __b.hi then 1 else 2 end").alias("__z")))
+    counts = (hit.groupBy(*keys, "__m", "__w", "__p", "__n", "__z", F.expr("case when __z = 1 then __v end").alias("__x"))
+              .agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__first"), F.max("__v").alias("__last")))
+    order = W.partitionBy(*keys, "__m", "__w").orderBy("__z", "__x")
     placed = (counts
               .withColumn("__hi", F.sum("__c").over(order.rowsBetween(W.unboundedPreceding, 0)))
               .withColumn("__lo", F.col("__hi") - F.col("__c"))
               .withColumn("__h", (F.col("__n") - 1) * F.col("__p"))
-              .where("__v is not null and __hi > floor(__h) and __lo <= ceil(__h)"))
+              .where("__hi > floor(__h) and __lo <= ceil(__h)"))
+
+    def at(k):
+        # a wanted rank lies inside the bracket, or is the last value below it or the first above it
+        return F.expr(
+            f"case when __lo > {k} or __hi <= {k} then null when __z = 1 then __x "
+            f"when __z = 0 and __hi = {k} + 1 then __last when __z = 2 and __lo = {k} then __first "
+            f"else cast(raise_error('rank outside its bracket') as double) end")
+
     stat = placed.groupBy(*keys, "__m", "__w", "__h").agg(
-        F.max(F.expr("case when __lo <= floor(__h) and __hi > floor(__h) then __v end")).alias("__a"),
-        F.max(F.expr("case when __lo <= ceil(__h) and __hi > ceil(__h) then __v end")).alias("__z"))
+        F.max(at("floor(__h)")).alias("__a"), F.max(at("ceil(__h)")).alias("__z"))
     stat = stat.withColumn("__s", F.expr("__a + (__z - __a) * (__h - floor(__h))"))
     out = [
         F.max(F.when((F.col("__m") == m) & (F.col("__w") == probs.index(p)), F.col("__s"))).alias(name)

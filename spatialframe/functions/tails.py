@@ -10,6 +10,7 @@ from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _NORMAL = NormalDist()
 
@@ -18,13 +19,13 @@ def _finite(*xs) -> bool:
     return all(x is not None and not pd.isna(x) for x in xs)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_sf(z: pd.Series) -> pd.Series:
     """Upper tail of the standard normal."""
     return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2.0)) if _finite(v) else None).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_isf(p: pd.Series) -> pd.Series:
     """Inverse of the upper tail; p of exactly 0 or 1 gives an infinite value, as in the definition."""
     def f(v):
@@ -52,7 +53,7 @@ def _binom_two_sided(k: int, n: int) -> float:
     return min(1.0, 2.0 * tail)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binom_two_sided(k: pd.Series, n: pd.Series) -> pd.Series:
     """Exact two-sided sign-test p. Terms more than 4,000 below the edge are under double precision
     unless the edge is near n/2 for a huge n, where the nearest 4,000 terms are summed and the normal
@@ -102,7 +103,7 @@ def _t_cdf(t: float, df: float) -> float:
     return 1.0 - inc / 2.0 if t >= 0 else inc / 2.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
     """Student t quantile by bisection on the exact distribution function."""
     def f(pp, dd):

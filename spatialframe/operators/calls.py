@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import as_list, exact_percentiles
+from ..functions import as_list, n_rows, exact_percentiles
 from .stats import signflip_exact
 from .windows import top_n_per_group
 
-N = F.count(F.lit(1))
 BY = ["setting", "method"]
 
 
 def call_composition(calls: DataFrame, levels, by=BY) -> DataFrame:
     """Entities per call, unscored entities included, with zero rows for absent calls."""
     by = as_list(by)
-    n = calls.groupBy(*by, F.coalesce("call", F.lit("unscored")).alias("call")).agg(N.alias("n"))
+    n = calls.groupBy(*by, F.coalesce("call", F.lit("unscored")).alias("call")).agg(n_rows().alias("n"))
     grid = n.select(*by).distinct().withColumn("call", F.explode(F.array(*[F.lit(v) for v in levels])))
     return grid.join(n, [*by, "call"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
@@ -24,10 +23,10 @@ def method_summary(calls: DataFrame, singlet: str = "singlet", by=BY) -> DataFra
     by = as_list(by)
     scored = F.col("call").isNotNull()
     a = calls.groupBy(*by).agg(
-        N.alias("n_entities"), F.count_if(scored).alias("n_scored"),
+        n_rows().alias("n_entities"), F.count_if(scored).alias("n_scored"),
         F.avg((~scored).cast("double")).alias("frac_unscored"),
         F.count_if(F.col("call") == singlet).alias("n_singlet"),
-        (F.count_if(F.col("call") == singlet) / N).alias("singlet_frac_of_entities"))
+        (F.count_if(F.col("call") == singlet) / n_rows()).alias("singlet_frac_of_entities"))
     q = exact_percentiles(calls.where(scored), by, {"max_weight_median": ("max_weight", .5), "entropy_median": ("entropy", .5)})
     return a.join(q, by, "left")
 
@@ -45,7 +44,7 @@ def arm_counts(df: DataFrame, label: str = "label", arm: str = "arm", conf: str
     """Per arm and type, and per arm over all types: size, share, median depth, confidence."""
     both = df.withColumn("_level", F.explode(F.array(F.col(label), F.lit("ALL"))))
     g = both.groupBy(arm, "_level").agg(
-        N.alias("n"), F.avg(conf).alias("mean_conf"), F.avg((F.col(conf) < low).cast("double")).alias("low_conf_frac"))
+        n_rows().alias("n"), F.avg(conf).alias("mean_conf"), F.avg((F.col(conf) < low).cast("double")).alias("low_conf_frac"))
     q = exact_percentiles(both, [arm, "_level"], {"median_tx": (depth, .5)})
     tot = g.where("_level = 'ALL'").select(arm, F.col("n").alias("_t"))
     return (g.join(q, [arm, "_level"], "left").join(tot, arm)
@@ -58,7 +57,7 @@ def paired_vs_baseline(df: DataFrame, baseline: str, unit: str = "setting", name
     base = df.where(F.col(name) == baseline).select(unit, metric, F.col(value).alias("_base"))
     d = (df.where(F.col(name) != baseline).join(base, [unit, metric])
          .withColumn("_d", F.col(value) - F.col("_base")).where("_d is not null"))
-    g = d.groupBy(name, metric).agg(N.alias("n_units"), F.median("_d").alias("median_delta"),
+    g = d.groupBy(name, metric).agg(n_rows().alias("n_units"), F.median("_d").alias("median_delta"),
                                     F.min("_d").alias("min_delta"), F.max("_d").alias("max_delta"),
                                     F.count_if(F.col("_d") > 0).alias("n_positive"))
     return g.join(signflip_exact(d, [name, metric], "_d").select(name, metric, "p"), [name, metric], "left")

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions import as_list, prefix_sums
+from ..functions import as_list, n_rows, prefix_sums
 from ..functions.tails import binom_two_sided, normal_isf, normal_sf, t_quantile
 
-N = F.count(F.lit(1))
 
 
 def bh_adjust(df: DataFrame, p: str, by=(), out: str = "q") -> DataFrame:
@@ -21,7 +20,7 @@ def bh_adjust(df: DataFrame, p: str, by=(), out: str = "q") -> DataFrame:
     one = None if by else "__all"
     base = df.withColumn(one, F.lit(1)) if one else df
     keys = by or [one]
-    vals = base.where(ok).groupBy(*keys, F.col(p).cast("double").alias("__p")).agg(N.alias("__c"))
+    vals = base.where(ok).groupBy(*keys, F.col(p).cast("double").alias("__p")).agg(n_rows().alias("__c"))
     tot = vals.groupBy(*keys).agg(F.sum("__c").alias("__n"))
     placed = prefix_sums(vals, keys, "__p", {"__before": "__c"}).join(tot, keys)
     adj = placed.withColumn("__a", F.col("__p") * F.col("__n") / (F.col("__before") + F.col("__c")))
@@ -41,7 +40,7 @@ def signflip_exact(df: DataFrame, by, d: str) -> DataFrame:
     """Exact two-sided paired sign-flip test per group, over all sign patterns of its few differences."""
     by = as_list(by)
     g = (df.where(F.col(d).isNotNull() & ~F.isnan(d)).groupBy(*by)
-         .agg(N.alias("n"), F.collect_list(F.col(d).cast("double")).alias("_v")))
+         .agg(n_rows().alias("n"), F.collect_list(F.col(d).cast("double")).alias("_v")))
     # 2^n patterns: this test is for a handful of units, more must not be enumerated
     g = g.withColumn("_v", F.when(F.col("n") <= 20, F.array_sort("_v"))
                      .otherwise(F.raise_error(F.lit("sign-flip test needs at most 20 units")).cast("array<double>")))
@@ -111,7 +110,7 @@ def sign_test(df: DataFrame, by, value: str) -> DataFrame:
 def average_ranks(df: DataFrame, by, col: str, out: str) -> DataFrame:
     """Ranks with ties averaged, per distinct value."""
     by = as_list(by)
-    v = df.groupBy(*by, F.col(col).cast("double").alias("_v")).agg(N.alias("_c"))
+    v = df.groupBy(*by, F.col(col).cast("double").alias("_v")).agg(n_rows().alias("_c"))
     return (prefix_sums(v, by, "_v", {"_before": "_c"})
             .select(*by, F.col("_v").alias(col), (F.col("_before") + (F.col("_c") + 1) / 2.0).alias(out)))
 
@@ -132,7 +131,7 @@ def rank_correlation(df: DataFrame, x: str, y: str, method: str = "spearman", by
         a, b = x, y
     else:
         raise ValueError(f"unknown method {method}")
-    out = src.groupBy(*keys).agg(N.alias("n"), F.corr(a, b).alias(method))
+    out = src.groupBy(*keys).agg(n_rows().alias("n"), F.corr(a, b).alias(method))
     return out.drop(one) if one else out
 
 
@@ -142,9 +141,9 @@ def cohort_meta(df: DataFrame, enrich: str, p: str, by=()) -> DataFrame:
     l2 = F.log2(F.col(enrich))
     src = df.where(F.col(enrich).isNotNull() & ~F.isnan(enrich) & (F.col(enrich) > 0)).withColumn("_z", normal_isf(p))
     g = src.groupBy(*by).agg(
-        N.alias("n_units"), F.avg(l2).alias("mean_log2"), (F.stddev_samp(l2) / F.sqrt(N)).alias("_se"),
+        n_rows().alias("n_units"), F.avg(l2).alias("mean_log2"), (F.stddev_samp(l2) / F.sqrt(n_rows())).alias("_se"),
         F.median(enrich).alias("median_enrich"), F.count_if(F.col(enrich) > 1).alias("n_enrich_gt1"),
-        (F.sum("_z") / F.sqrt(N)).alias("stouffer_z"), F.count_if(F.col(p) < 0.05).alias("n_p_lt_05"))
+        (F.sum("_z") / F.sqrt(n_rows())).alias("stouffer_z"), F.count_if(F.col(p) < 0.05).alias("n_p_lt_05"))
     half = t_quantile(F.lit(0.975), (F.col("n_units") - 1).cast("double")) * F.col("_se")
     g = g.withColumn("_half", half)
     return (g.withColumns({

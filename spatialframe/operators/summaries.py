@@ -6,19 +6,18 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import as_list, exact_percentiles, rate_per
+from ..functions import as_list, n_rows, exact_percentiles, rate_per
 from .entities import classify_axis
 from .windows import fixed_order
 
-N = F.count(F.lit(1))
 
 
 def inventory(before: DataFrame, after: DataFrame, by="cell_type") -> DataFrame:
     """Entities per type in the original and the refined segmentation, split by whole and partial."""
     by = as_list(by)
-    a = before.groupBy(*by).agg(N.alias("original"))
+    a = before.groupBy(*by).agg(n_rows().alias("original"))
     b = after.groupBy(*by).agg(F.count_if(F.col("etype") == "cell").alias("complete"),
-                               F.count_if(F.col("etype") == "partial").alias("partial"), N.alias("total"))
+                               F.count_if(F.col("etype") == "partial").alias("partial"), n_rows().alias("total"))
     j = a.join(b, by, "full_outer").fillna(0, ["original", "complete", "partial", "total"])
     return j.withColumn("fold", F.when(F.col("original") > 0, F.col("total") / F.col("original")))
 
@@ -26,7 +25,7 @@ def inventory(before: DataFrame, after: DataFrame, by="cell_type") -> DataFrame:
 def composition(df: DataFrame, by, col: str, levels) -> DataFrame:
     """Share of each level of ``col`` per group, with zero rows for levels a group lacks."""
     by = as_list(by)
-    n = df.groupBy(*by, col).agg(N.alias("n"))
+    n = df.groupBy(*by, col).agg(n_rows().alias("n"))
     tot = n.groupBy(*by).agg(F.sum("n").alias("total"))
     grid = tot.withColumn(col, F.explode(F.array(*[F.lit(v) for v in levels])))
     out = grid.join(n, [*by, col], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -48,7 +47,7 @@ def phase_counts(mol: DataFrame, phases: list[str], head: str = "etype_at_") ->
     """Molecules per state at every phase, in one pass."""
     long = mol.select(F.explode(F.array(*[
         F.struct(F.lit(p).alias("phase"), F.col(head + p).cast("int").alias("etype")) for p in phases])).alias("s")).select("s.*")
-    return long.groupBy("phase", "etype").agg(N.alias("n")).withColumn("cls", _class_name("etype"))
+    return long.groupBy("phase", "etype").agg(n_rows().alias("n")).withColumn("cls", _class_name("etype"))
 
 
 def phase_transitions(mol: DataFrame, pairs, head: str = "etype_at_") -> DataFrame:
@@ -57,7 +56,7 @@ def phase_transitions(mol: DataFrame, pairs, head: str = "etype_at_") -> DataFra
     long = mol.select(F.explode(F.array(*[
         F.struct(F.lit(f"{a}->{b}").alias("transition"), F.col(head + a).cast("int").alias("_a"),
                  F.col(head + b).cast("int").alias("_b")) for a, b in pairs])).alias("s")).select("s.*")
-    return (long.groupBy("transition", "_a", "_b").agg(N.alias("n"))
+    return (long.groupBy("transition", "_a", "_b").agg(n_rows().alias("n"))
             .select("transition", _class_name("_a").alias("src"), _class_name("_b").alias("dst"), "n"))
 
 
@@ -90,11 +89,11 @@ def molecule_fate(mol: DataFrame, **cols) -> DataFrame:
 
 def count_matrix(mol: DataFrame, key: str = "entity_id", feature: str = "feature") -> DataFrame:
     """Entity x feature counts as triples."""
-    return mol.groupBy(key, feature).agg(N.alias("count"))
+    return mol.groupBy(key, feature).agg(n_rows().alias("count"))
 
 
 def centroids(mol: DataFrame, key: str = "entity_id") -> DataFrame:
-    return mol.groupBy(key).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), N.alias("n_tx"))
+    return mol.groupBy(key).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), n_rows().alias("n_tx"))
 
 
 # --- entity summaries --------------------------------------------------------------------------------
@@ -115,13 +114,13 @@ def equal_weight_mean(df: DataFrame, by, unit: str, value: str, weight: str) ->
 def depth_summary(df: DataFrame, by, col: str) -> DataFrame:
     by = as_list(by)
     q = exact_percentiles(df, by, {"median": (col, .5), "q25": (col, .25), "q75": (col, .75)})
-    return df.groupBy(*by).agg(N.alias("n"), F.sum(col).alias("total")).join(q, by, "left")
+    return df.groupBy(*by).agg(n_rows().alias("n"), F.sum(col).alias("total")).join(q, by, "left")
 
 
 def composition_without(df: DataFrame, col: str, study: str, drop) -> DataFrame:
     """Counts and shares with and without one study, and the part of each level the study contributed."""
     keep = F.col(study) != F.lit(drop)
-    g = df.groupBy(col).agg(N.alias("n_full"), F.count_if(keep).alias("n_without"))
+    g = df.groupBy(col).agg(n_rows().alias("n_full"), F.count_if(keep).alias("n_without"))
     tot = g.agg(F.sum("n_full").alias("_f"), F.sum("n_without").alias("_w"))
     return (g.join(F.broadcast(tot))
             .select(col, "n_full", "n_without", (F.col("n_full") / F.col("_f")).alias("frac_full"),
@@ -134,7 +133,7 @@ def area_density(ent: DataFrame, arms: dict[str, Column], classes: dict[str, str
     """Tissue area from occupied tiles, fixed per sample, and entities of a class per mm2 in every arm."""
     by = as_list(by)
     tiles = (ent.select(*by, F.floor(F.col("x") / tile).alias("_tx"), F.floor(F.col("y") / tile).alias("_ty"))
-             .distinct().groupBy(*by).agg((N * (tile / unit_per_mm) ** 2).alias("area_mm2")))
+             .distinct().groupBy(*by).agg((n_rows() * (tile / unit_per_mm) ** 2).alias("area_mm2")))
     long = arm_rows(ent, arms)
     n = long.groupBy(*by, "arm").agg(*[F.count_if(F.col("cell_type") == c).alias(f"n_{k}") for k, c in classes.items()])
     return n.join(tiles, by).withColumns({f"{k}_per_mm2": F.col(f"n_{k}") / F.col("area_mm2") for k in classes})
@@ -202,14 +201,14 @@ def binned_trend(df: DataFrame, x: str, y: str, edges: list[float] | None = None
         src = src.withColumns({"_lo": F.get("_b", idx), "_hi": F.get("_b", idx + 1), "bin": idx})
     return (src.where("bin is not null").groupBy(*by, "bin")
             .agg(F.max("_lo").alias("lo"), F.max("_hi").alias("hi"), F.avg(y).alias("mean"),
-                 (F.stddev_samp(y) / F.sqrt(N)).alias("sem"), N.alias("n")))
+                 (F.stddev_samp(y) / F.sqrt(n_rows())).alias("sem"), n_rows().alias("n")))
 
 
 def grid_domains(ent: DataFrame, size: float = 25.0, floor: float = 0.25, by="sample") -> DataFrame:
     """Grid cells in which a type holds at least ``floor`` of the entities, with the cell centre."""
     by = as_list(by)
     b = ent.select(*by, "cell_type", F.floor(F.col("x") / size).alias("_bx"), F.floor(F.col("y") / size).alias("_by"))
-    n = b.groupBy(*by, "_bx", "_by", "cell_type").agg(N.alias("n"))
+    n = b.groupBy(*by, "_bx", "_by", "cell_type").agg(n_rows().alias("n"))
     tot = n.groupBy(*by, "_bx", "_by").agg(F.sum("n").alias("n_bin"))
     return (n.join(tot, [*by, "_bx", "_by"]).withColumn("fraction", F.col("n") / F.col("n_bin"))
             .where(F.col("fraction") >= floor)
@@ -260,7 +259,7 @@ def histogram(df: DataFrame, by, col: str, edges: list[float], log10: bool = Fal
     e = F.array(*[F.lit(float(x)) for x in edges])
     idx = (F.when(v.isNull() | (v < edges[0]) | (v > edges[-1]), None).when(v == edges[-1], len(edges) - 2)
             .otherwise(F.size(F.filter(e, lambda x: x <= v)) - 1))
-    n = df.select(*by, idx.alias("bin")).where("bin is not null").groupBy(*by, "bin").agg(N.alias("n"))
+    n = df.select(*by, idx.alias("bin")).where("bin is not null").groupBy(*by, "bin").agg(n_rows().alias("n"))
     tot = n.groupBy(*by).agg(F.sum("n").alias("_t"))
     j = n.join(tot, by) if by else n.join(F.broadcast(tot))
     width = F.get(e, F.col("bin") + 1) - F.get(e, F.col("bin"))
@@ -285,9 +284,9 @@ def kde_reflected(df: DataFrame, by, col: str, lo: float | None, hi: float | Non
     """
     by = as_list(by)
     src = df.where(F.col(col).isNotNull() & ~F.isnan(col))
-    st = (src.groupBy(*by).agg(N.alias("_n"), F.stddev_samp(col).alias("_sd"))
+    st = (src.groupBy(*by).agg(n_rows().alias("_n"), F.stddev_samp(col).alias("_sd"))
           .where("_n >= 5 and _sd > 0").withColumn("_h", F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2))))
-    vals = src.groupBy(*by, F.col(col).alias("_v")).agg(N.alias("_w"))
+    vals = src.groupBy(*by, F.col(col).alias("_v")).agg(n_rows().alias("_w"))
     j = vals.join(st, by) if by else vals.join(F.broadcast(st))
     step = (grid_hi - grid_lo) / (grid - 1)
     g = F.lit(grid_lo) + F.col("i") * F.lit(step)

@@ -2,3 +2,4 @@
 
 from .registry import ORACLES, QUERIES  # noqa: F401
 from . import queries_tables  # noqa: F401
+from . import queries_summaries  # noqa: F401

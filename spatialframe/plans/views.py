@@ -19,7 +19,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         F.col("event_id").alias("entity_id"),
-        (F.col("user_id") % 6).cast("int").alias("sample"),
+        (F.col("user_id") % 5).cast("int").alias("sample"),
         F.when(F.col("user_id") % 3 == 0, "partial").otherwise("cell").alias("etype"),
         F.when(F.col("event_type") == "click", "T").when(F.col("event_type") == "view", "TAM")
          .when(F.col("event_type") == "purchase", "TUMOR").when(F.col("event_type") == "signup", "B")
@@ -34,7 +34,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ENT_SQL = """ent AS (
-SELECT CAST(event_id AS BIGINT) entity_id, CAST(user_id % 6 AS INT) sample,
+SELECT CAST(event_id AS BIGINT) entity_id, CAST(user_id % 5 AS INT) sample,
   CASE WHEN user_id % 3 = 0 THEN 'partial' ELSE 'cell' END etype,
   CASE event_type WHEN 'click' THEN 'T' WHEN 'view' THEN 'TAM' WHEN 'purchase' THEN 'TUMOR'
                   WHEN 'signup' THEN 'B' ELSE 'STROMA' END cell_type,
