@@ -10,17 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .columns import as_list
+from .durable import durable
 
 ACCURACY = 10_000
 BUCKETS = 1024
 
 
-def exact_percentiles(df: DataFrame, by, specs: dict[str, tuple[str | Column, float]]) -> DataFrame:
+def exact_percentiles(df: DataFrame, by, specs: dict[str, tuple[str | Column, float]], derived: bool = False) -> DataFrame:
     """Interpolated percentiles per group: ``specs`` maps output name -> (column, probability).
 
     Pass one takes a bounded-size sketch per group and reads off, for every wanted rank, a value bracket
     that must contain it. Pass two counts the values below the bracket and the distinct values inside it.
-    NULL and NaN are skipped; a group without any value has no row.
+    NULL and NaN are skipped; a group without any value has no row. Both passes read the input: set ``derived`` where
+    it is the result of joins or aggregates, and it is written once instead of being computed twice.
     """
     by = as_list(by)
     measures = {}
@@ -33,6 +35,8 @@ def exact_percentiles(df: DataFrame, by, specs: dict[str, tuple[str | Column, fl
     keys = by or [one]
     long = (base.select(*keys, F.posexplode(F.array(*[c.cast("double") for c, _ in cols])).alias("__m", "__v"))
             .where("__v is not null and not isnan(__v)"))
+    if derived:
+        long = durable(long)
 
     probs = sorted({p for _, wants in cols for _, p in wants})
     # the sketch may be off by n/ACCURACY ranks: leave twice that on either side
@@ -151,3 +155,18 @@ def take_hash_ranked(df: DataFrame, by, hex_col: str, id_col: str, n_col: str) -
     edge = (kept.where("__edge").withColumn("__r", F.row_number().over(inside))
             .where("__r <= __left").drop("__r"))
     return whole.unionByName(edge).drop("__b", "__left", "__edge")
+
+
+def level_percentiles(hist: DataFrame, by, value: str, count: str, specs: dict[str, float]) -> DataFrame:
+    """Interpolated percentiles from counts per level, for values with few levels (pixel intensities)."""
+    by = as_list(by)
+    w = W.partitionBy(*by).orderBy(value)
+    h = hist.withColumns({"__hi": F.sum(count).over(w.rowsBetween(W.unboundedPreceding, 0)), "__n": F.sum(count).over(W.partitionBy(*by))})
+    h = h.withColumn("__lo", F.col("__hi") - F.col(count))
+    out = []
+    for name, p in specs.items():
+        pos = (F.col("__n") - 1) * p
+        at = lambda k: F.max(F.when((F.col("__lo") <= k) & (F.col("__hi") > k), F.col(value).cast("double")))
+        a, z = at(F.floor(pos)), at(F.ceil(pos))
+        out.append((a + (z - a) * F.max(pos - F.floor(pos))).alias(name))
+    return h.groupBy(*by).agg(*out)

@@ -10,7 +10,8 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import as_list, exact_percentiles, n_rows
+from ..functions import as_list, exact_percentiles, level_percentiles, n_rows
+from ..functions.durable import durable
 from ..functions.tails import binom_two_sided, normal_sf
 from .resample import bootstrap_ci
 from .stats import bh_adjust
@@ -84,13 +85,15 @@ def calibrate_threshold(px: DataFrame, background: DataFrame) -> DataFrame:
     """Per marker over background pixels with signal: pedestal = most frequent value (ties: smallest), threshold = 99th
     percentile of the excess but at least 1, further quantiles and the realised positive share."""
     bg = px.where("value > 0").join(background.select(*RC), RC, "left_semi")
-    hist = bg.groupBy("marker", "value").agg(n_rows().alias("_c"))
-    ped = top_n_per_group(hist, "marker", [F.desc("_c"), "value"], 1).select("marker", F.col("value").alias("pedestal"))
-    ex = bg.join(F.broadcast(ped), "marker").withColumn("s", F.greatest(F.col("value") - F.col("pedestal"), F.lit(0)))
-    q = exact_percentiles(ex, "marker", {"q95": ("s", .95), "q99": ("s", .99), "q999": ("s", .999)})
-    t = q.join(ped, "marker").withColumn("thr", F.greatest("q99", F.lit(1.0)))
+    # all of it follows from the counts per intensity level, which are few however many pixels there are
+    hist = durable(bg.groupBy("marker", "value").agg(n_rows().alias("c")))
+    ped = top_n_per_group(hist, "marker", [F.desc("c"), "value"], 1).select("marker", F.col("value").alias("pedestal"))
+    ex = (hist.join(F.broadcast(ped), "marker").groupBy("marker", F.greatest(F.col("value") - F.col("pedestal"), F.lit(0)).alias("s"))
+          .agg(F.sum("c").alias("c")))
+    q = level_percentiles(ex, "marker", "s", "c", {"q95": .95, "q99": .99, "q999": .999})
+    t = durable(q.join(ped, "marker").withColumn("thr", F.greatest("q99", F.lit(1.0))))
     pos = ex.join(F.broadcast(t.select("marker", "thr")), "marker").groupBy("marker").agg(
-        F.avg((F.col("s") > F.col("thr")).cast("double")).alias("background_pos"), n_rows().alias("n_background"))
+        (F.sum(F.when(F.col("s") > F.col("thr"), F.col("c")).otherwise(0)) / F.sum("c")).alias("background_pos"), F.sum("c").alias("n_background"))
     return t.join(pos, "marker")
 
 
@@ -109,8 +112,9 @@ def channel_stats(foot: DataFrame, px: DataFrame, thr: DataFrame, dist: DataFram
 def channel_summary(px: DataFrame, roles: dict[str, str]) -> DataFrame:
     """Per channel: 99th percentile, maximum, extent and role."""
     role = F.create_map(*[F.lit(v) for kv in roles.items() for v in kv])
+    p99 = level_percentiles(px.groupBy("marker", "value").agg(n_rows().alias("c")), "marker", "value", "c", {"p99": .99})
     g = px.groupBy("marker").agg(F.max("value").alias("max"), (F.max("row") - F.min("row") + 1).alias("height"), (F.max("col") - F.min("col") + 1).alias("width"), n_rows().alias("n_px"))
-    return g.join(exact_percentiles(px, "marker", {"p99": ("value", .99)}), "marker").withColumn("role", F.coalesce(F.try_element_at(role, F.col("marker")), F.lit("panel")))
+    return g.join(p99, "marker").withColumn("role", F.coalesce(F.try_element_at(role, F.col("marker")), F.lit("panel")))
 
 
 def residual_mask(px: DataFrame, cuts: dict[str, float], dist: DataFrame, n_channels: int = 2, far: float = 2.0) -> DataFrame:
@@ -178,14 +182,14 @@ def specificity_matrix(stats: DataFrame, null: DataFrame, by=("entity_class", "c
     if canon:
         m = F.create_map(*[F.lit(v) for kv in canon.items() for v in kv])
         j = j.withColumn("is_canonical", F.coalesce(F.try_element_at(m, F.col("cell_type")) == F.col("marker"), F.lit(False)))
-    med = exact_percentiles(j, by, {"_m": ("log2_enrich", .5)})
-    j = j.join(med, by, "left").withColumn("rel_log2", F.col("log2_enrich") - F.col("_m")).drop("_m")
-    return bh_adjust(j.withColumn("p_z", 2.0 * normal_sf(F.abs("z"))), "p_z", out="q_bh")
+    j = durable(j)  # one row per class, type and marker
+    j = j.join(exact_percentiles(j, by, {"_m": ("log2_enrich", .5)}), by, "left").withColumn("rel_log2", F.col("log2_enrich") - F.col("_m")).drop("_m")
+    return bh_adjust(durable(j.withColumn("p_z", 2.0 * normal_sf(F.abs("z")))), "p_z", out="q_bh")
 
 
 def marker_distribution(stats: DataFrame, null: DataFrame, thr: DataFrame, cls: str = "entity_class", n: int = 400, seed=0, min_px: int = 8) -> DataFrame:
     """Per marker and class: mean with bootstrap interval, medians, enrichment over the null, and the calibration."""
-    s = stats.where(F.col("n_px") >= min_px)
+    s = durable(stats.where(F.col("n_px") >= min_px))
     by = ["marker", cls]
     g = s.groupBy(*by).agg(n_rows().alias("n"), F.avg("pos").alias("mean_pos"), F.avg("int").alias("mean_int"))
     q = exact_percentiles(s, by, {"median_pos": ("pos", .5), "median_int": ("int", .5)})
@@ -200,7 +204,7 @@ def near_far(stats: DataFrame, canon: dict[str, str], cls: str = "entity_class",
     difference, sign test and retention."""
     m = F.create_map(*[F.lit(v) for kv in canon.items() for v in kv])
     s = stats.where((F.col("n_px") >= min_px) & (F.try_element_at(m, F.col(label)) == F.col("marker")) & F.col("pos_near").isNotNull() & F.col("pos_far").isNotNull())
-    s = s.withColumn("d", F.col("pos_far") - F.col("pos_near"))
+    s = durable(s.withColumn("d", F.col("pos_far") - F.col("pos_near")))
     by = [label, "marker", cls]
     g = s.groupBy(*by).agg(n_rows().alias("n_paired"), F.avg("pos_near").alias("mean_within"), F.avg("pos_far").alias("mean_beyond"), F.avg("d").alias("mean_diff"),
                            F.count_if(F.col("d") != 0).alias("n_discordant"), F.count_if(F.col("d") > 0).alias("n_beyond_higher")).where(F.col("n_paired") >= min_n)

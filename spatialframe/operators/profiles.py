@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import as_list, exact_percentiles, hash_hex, hash_unit, n_rows, rarefied_detection, rate_per
+from ..functions.durable import durable
 from .entities import sample_cap
 from .windows import top_n_per_group
 
@@ -42,7 +43,7 @@ def member_rows(df: DataFrame, pops: dict[str, Column], out: str = "population")
 
 def population_summary(df: DataFrame, pops: dict[str, Column], rate: str, depth: str = "n_tx") -> DataFrame:
     """Per population: size, mean and median rate, share positive and median depth."""
-    m = member_rows(df, pops)
+    m = durable(member_rows(df, pops).select("population", rate, depth))
     g = m.groupBy("population").agg(n_rows().alias("n"), F.avg(rate).alias("mean_rate"), F.avg((F.col(rate) > 0).cast("double")).alias("frac_pos"))
     return g.join(exact_percentiles(m, "population", {"median_rate": (rate, .5), "median_depth": (depth, .5)}), "population", "left")
 
@@ -207,6 +208,7 @@ def select_anchors(counts: DataFrame, labels: DataFrame, cap: int = 5000, floor:
     top = top_n_per_group(score, label, [F.desc("_spec"), "feature"], n_top).select(label, "feature", F.lit(True).alias("_top"))
     ent = (joined.join(top, [label, "feature"], "left").groupBy(key, label)
            .agg(F.sum("count").alias("depth"), F.coalesce(F.sum(F.when(F.col("_top"), F.col("_l"))), F.lit(0.0)).alias("score")))
+    ent = durable(ent)
     cuts = exact_percentiles(ent, label, {"_d10": ("depth", .1), "_m50": ("score", .5)})
     e = ent.join(cuts, label).join(n_class, label)
     deep = F.col("depth") >= F.col("_d10")

@@ -189,7 +189,7 @@ def radius_sensitivity(ent: DataFrame, axis, radii, conf_q, n: int, seed, by, id
     """Observed mixed edges and their permutation p over radii and confidence floors; both parameters are columns."""
     by = as_list(by)
     classes = F.col("cell_type").isin(as_list(axis[1]) + as_list(axis[3]))
-    e = confidence_floors(ent.where(classes), conf_q, by)
+    e = durable(confidence_floors(ent.where(classes), conf_q, by))
     keys = [*by, "conf_q"]
     obs = observed_mixed(e, axis, radii, keys, id)
     null = permutation_null(e, axis, radii, n, seed, keys, id)
@@ -217,7 +217,7 @@ def bootstrap_draws(df: DataFrame, by, col: str, stat: str, n: int, seed, id: st
         return x.groupBy(*by, "rep").agg((F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("stat"))
     if stat == "median":
         y = x.withColumn("_v", F.explode(F.array_repeat("_v", F.col("_w").cast("int"))))
-        return exact_percentiles(y, [*by, "rep"], {"stat": ("_v", .5)})
+        return exact_percentiles(y, [*by, "rep"], {"stat": ("_v", .5)}, derived=True)
     raise ValueError(f"unknown statistic {stat}")
 
 
@@ -270,11 +270,11 @@ def identity_null(rows: DataFrame, n_types: int, n: int, seed, by, key: str = "e
     by = as_list(by)
     src = rows.where(F.col("k") >= n_types - 1)
     size = src.groupBy(*by).agg(n_rows().alias("n")).where(F.col("n") >= min_n)
-    src = src.join(size.select(*by), by, "left_semi").withColumn("d", contrast_at(F.col("code")))
+    src = durable(src.join(size.select(*by), by, "left_semi").withColumn("d", contrast_at(F.col("code"))))
     other = lambda draw: F.pmod(F.col("code") + 1 + F.pmod(hash_int(seed, draw, F.col(key)), F.lit(n_types - 1)), F.lit(n_types)).cast("int")
     obs = src.groupBy(*by).agg(F.avg("d").alias("mean_delta"), F.avg((F.col("d") > 0).cast("double")).alias("frac_positive_delta"))
-    med = exact_percentiles(src.withColumn("_s", contrast_at(F.pmod(F.col("code") + 1, F.lit(n_types)).cast("int"))), by,
-                            {"median_delta": ("d", .5), "median_delta_swapped_map": ("_s", .5)})
+    med = durable(exact_percentiles(src.withColumn("_s", contrast_at(F.pmod(F.col("code") + 1, F.lit(n_types)).cast("int"))), by,
+                            {"median_delta": ("d", .5), "median_delta_swapped_map": ("_s", .5)}))
     drawn = src.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_x", contrast_at(other(F.col("draw"))))
     nul = exact_percentiles(drawn.select(*by, "draw", "_x"), [*by, "draw"], {"_m": ("_x", .5)})
     nul = nul.join(med.select(*by, "median_delta"), by).groupBy(*by).agg(
@@ -297,6 +297,7 @@ def lineage_identity(df: DataFrame, case: Column, other: Column, state: Column,
     ``df`` carries the columns of ``module_rate`` for ``module``.
     """
     by = as_list(by)
+    df = durable(df)
     c, o, s = df.where(case), df.where(other), df.where(state)
     ok = c.groupBy(*by).agg(n_rows().alias("_n")).where(F.col("_n") >= min_case).select(*by)
     c = c.join(ok, by, "left_semi")
@@ -306,6 +307,7 @@ def lineage_identity(df: DataFrame, case: Column, other: Column, state: Column,
     tag = lambda d, g: d.select(*by, "n_tx", F.col(f"{module}_k").alias("k"), F.col(f"{module}_rate").alias("rate"), F.lit(g).alias("grp"))
     groups = ["case", "matched", "raw", "state"]
     rows = reduce(lambda a, b: a.unionByName(b), [tag(d, g) for d, g in zip((c, matched, o.join(ok, by, "left_semi"), matched_s), groups)])
+    rows = durable(rows)
     rare = rarefied_detection(F.greatest("n_tx", F.lit(1)), F.col("k"), d_rare)
     m = lambda g, v: F.avg(F.when(F.col("grp") == g, v))
     pos = (F.col("k") > 0).cast("double")
@@ -322,9 +324,9 @@ def proximity_audit(ent: DataFrame, target: Column, case: Column, control: Colum
     """Nearest distance to a target class: raw, relative to all entities, and case against control, with bootstrap
     intervals of the two ratios and a rank test that the case lies closer."""
     by = as_list(by)
-    d = durable(nearest(ent, ent.where(target), by, src_id=id, tgt_id=id).select(*by, id, "dist"))
+    d = nearest(ent, ent.where(target), by, src_id=id, tgt_id=id).select(*by, id, "dist")
     lab = ent.select(*by, id, F.when(case, "case").when(control, "control").otherwise("rest").alias("grp"))
-    x = d.join(lab, [*by, id])
+    x = durable(d.join(lab, [*by, id]))
     both = x.withColumn("g", F.explode(F.array("grp", F.lit("all")))).where("g <> 'rest'")
     q = exact_percentiles(both, [*by, "g"], {"m": ("dist", .5)})
     p = lambda g: F.max(F.when(F.col("g") == g, F.col("m")))

@@ -231,7 +231,7 @@ def niche_metric(src: DataFrame, tgt: DataFrame, by, r: float = 20.0) -> DataFra
     n = (src.groupBy(*by).agg(n_rows().alias("n_source"))
          .join(tgt.groupBy(*by).agg(n_rows().alias("n_target")), by, "full_outer").fillna(0, ["n_source", "n_target"]))
     return (n.join(d.groupBy(*by).agg((100.0 * F.avg((F.col("dist") <= r).cast("double"))).alias("pct_within")), by, "left")
-            .join(exact_percentiles(d, by, {"median_dist": ("dist", .5)}), by, "left"))
+            .join(exact_percentiles(d, by, {"median_dist": ("dist", .5)}, derived=True), by, "left"))
 
 
 # --- sliding windows ---------------------------------------------------------------------------------

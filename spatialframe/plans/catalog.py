@@ -6,3 +6,4 @@ from . import queries_summaries  # noqa: F401
 from . import queries_spatial  # noqa: F401
 from . import queries_profiles  # noqa: F401
 from . import queries_resample  # noqa: F401
+from . import queries_pixels  # noqa: F401
