@@ -293,6 +293,7 @@ def capture_ratio(windows: DataFrame, res: DataFrame, px: DataFrame, foot: DataF
 
     Windows are keyed by the cells of their own size that they touch, so the joins are equi-joins.
     """
+    windows = durable(windows)
     tiles = windows.select("wr", "wc", "r0", "c0", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])).alias("o"))
     tiles = tiles.select("wr", "wc", "r0", "c0", (F.floor(F.col("r0") / w) + F.col("o.i")).alias("_tr"), (F.floor(F.col("c0") / w) + F.col("o.j")).alias("_tc"))
     inside = (F.col("row") >= F.col("r0")) & (F.col("row") < F.col("r0") + w) & (F.col("col") >= F.col("c0")) & (F.col("col") < F.col("c0") + w)
@@ -301,14 +302,14 @@ def capture_ratio(windows: DataFrame, res: DataFrame, px: DataFrame, foot: DataF
         return (d.withColumns({"_tr": F.floor(F.col("row") / w), "_tc": F.floor(F.col("col") / w)}).join(tiles, ["_tr", "_tc"]).where(inside).drop("_tr", "_tc"))
 
     key = ["wr", "wc"]
-    r = clip(res.where("residual").select(*RC)).select(*key, *RC)
+    r = durable(clip(res.where("residual").select(*RC)).select(*key, *RC))
     n_res = r.groupBy(*key).agg(n_rows().alias("n_res"))
     lin = F.create_map(*[F.lit(v) for t, m in canon.items() for v in (t, m)])
     f = clip(foot.where(F.col(label).isin(list(canon))).select(label, *RC).distinct()).select(*key, "r0", "c0", label, *RC)
-    fm = dilate(f, grow, "cross", [*key, "r0", "c0", label], inside).select(*key, label, *RC)
-    present = f.select(*key, label).distinct().withColumn("marker", F.try_element_at(lin, F.col(label)))
+    fm = durable(dilate(f, grow, "cross", [*key, "r0", "c0", label], inside).select(*key, label, *RC))
+    present = fm.select(*key, label).distinct().withColumn("marker", F.try_element_at(lin, F.col(label)))
     pos = px.join(F.broadcast(thr.select("marker", "pedestal", "thr")), "marker").where(F.col("value") - F.col("pedestal") > F.col("thr")).select("marker", *RC)
-    rp = r.join(pos, RC).join(present, [*key, "marker"])
+    rp = durable(r.join(pos, RC).join(present, [*key, "marker"]))
     pr = rp.groupBy(*key, label).agg(n_rows().alias("pr"))
     cap = rp.join(fm, [*key, label, *RC], "left_semi").groupBy(*key, label).agg(n_rows().alias("cap"))
     area = fm.join(r, [*key, *RC], "left_semi").groupBy(*key, label).agg(n_rows().alias("area"))

@@ -282,7 +282,8 @@ def identity_null(rows: DataFrame, n_types: int, n: int, seed, by, key: str = "e
         ((F.count_if(F.col("_m") >= F.col("median_delta")) + 1) / F.lit(n + 1)).alias("p_perm"))
     pair = src.withColumn("_v", F.explode(F.array(F.struct(F.lit("own").alias("g"), F.col("d").alias("v")),
                                                   F.struct(F.lit("null").alias("g"), contrast_at(other(F.lit(-1))).alias("v")))))
-    cd = cliffs_delta(pair.select(*by, "_v.g", "_v.v"), by, "v", "g", "own").select(*by, F.col("delta").alias("cliffs_delta_vs_null"))
+    # contrasts that are equal but for rounding must tie
+    cd = cliffs_delta(pair.select(*by, "_v.g", F.round("_v.v", 9).alias("v")), by, "v", "g", "own").select(*by, F.col("delta").alias("cliffs_delta_vs_null"))
     out = reduce(lambda a, b: a.join(b, by), [size, obs, med, nul, cd])
     return out.withColumn("z_vs_null", (F.col("median_delta") - F.col("null_median")) / F.greatest("null_sd", F.lit(1e-12)))
 

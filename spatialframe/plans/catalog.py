@@ -7,3 +7,4 @@ from . import queries_spatial  # noqa: F401
 from . import queries_profiles  # noqa: F401
 from . import queries_resample  # noqa: F401
 from . import queries_pixels  # noqa: F401
+from . import queries_sources  # noqa: F401

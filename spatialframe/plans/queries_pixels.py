@@ -27,12 +27,10 @@ def dist(spark, sf):
     return d.withColumn("dist", F.coalesce("dist", F.lit(V.DIST_CAP + 1.0)))
 
 
-def background(spark, sf):
-    return dist(spark, sf).where("dist > 3")
-
-
-def thresholds(spark, sf):
-    return durable(X.calibrate_threshold(V.pixels(spark, sf), background(spark, sf)))
+def calibrated(spark, sf):
+    """Distance raster and thresholds, each written once and shared by all that follows."""
+    d = durable(dist(spark, sf))
+    return d, durable(X.calibrate_threshold(V.pixels(spark, sf), d.where("dist > 3")))
 
 
 THR_SQL = """bg AS (SELECT px.* FROM px JOIN dist USING (row, col) WHERE dist > 3 AND value > 0),
@@ -49,9 +47,9 @@ def classed(spark, sf):
     return V.footprints(spark, sf).withColumn("entity_class", F.when(F.col("sample") <= 2, "cell").otherwise("partial"))
 
 
-def stats(spark, sf):
-    # reused by everything below: the per-entity table is written once, as is the null
-    return durable(X.channel_stats(classed(spark, sf), V.pixels(spark, sf), thresholds(spark, sf), dist(spark, sf), keep=["cell_type", "entity_class"]))
+def stats(spark, sf, ready=None):
+    d, thr = ready or calibrated(spark, sf)
+    return durable(X.channel_stats(classed(spark, sf), V.pixels(spark, sf), thr, d, keep=["cell_type", "entity_class"]))
 
 
 @query("mask_distance", "SELECT row, col, CASE WHEN dist < 7 THEN round(dist,6) END AS dist FROM dist", "dist")
@@ -78,7 +76,7 @@ def _(spark, sf):
 
 @query("calibrate_threshold", f"WITH {THR_SQL} SELECT marker, pedestal, round(q95,6) AS q95, round(q99,6) AS q99, round(q999,6) AS q999, round(thr,6) AS thr, round(CAST(background_pos AS DOUBLE),6) AS background_pos, n_background FROM thr", "dist")
 def _(spark, sf):
-    return r(thresholds(spark, sf), 6, "q95", "q99", "q999", "thr", "background_pos")
+    return r(calibrated(spark, sf)[1], 6, "q95", "q99", "q999", "thr", "background_pos")
 
 
 @query("channel_stats", f"""WITH {STAT_SQL} SELECT entity_id, cell_type, entity_class, marker, n_px, round(int+1e-8,6) AS int, round(pos+1e-8,6) AS pos, round(pos_far+1e-8,6) AS pos_far, round(pos_near+1e-8,6) AS pos_near FROM stats""", ("foot", "dist"))
@@ -91,12 +89,12 @@ def _(spark, sf):
     return r(X.channel_summary(V.pixels(spark, sf), {"A": "mask"}), 6, "p99")
 
 
-CUTS = {"A": 55.0, "N": 75.0, "R": 55.0}
-RES_SQL = """res AS (SELECT t.row, t.col, tissue, coalesce(tissue AND dist>2, false) AS residual FROM (SELECT row, col, count(*) FILTER (value > CASE marker WHEN 'A' THEN 55 WHEN 'N' THEN 75 ELSE 55 END) >= 2 AS tissue FROM px GROUP BY 1,2) t LEFT JOIN dist USING (row, col))"""
+CUTS = {"A": 50.0, "N": 50.0, "R": 50.0}
+RES_SQL = """res AS (SELECT t.row, t.col, tissue, coalesce(tissue AND dist>2, false) AS residual FROM (SELECT row, col, count(*) FILTER (value > 50) >= 2 AS tissue FROM px GROUP BY 1,2) t LEFT JOIN dist USING (row, col))"""
 
 
-def residual(spark, sf):
-    return X.residual_mask(V.pixels(spark, sf), CUTS, dist(spark, sf))
+def residual(spark, sf, d=None):
+    return X.residual_mask(V.pixels(spark, sf), CUTS, dist(spark, sf) if d is None else d)
 
 
 @query("residual_mask", f"WITH {RES_SQL} SELECT * FROM res", "dist")
@@ -117,8 +115,9 @@ NULL_SQL = f"""{SHIFT_SQL}, ft AS (SELECT cell_type, row, col, dist>2 AS far FRO
  nul AS (SELECT marker, shift, cell_type, coalesce(p,0)/CAST(greatest(n,1) AS DOUBLE) AS pos_frac, coalesce(pf,0)/CAST(greatest(nf,1) AS DOUBLE) AS pos_frac_far FROM den CROSS JOIN (SELECT marker FROM thr) CROSS JOIN (SELECT shift FROM sh) LEFT JOIN hit USING (marker, shift, cell_type))"""
 
 
-def null(spark, sf):
-    return durable(X.toroidal_null(V.footprints(spark, sf), V.pixels(spark, sf), thresholds(spark, sf), dist(spark, sf), SHIFTS, G, G))
+def null(spark, sf, ready=None):
+    d, thr = ready or calibrated(spark, sf)
+    return durable(X.toroidal_null(V.footprints(spark, sf), V.pixels(spark, sf), thr, d, SHIFTS, G, G))
 
 
 @query("toroidal_null", f"WITH {THR_SQL}, {NULL_SQL} SELECT marker, shift, cell_type, round(pos_frac,9) AS pos_frac, round(pos_frac_far,9) AS pos_frac_far FROM nul", ("foot", "dist"))
@@ -134,7 +133,8 @@ NS_SQL = "ns AS (SELECT marker, cell_type, avg(pos_frac) AS nm, stddev_samp(pos_
 SELECT entity_class, cell_type, marker, n, round(o,6) AS obs, round(se,6) AS obs_se, round(nm,6) AS null_mean, round(nsd,6) AS null_sd, round(le,6) AS log2_enrich, round(z,5) AS z, round(lef,6) AS log2_enrich_far, round(le - quantile_cont(le,0.5) OVER (PARTITION BY entity_class, cell_type),6) AS rel_log2, coalesce((cell_type='BUILDING' AND marker='A') OR (cell_type='MACHINERY' AND marker='N') OR (cell_type='FURNITURE' AND marker='R'), false) AS is_canonical FROM e""", ("foot", "dist"))
 def _(spark, sf):
     # p and q need a normal tail SQL lacks; they are tested on a fixture
-    s = X.specificity_matrix(stats(spark, sf), null(spark, sf), canon=CANON)
+    ready = calibrated(spark, sf)
+    s = X.specificity_matrix(stats(spark, sf, ready), null(spark, sf, ready), canon=CANON)
     s = r(r(s, 6, "obs", "obs_se", "null_mean", "null_sd", "log2_enrich", "log2_enrich_far", "rel_log2"), 5, "z")
     return s.select("entity_class", "cell_type", "marker", "n", "obs", "obs_se", "null_mean", "null_sd", "log2_enrich", "z", "log2_enrich_far", "rel_log2", "is_canonical")
 
@@ -146,7 +146,8 @@ def _(spark, sf):
 SELECT s.marker, s.entity_class, count(*) AS n, round(avg(pos),6) AS mean_pos, round(quantile_cont(pos,0.5),6) AS median_pos, round(avg(int),6) AS mean_int, round(quantile_cont(int,0.5)+1e-8,6) AS median_int, round(lo,6) AS ci_lo, round(hi,6) AS ci_hi, round(null_pos,6) AS null_pos, pedestal, round(thr,6) AS thr, round(CAST(background_pos AS DOUBLE),6) AS background_pos, round(log2((avg(pos)+1e-4)/(null_pos+1e-4)),6) AS log2_enrich
  FROM stats s JOIN ci USING (marker, entity_class) JOIN np USING (marker) JOIN thr USING (marker) WHERE n_px>=8 GROUP BY s.marker, s.entity_class, lo, hi, null_pos, pedestal, thr, background_pos""", ("foot", "dist"))
 def _(spark, sf):
-    m = X.marker_distribution(stats(spark, sf), null(spark, sf), thresholds(spark, sf), n=10)
+    ready = calibrated(spark, sf)
+    m = X.marker_distribution(stats(spark, sf, ready), null(spark, sf, ready), ready[1], n=10)
     return settle(r(m, 6, "mean_pos", "median_pos", "mean_int", "ci_lo", "ci_hi", "null_pos", "thr", "background_pos", "log2_enrich"), 6, "median_int")
 
 
@@ -212,8 +213,8 @@ def supported(spark, sf):
     return f.groupBy("entity_id").agg(F.first("cell_type").alias("cell_type"), F.floor(F.avg("row")).cast("int").alias("row"), F.floor(F.avg("col")).cast("int").alias("col"))
 
 
-def eligible(spark, sf):
-    return X.scan_windows(residual(spark, sf), supported(spark, sf), W, STRIDE, tissue=0.3, residual=0.1)
+def eligible(spark, sf, res=None):
+    return X.scan_windows(residual(spark, sf) if res is None else res, supported(spark, sf), W, STRIDE, tissue=0.3, residual=0.1)
 
 
 @query("scan_windows", f"WITH {WIN_SQL} SELECT wr, wc, r0, c0, round(tissue_frac,6) AS tissue_frac, round(residual_frac,6) AS residual_frac, n_supported, CAST(n_types AS INT) AS n_types, types FROM elig", ("foot", "dist"))
@@ -225,15 +226,17 @@ def _(spark, sf):
  fw AS (SELECT DISTINCT wr, wc, r0, c0, f.cell_type, f.row, f.col FROM elig JOIN (SELECT * FROM foot WHERE cell_type IN ('BUILDING','MACHINERY','FURNITURE') AND sample>2) f ON f.row>=r0 AND f.row<r0+{W} AND f.col>=c0 AND f.col<c0+{W}),
  d1 AS (SELECT DISTINCT wr, wc, r0, c0, cell_type, row+i AS row, col+j AS col FROM fw, (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)) o(i,j) WHERE row+i>=r0 AND row+i<r0+{W} AND col+j>=c0 AND col+j<c0+{W}),
  fm AS (SELECT DISTINCT wr, wc, cell_type, row+i AS row, col+j AS col FROM d1, (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)) o(i,j) WHERE row+i>=r0 AND row+i<r0+{W} AND col+j>=c0 AND col+j<c0+{W}),
- pp AS (SELECT marker, row, col FROM px JOIN thr USING (marker) WHERE value-pedestal > thr*0.5),
+ pp AS (SELECT marker, row, col FROM px JOIN thr USING (marker) WHERE value-pedestal > 0),
  rp AS (SELECT DISTINCT rw.wr, rw.wc, c.cell_type, rw.row, rw.col FROM rw JOIN pp USING (row, col) JOIN canon c USING (marker) JOIN (SELECT DISTINCT wr, wc, cell_type FROM fw) x ON x.wr=rw.wr AND x.wc=rw.wc AND x.cell_type=c.cell_type),
  t AS (SELECT p.wr, p.wc, p.cell_type, pr, coalesce(cap,0)/CAST(pr AS DOUBLE) AS c, area/CAST(n_res AS DOUBLE) AS a FROM (SELECT wr, wc, cell_type, count(*) AS pr FROM rp GROUP BY 1,2,3) p JOIN (SELECT wr, wc, cell_type, count(*) AS area FROM fm SEMI JOIN rw USING (wr, wc, row, col) GROUP BY 1,2,3) USING (wr, wc, cell_type)
    LEFT JOIN (SELECT wr, wc, cell_type, count(*) AS cap FROM rp SEMI JOIN fm USING (wr, wc, cell_type, row, col) GROUP BY 1,2,3) USING (wr, wc, cell_type) JOIN nr USING (wr, wc) WHERE pr>=3)
 SELECT wr, wc, round(sum(pr*c)/sum(pr),6) AS capture_frac, round(sum(pr*a)/sum(pr),6) AS area_frac, round(sum(pr*c/a)/sum(pr),6) AS capture_ratio FROM t GROUP BY 1,2""", ("foot", "dist"))
 def _(spark, sf):
-    thr = thresholds(spark, sf).withColumn("thr", F.col("thr") * 0.5)
+    # every channel above its pedestal counts as positive here
+    d, thr = calibrated(spark, sf)
+    thr, res = thr.withColumn("thr", F.lit(0.0)), durable(residual(spark, sf, d))
     foot = V.footprints(spark, sf).where("sample > 2")
-    c = X.capture_ratio(eligible(spark, sf), residual(spark, sf), V.pixels(spark, sf), foot, thr, CANON, W, min_pos=3)
+    c = X.capture_ratio(eligible(spark, sf, res), res, V.pixels(spark, sf), foot, thr, CANON, W, min_pos=3)
     return r(c, 6, "capture_frac", "area_frac", "capture_ratio")
 
 

@@ -49,8 +49,13 @@ FROM events)"""
 
 def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
+    return molecules_from(t("lineitem"), t)
+
+
+def molecules_from(lineitem: DataFrame, t) -> DataFrame:
+    """The molecule view over a batch or streaming line-item table."""
     flag, disc = F.col("l_returnflag"), F.col("l_discount") * 100.0
-    return (t("lineitem")
+    return (lineitem
             .join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
             .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -110,12 +115,12 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
             .groupBy(F.col("l_returnflag").alias("marker"), F.col("p_size").cast("int").alias("row"),
                      F.col("l_quantity").cast("int").alias("col"))
-            .agg(F.floor(F.max("l_extendedprice") / 1000).cast("int").alias("value")))
+            .agg(F.expr("cast(sum(cast(round(l_discount * 100) as int)) * 10 div count(1) as int)").alias("value")))
 
 
 PX_SQL = """px AS (
 SELECT l_returnflag marker, CAST(p_size AS INT) AS row, CAST(l_quantity AS INT) AS col,
-  CAST(FLOOR(max(l_extendedprice)/1000) AS INT) AS value
+  CAST(sum(CAST(round(l_discount * 100) AS INT)) * 10 // count(*) AS INT) AS value
 FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY 1,2,3)"""
 
 
