@@ -116,7 +116,11 @@ FAN = 4  # a cell of one level has FAN x FAN cells of the level below
 
 
 def _scale(tgt: DataFrame, by) -> tuple[float, int]:
-    """Base cell from the mean target density and the number of levels that cover the widest group (one row)."""
+    """Base cell and the number of levels that cover the widest group, from two one-row aggregates.
+
+    The mean density gives a first cell. Where targets crowd, most of them sit in cells far fuller than the mean, so
+    the cell shrinks until a target's own cell holds about three of them.
+    """
     g = tgt.groupBy(*by).agg(n_rows().alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"),
                              F.min("y").alias("y0"), F.max("y").alias("y1"))
     w = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
@@ -125,6 +129,10 @@ def _scale(tgt: DataFrame, by) -> tuple[float, int]:
     step = row["step"] or 0.0
     wide = row["w"] or 0.0
     cell = step * 1.5 if step > 0 else max(wide / 64.0, 1.0)
+    occ = cell_of(tgt.select(*by, "x", "y").distinct(), cell).groupBy(*by, "cx", "cy").agg(n_rows().alias("n"))
+    full = occ.agg((F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).alias("m")).first()["m"] or 1.0
+    if full > 3.0:
+        cell *= math.sqrt(3.0 / full)
     return cell, max(1, math.ceil(math.log(max(wide / cell, 1.0) + 1.0, FAN)))
 
 
