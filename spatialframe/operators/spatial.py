@@ -146,6 +146,9 @@ def nearest(src: DataFrame, tgt: DataFrame, by, max_r: float | None = None, src_
     target, so a source far from a crowded region never meets all of its points.
     """
     by, payload = as_list(by), as_list(payload)
+    if not by:
+        whole = lambda d: d.withColumn("__all", F.lit(1))
+        return nearest(whole(src), whole(tgt), "__all", max_r, src_id, tgt_id, payload, exclude_self, cell).drop("__all")
     s = src.select(*by, F.col(src_id).alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"))
     cand = F.struct(F.col(tgt_id).alias("tid"), *payload)
     if exclude_self:
@@ -211,7 +214,7 @@ def nearest(src: DataFrame, tgt: DataFrame, by, max_r: float | None = None, src_
                 .where(F.col("lb") <= F.col("bound") * (1 + 1e-12)).drop("lb", "ub", "p1", "p2"))
 
     top = occ[levels]
-    front = bounded(open_src.join(top, by) if by else open_src.crossJoin(F.broadcast(top)), cell * FAN ** levels)
+    front = bounded(open_src.join(top, by), cell * FAN ** levels)
     for lv in range(levels - 1, -1, -1):
         kids = occ[lv].withColumns({"px": F.floor(F.col("cx") / FAN), "py": F.floor(F.col("cy") / FAN)})
         front = front.withColumnsRenamed({"cx": "px", "cy": "py"}).join(kids, [*by, "px", "py"]).drop("px", "py")

@@ -110,3 +110,10 @@ def enrich_missing(df: DataFrame, counts: DataFrame, features: list[str], key: s
             .agg(*[F.sum(F.when(F.col("feature") == f, F.col("count"))).alias(f) for f in todo]))
     return (df.join(wide, key, "left")
             .select(*df.columns, *[F.coalesce(F.col(f), F.lit(0)).alias(f) for f in todo]))
+
+
+def file_digests(spark: SparkSession, glob: str) -> DataFrame:
+    """SHA-256 of every matching file, to compare an input with a recorded one. A file is one row, so this is for
+    reference files below 2 GB."""
+    return (spark.read.format("binaryFile").load(glob)
+            .select("path", "length", F.sha2("content", 256).alias("sha256")))

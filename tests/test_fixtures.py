@@ -105,6 +105,20 @@ def test_nearest_without_targets_is_empty(spark):
     assert spatial.nearest_within(d, d, "sample", 25.0, exclude_self=True).count() == 0
 
 
+def test_nearest_over_one_group_and_one_point(spark):
+    d = pts(spark, [(1, 0, 0), (2, 3, 4)])
+    got = {r.entity_id: r.nearest_id for r in spatial.nearest(d, d, [], exclude_self=True).collect()}
+    assert got == {1: 2, 2: 1}
+    assert spatial.nearest(d.where("entity_id = 1"), d.where("entity_id = 1"), [], exclude_self=True).count() == 0
+
+
+def test_file_digest(spark, tmp_path):
+    import hashlib
+    from spatialframe.sources.tables import file_digests
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    assert file_digests(spark, str(tmp_path / "a.bin")).first().sha256 == hashlib.sha256(b"abc").hexdigest()
+
+
 # --- statistics --------------------------------------------------------------------------------------
 
 def test_perm_pvalue(spark):
