@@ -125,12 +125,12 @@ def _(spark, sf):
 TOPO_SQL = """cs AS (SELECT n.sample, component, count(*) AS size, bool_or(is_lig) AND bool_or(NOT is_lig) AS mixed FROM comp JOIN nodes n USING (entity_id) GROUP BY 1,2),
  base AS (SELECT sample, count(*) FILTER (is_lig) AS n_lig, count(*) FILTER (NOT is_lig) AS n_rec, count(*) AS n_nodes FROM nodes GROUP BY 1),
  ed AS (SELECT sample, count(*) AS n_edges, count(*) FILTER (al <> bl) AS n_mixed_edges FROM pairs GROUP BY 1),
- topo AS (SELECT b.sample, n_lig, n_rec, 'ok' AS status, n_nodes, coalesce(n_edges,0) AS n_edges, coalesce(n_mixed_edges,0) AS n_mixed_edges, count(*) AS n_comp, count(*) FILTER (mixed) AS n_mixed_comp,
+ topo AS (SELECT b.sample, n_lig, n_rec, n_nodes, coalesce(n_edges,0) AS n_edges, coalesce(n_mixed_edges,0) AS n_mixed_edges, count(*) AS n_comp, count(*) FILTER (mixed) AS n_mixed_comp,
    round(coalesce(sum(size) FILTER (mixed),0)/CAST(sum(size) AS DOUBLE),6) AS frac_in_mixed, coalesce(max(size) FILTER (mixed),0) AS largest_mixed, max(size) AS largest_comp
    FROM base b JOIN cs USING (sample) LEFT JOIN ed USING (sample) GROUP BY ALL)"""
 
 
-@query("graph_topology", f"WITH {NODES_SQL}, {pairs_sql(20)}, {COMP_SQL}, {TOPO_SQL} SELECT * FROM topo", "ent")
+@query("graph_topology", f"WITH {NODES_SQL}, {pairs_sql(20)}, {COMP_SQL}, {TOPO_SQL} SELECT sample, n_lig, n_rec, CASE WHEN sparse THEN 'too_sparse' ELSE 'ok' END AS status, " + ", ".join(f"CASE WHEN NOT sparse THEN {c} END AS {c}" for c in ("n_nodes", "n_edges", "n_mixed_edges", "n_comp", "n_mixed_comp", "frac_in_mixed", "largest_mixed", "largest_comp")) + " FROM (SELECT *, n_lig < 5 OR n_rec < 5 AS sparse FROM topo)", "ent")
 def _(spark, sf):
     return r(R.graph_topology(nodes(spark, sf), 20.0, "sample"), 6, "frac_in_mixed")
 
