@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's checkpoint folder. Only a local session may make its own."""
+    """The folder all executors share: the session's checkpoint folder. Only a local session may make its own, and a
+    cluster's folder must name a file system unless the default one is shared."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
-    if current:
-        return current
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = current or spark.conf.get("spark.checkpoint.dir", None)
+    local = sc.master == "local" or sc.master.startswith("local[")
     if path is None:
-        if not sc.master.startswith("local"):
+        if not local:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    sc.setCheckpointDir(path)
+    default = sc._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if not local and not urlparse(path).scheme and default.startswith("file:"):
+        raise RuntimeError(f"spark.checkpoint.dir is {path}, a folder of one machine; name it with its file system")
+    if not current:
+        sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
 
@@ -29,3 +34,30 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """The intermediate tables of one job, kept by name in the shared folder and deleted as soon as no later step reads
+    them. Writing under a name again puts the new table in place before the old one goes."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.paths: dict[str, str] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def close(self, *keep: str) -> None:
+        """Delete all tables but those that the result still reads."""
+        self.drop(*[n for n in list(self.paths) if n not in keep])
