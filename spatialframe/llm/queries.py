@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, langid, mixing, phrases, quality, toxicity, urls
+from spatialframe.functions.durable import Scratch
+
+from . import chat, decontaminate, langid, minhash, mixing, phrases, quality, toxicity, urls
 from .words import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +73,11 @@ def op3_decontaminate(spark, sf_dir):
 @query("op7_phrases", phrases.ORACLE_SQL)
 def op7_phrases(spark, sf_dir):
     return phrases.remove_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op6_minhash")
+def op6_minhash(spark, sf_dir):
+    scratch = Scratch(spark)
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), scratch)
+    scratch.close("classes")
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
