@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spatialframe.functions.durable import Scratch
 
-from . import chat, decontaminate, langid, minhash, mixing, phrases, quality, toxicity, urls
+from . import chat, decontaminate, embedding, langid, minhash, mixing, phrases, quality, toxicity, urls
 from .words import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op6_minhash(spark, sf_dir):
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), scratch)
     scratch.close("classes")
     return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+@query("op5_embeddings")
+def op5_embeddings(spark, sf_dir):
+    return embedding.link_vectors(table(spark, sf_dir, "embeddings"))
