@@ -152,11 +152,16 @@ def _stack(vecs) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in vecs])
 
 
-def _unit(vec: str) -> tuple[str, str]:
-    """SQL for a usable vector and its unit vector in double precision; scaled by the largest component first, so no square overflows."""
-    ok = f"({vec} is not null and size({vec}) > 0 and forall({vec}, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists({vec}, x -> x <> 0))"
-    scaled = f"transform({vec}, x -> x / array_max(transform({vec}, y -> abs(y))))"
-    return ok, scaled
+@F.pandas_udf("array<double>")
+def unit_vector(vectors: pd.Series) -> pd.Series:
+    """Unit vector in double precision, scaled by the largest component first so that no square overflows; null if unusable."""
+    def one(v):
+        x = np.array([np.nan if c is None else c for c in v] if v is not None and v.dtype == object else v if v is not None else [], np.float64)
+        if not len(x) or not np.isfinite(x).all() or not x.any():
+            return None
+        x = x / np.abs(x).max()
+        return x / np.sqrt(x @ x)
+    return pd.Series([one(v) for v in vectors], dtype=object)
 
 
 def link_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
@@ -164,10 +169,8 @@ def link_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
     """(vec_id, n_links, component_id, kept) per row."""
     scratch = Scratch(rows.sparkSession)
     tau = float(np.sqrt(2 - 2 * cosine))
-    ok, scaled = _unit("v")
-    base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
-    base = base.withColumn("s", F.when(F.expr(ok) & F.col("label").isNotNull(), F.expr(scaled)))
-    base = base.withColumn("unit", F.expr("transform(s, x -> x / sqrt(aggregate(s, double(0), (t, y) -> t + y * y)))")).select("vec_id", "label", "unit")
+    base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"),
+                       F.when(F.col(label_col).isNotNull(), unit_vector(F.transform(vec_col, lambda x: x.cast("double")))).alias("unit"))
     # equal vectors of a label are one node with a weight
     nodes = (base.where("unit is not null").groupBy("label", "unit").agg(F.count(F.lit(1)).alias("w"), F.min("vec_id").alias("least"))
              .withColumn("node", F.monotonically_increasing_id()).withColumn("tribe", F.concat_ws("|", F.size("unit"), "label")))

@@ -91,9 +91,9 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
 
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = CAP, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row (doc_id, size, source_size, target, taken) per document; ``taken`` is its size times its copies in the mix."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(text_col).alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(text_col).alias("size"), F.lit(0).cast("long").alias("key"))
     scratch = Scratch(docs.sparkSession)
-    return _mix(scratch.keep(sized, "sizes"), weights, cap, seed)      # texts are read once
+    return _mix(scratch.keep(sized, "sizes"), weights, cap, seed).select("doc_id", "size", "source_size", "target", "taken")     # texts are read once
 
 
 def _mix(sized: DataFrame, weights, cap: int, seed: str) -> DataFrame:
@@ -112,7 +112,7 @@ def _mix(sized: DataFrame, weights, cap: int, seed: str) -> DataFrame:
 
     # a group has one row per length of its source, not per document
     plans = rows.groupBy("source").applyInPandas(plan, "size long, n long, source string, words long, target double, base long, more long").withColumnRenamed("source", "__s").withColumnRenamed("size", "__z")
-    met = sized.join(plans, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")))
+    met = sized.withColumn("__own", F.col("source")).join(plans.drop("source"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")))
     met = met.withColumn("__h", seeded(seed, F.col("doc_id"))).withColumn("__b", F.when(F.col("n") > WHOLE_GROUP, F.shiftrightunsigned("__h", 52)).otherwise(0))
     part = [F.col("source"), F.col("size"), F.col("__b")]
     cut = met.where("more > 0 and more < n")
@@ -121,8 +121,20 @@ def _mix(sized: DataFrame, weights, cap: int, seed: str) -> DataFrame:
     before = F.coalesce(F.sum("__c").over(W.partitionBy("source", "size").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     filled = filled.select(F.col("source").alias("__fs"), F.col("size").alias("__fz"), F.col("__b").alias("__fb"), before.alias("__o"))
     placed = (cut.join(filled, F.col("source").eqNullSafe(F.col("__fs")) & (F.col("size") == F.col("__fz")) & (F.col("__b") == F.col("__fb")), "left")
-              .withColumn("__r", F.row_number().over(W.partitionBy(*part).orderBy("__h", "doc_id")) + F.coalesce("__o", F.lit(0)))
+              .withColumn("__r", F.row_number().over(W.partitionBy(*part).orderBy("__h", "doc_id", "key")) + F.coalesce("__o", F.lit(0)))
               .withColumn("copies", F.col("base") + (F.col("__r") <= F.col("more")).cast("long")))
     whole = met.where("more = 0 or more >= n").withColumn("copies", F.col("base") + (F.col("more") > 0).cast("long"))
-    cols = ["doc_id", "size", F.col("words").alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken")]
+    cols = ["doc_id", F.col("__own").alias("source"), "key", "size", F.col("words").alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"]
     return whole.select(*cols).unionByName(placed.select(*cols))
+
+
+def take_mix(docs: DataFrame, weights=(5, 2, 1), cap: int = CAP, seed: str = "mix") -> DataFrame:
+    """The mix itself: every document as many times as it is taken, with its columns and ``copy`` (1, 2, ...; a column of that name is
+    replaced). Rows equal in doc_id, source and text are told apart by nothing and share the copies of all of them."""
+    scratch = Scratch(docs.sparkSession)
+    sized = scratch.keep(docs.select("doc_id", "source", words_in("text").alias("size"), F.xxhash64("text").alias("key")), "sizes")
+    plan = _mix(sized, weights, cap, seed).where("taken > 0").groupBy("doc_id", "source", "key").agg(F.max("copies").alias("__n"))
+    plan = scratch.keep(plan.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("key").alias("__k"), "__n"), "plan")
+    scratch.close("plan")
+    met = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__i")) & F.col("source").eqNullSafe(F.col("__s")) & (F.xxhash64("text") == F.col("__k")))
+    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*[c for c in docs.columns if c != "copy"], "copy")
