@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .words import bloom_of, in_bloom, lists, map_arrow, mix, signed, split_words, window_hashes
+from .words import bloom_of, in_bloom, lists, map_arrow, mix, packed, signed, split_words, unpacked, window_hashes
 
 WINDOW, LITERALS, COVER = 8, 4, 13
 #: Units that a value may carry.
@@ -148,5 +148,6 @@ def find_leaks(docs: DataFrame, bench: DataFrame, cover: int = COVER) -> DataFra
 
 def drop_leaks(docs: DataFrame, bench: DataFrame, cover: int = COVER) -> DataFrame:
     """The documents that no item contaminates, with their columns unchanged."""
-    leaks = find_leaks(docs, bench, cover).select(F.col("doc_id").alias("__i"), F.col("key").alias("__k")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.xxhash64("text") == F.col("__k")), "left_anti")
+    leaks = find_leaks(docs, bench, cover).select(F.col("doc_id").alias("i"), F.col("key").alias("k")).distinct()
+    rows = packed(docs, doc=F.col("doc_id").cast("long"), key=F.xxhash64("text"))
+    return unpacked(rows.join(leaks, F.col("doc").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_anti"))

@@ -21,6 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from spatialframe.functions.components import component_roots
 from spatialframe.functions.durable import Scratch
@@ -152,7 +153,7 @@ def _stack(vecs) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in vecs])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def unit_vector(vectors: pd.Series) -> pd.Series:
     """Unit vector in double precision, scaled by the largest component first so that no square overflows; null if unusable."""
     def one(v):

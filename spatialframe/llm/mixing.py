@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from spatialframe.functions.durable import Scratch
 
-from .words import WORD, seeded
+from .words import WORD, packed, seeded, unpacked
 
 CAP = 3                 # copies of a document, and multiple of a source, at most
 KNAPSACK = 1 << 16      # words that the dynamic programme fits exactly
@@ -134,7 +134,8 @@ def take_mix(docs: DataFrame, weights=(5, 2, 1), cap: int = CAP, seed: str = "mi
     scratch = Scratch(docs.sparkSession)
     sized = scratch.keep(docs.select("doc_id", "source", words_in("text").alias("size"), F.xxhash64("text").alias("key")), "sizes")
     plan = _mix(sized, weights, cap, seed).where("taken > 0").groupBy("doc_id", "source", "key").agg(F.max("copies").alias("__n"))
-    plan = scratch.keep(plan.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("key").alias("__k"), "__n"), "plan")
+    plan = scratch.keep(plan.select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("key").alias("k"), F.col("__n").alias("n")), "plan")
     scratch.close("plan")
-    met = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__i")) & F.col("source").eqNullSafe(F.col("__s")) & (F.xxhash64("text") == F.col("__k")))
-    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*[c for c in docs.columns if c != "copy"], "copy")
+    rows = packed(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "copy"]), doc=F.col("doc_id"), origin=F.col("source"), key=F.xxhash64("text"))
+    met = rows.join(plan, F.col("doc").eqNullSafe(F.col("i")) & F.col("origin").eqNullSafe(F.col("s")) & (F.col("key") == F.col("k")))
+    return unpacked(met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))), F.col("copy"))

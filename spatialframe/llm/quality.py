@@ -141,7 +141,7 @@ class Network:
             if data:
                 top = np.maximum(chunk_maxima(pairs_of(data), tables) + self.shift, 0)
                 x[i, :FILTERS], x[i, FILTERS:], has[i] = top.mean(axis=0, dtype=np.float64), top.max(axis=0), True
-        p = 1 / (1 + np.exp(-(x @ self.out.astype(np.float64) + float(self.bias[0]))))
+        p = 1 / (1 + np.exp(-((x * self.out.astype(np.float64)).sum(axis=1) + float(self.bias[0]))))      # the same for a text wherever it stands
         return np.where(has, p, self.prior)
 
 

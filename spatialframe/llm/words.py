@@ -44,17 +44,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2**64, kept for the next text."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        steps = np.full(max(1024, 2 * n), base, np.uint64)
+        steps[0] = 1
+        have = _POWERS[base] = np.multiply.accumulate(steps)
+    return have[:n]
+
+
+def running(values: np.ndarray, base: int) -> np.ndarray:
+    """Sums of values over powers of the odd ``base``: ``run_hash`` reads the hash of any run off two of them."""
+    return np.concatenate([[np.uint64(0)], np.add.accumulate(values * powers(pow(base, -1, 1 << 64), len(values)))])
+
+
+def run_hash(sums: np.ndarray, start, stop, base: int) -> np.ndarray:
+    """Polynomial hash of the values from ``start`` up to ``stop``."""
+    return mix((sums[stop] - sums[start]) * powers(base, len(sums))[start])
+
+
 def window_hashes(h: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """Hash of every run of ``k`` consecutive word hashes: a polynomial modulo 2**64, from running sums of the hashes
-    over powers of the odd ``base``, so the cost doesn't grow with ``k``."""
+    """Hash of every run of ``k`` consecutive word hashes, at a cost that doesn't grow with ``k``."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    inverse = pow(base, -1, 1 << 64)
-    down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(h) - 1, inverse, np.uint64)]))
-    sums = np.concatenate([[np.uint64(0)], np.add.accumulate(h * down)])
-    up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, base, np.uint64)])) if n > 1 else np.ones(1, np.uint64)
-    return mix((sums[k:] - sums[:n]) * up)
+    sums = running(h, base)
+    return mix((sums[k:] - sums[:n]) * powers(base, n))
 
 
 def signed(h: np.ndarray) -> np.ndarray:
@@ -116,3 +135,12 @@ def in_bloom(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
         b = (h >> np.uint64(shift)) & np.uint64(BLOOM_BITS - 1)
         found &= (bloom[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63)) & np.uint64(1)).astype(bool)
     return found
+
+
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """All columns as one struct ``row`` beside the keys, so that a join meets no column name of the documents; ``unpacked`` undoes it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in keys.items()])
+
+
+def unpacked(rows: DataFrame, *more: Column) -> DataFrame:
+    return rows.select("row.*", *more)
