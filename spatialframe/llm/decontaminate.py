@@ -43,10 +43,13 @@ class Lexicon(dict):
         if at == len(self.codes):
             self.codes, self.flags = np.concatenate([self.codes, np.empty_like(self.codes)]), np.concatenate([self.flags, np.empty_like(self.flags)])
         bare = word.strip(OUTER)
-        low = bare.decode("utf-8", "replace").lower().encode()
-        flag = SKIP if not bare else IS_NUMBER if re.search(rb"[0-9]", bare) else IS_UNIT if low in UNITS else 0
-        if bare and not flag and bare.decode("utf-8", "replace")[0].isupper():
-            flag |= CAPITAL
+        if bare.isalpha():                                   # ASCII letters only
+            low, flag = bare.lower(), 0 if bare[0] > 90 else CAPITAL
+        else:
+            text = bare.decode("utf-8", "replace")
+            low, flag = text.lower().encode(), SKIP if not bare else IS_NUMBER if re.search(rb"[0-9]", bare) else CAPITAL if text[0].isupper() else 0
+        if low in UNITS:
+            flag = IS_UNIT
         if word.rstrip(b"\"')]}").endswith((b".", b"!", b"?", b":")):
             flag |= ENDS
         self.codes[at], self.flags[at] = xxhash.xxh3_64_intdigest(low), flag
@@ -68,13 +71,14 @@ class Lexicon(dict):
         return codes[live], values[live], (flags & (IS_NUMBER | IS_UNIT) > 0)[live] | name[live]
 
 
-def _windows(codes: np.ndarray, slots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of the windows of ``k`` tokens with enough literals."""
-    if len(codes) < k:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    literal = np.concatenate([[0], np.cumsum(~slots)])
-    at = np.flatnonzero(literal[k:] - literal[:-k] >= LITERALS)
-    return at, window_hashes(codes, k)[at]
+def _windows(codes: np.ndarray, slots: np.ndarray, k: int, bloom: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of the windows of ``k`` tokens with enough literals that may be in the filter."""
+    h = window_hashes(codes, k)
+    at = np.arange(len(h)) if bloom is None else np.flatnonzero(in_bloom(bloom, h))
+    if len(at):
+        literal = np.concatenate([[0], np.cumsum(~slots)])
+        at = at[literal[at + k] - literal[at] >= LITERALS]
+    return at, h[at]
 
 
 def _rows(at, h, codes, values, slots, k):
@@ -115,9 +119,7 @@ def text_windows(docs: DataFrame, lengths: list[int], bloom: np.ndarray) -> Data
         for i, key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             codes, values, slots = lex.template(t)
             for k in lengths:
-                at, h = _windows(codes, slots, k)
-                hit = in_bloom(bloom, h)
-                at, h = at[hit], h[hit]
+                at, h = _windows(codes, slots, k, bloom)
                 if len(at):
                     h1, h2, v = _rows(at, h, codes, values, slots, k)
                     n = len(at)
