@@ -23,10 +23,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from spatialframe.functions.durable import Scratch
 
-from .words import WordHash, bloom_of, in_bloom, lists, map_arrow, signed, split_words, window_hashes
+from .words import WordHash, bloom_of, in_bloom, lists, map_arrow, packed, run_hash, running, signed, split_words, window_hashes
 
 WINDOW, ANCHOR = 50, 16
 NO_ID = (1 << 63) - 1
@@ -104,34 +105,45 @@ def _phrases(first: DataFrame) -> DataFrame:
     return map_arrow(first.select("shard", "own", "text"), run, "shard long, anchor long, letters array<long>")
 
 
-def _locate(docs: pd.DataFrame, phrases: pd.DataFrame) -> pd.DataFrame:
+def _locate(docs: pa.Table, phrases: pa.Table) -> pa.Table:
     """Stream the texts of a slice through the automaton of its shard: one row per span, with the hashes of its windows."""
-    names = ["anchor", "span", "doc", "key", "start", "windows"]
-    if docs.empty or phrases.empty:
-        return pd.DataFrame({n: [] for n in names})
+    known = phrases["anchor"].to_numpy()
+    letters = phrases["letters"].combine_chunks().flatten().to_numpy().reshape(-1, ANCHOR)
     machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    known = phrases["anchor"].to_numpy(np.int64)
-    for i, letters in enumerate(phrases["letters"]):
-        machine.add_word(tuple(int(x) for x in letters), i)
-    machine.make_automaton()
-    words, out = WordHash(), []
-    for doc, key, text in zip(docs["doc"], docs["key"], docs["text"]):
+    for i, word in enumerate(letters.tolist()):
+        machine.add_word(tuple(word), i)
+    if len(known):
+        machine.make_automaton()
+    words, none = WordHash(), np.empty(0, np.int64)
+    out = {"anchor": [none], "span": [none], "doc": [none], "key": [none], "start": [none], "windows": [none]}
+    lengths = [none]
+    for doc, key, text in zip(docs["doc"].to_pylist(), docs["key"].to_pylist(), docs["text"].to_pylist()) if len(known) else ():
         h = words.of(split_words(text))
-        found = np.array([(end - ANCHOR + 1, i) for end, i in machine.iter(tuple((h & LETTER).tolist()))], np.int64).reshape(-1, 2)
+        found = np.array(list(machine.iter(tuple((h & LETTER).tolist()))), np.int64).reshape(-1, 2)
+        found[:, 0] -= ANCHOR - 1
         runs, place, first = anchors_of(h)
-        found = found[signed(runs)[found[:, 0]] == known[found[:, 1]]]       # the whole hash decides
-        spans = np.flatnonzero(np.isin(place[first], found[:, 0]))
-        if not len(spans):
+        runs = signed(runs)
+        found = found[runs[found[:, 0]] == known[found[:, 1]]]               # the whole hash decides
+        here = np.zeros(len(runs), bool)
+        here[found[:, 0]] = True
+        spans = here[place[first]]
+        a, z = first[spans], np.append(first[1:], len(place))[spans]
+        if not len(a):
             continue
-        full = signed(window_hashes(h, WINDOW))
-        last = np.concatenate([first[1:], [len(place)]])
-        anchor = signed(runs)
-        for s in spans:
-            a, z = first[s], last[s]
-            windows = full[a:z]
-            whole = signed(window_hashes(h[a:z + WINDOW - 1], z - a + WINDOW - 1, SPAN_BASE))[0]
-            out.append((anchor[place[a]], whole, doc, key, a, windows))
-    return pd.DataFrame(out, columns=names)
+        full = window_hashes(h, WINDOW)
+        out["anchor"].append(runs[place[a]])
+        out["span"].append(signed(run_hash(running(full, SPAN_BASE), a, z, SPAN_BASE) + (z - a).astype(np.uint64)))
+        out["doc"].append(np.full(len(a), doc, np.int64))
+        out["key"].append(np.full(len(a), key, np.int64))
+        out["start"].append(a)
+        inside = np.zeros(len(full) + 1, np.int64)
+        inside[a] += 1
+        inside[z] -= 1
+        out["windows"].append(signed(full[np.cumsum(inside[:-1]) > 0]))
+        lengths.append(z - a)
+    flat = {c: np.concatenate(v) for c, v in out.items()}
+    windows = lists(flat.pop("windows"), np.concatenate(lengths), pa.int64())
+    return pa.table([pa.array(v, pa.int64()) for v in flat.values()] + [windows], names=[*flat, "windows"])
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,7 +169,7 @@ def find_repeats(base: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     slices = scratch.keep(streams.groupBy("shard").agg(F.ceil(F.sum(F.length("text")) / SLICE).cast("long").alias("slices")), "slices")
     streams = streams.join(slices, "shard").withColumn("slice", F.pmod(F.xxhash64("doc", "key"), F.col("slices"))).drop("slices")
     phrases = phrases.join(slices, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "anchor", "letters")
-    spans = streams.groupBy("shard", "slice").cogroup(phrases.groupBy("shard", "slice")).applyInPandas(
+    spans = streams.groupBy("shard", "slice").cogroup(phrases.groupBy("shard", "slice")).applyInArrow(
         _locate, "anchor long, span long, doc long, key long, start long, windows array<long>")
     spans = scratch.keep(spans, "spans")
     scratch.drop("routed", "recurring", "slices")
@@ -206,7 +218,7 @@ def remove_digest(docs: DataFrame) -> DataFrame:
     return cut.unionByName(rest).select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", F.col("sha").alias("kept_sha256"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _cut_text(text: pd.Series, runs: pd.Series) -> pd.Series:
     return pd.Series([t if r is None else b" ".join(_kept(split_words(t), r)).decode("utf-8") for t, r in zip(text, runs)], dtype=object)
 
@@ -217,11 +229,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     _, runs = find_repeats(keyed(docs), scratch)
     scratch.close("runs")
-    runs = runs.select(F.col("doc").alias("__d"), F.col("key").alias("__k"), F.col("runs").alias("__r"))
-    joined = docs.join(runs, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("__d")) & (F.xxhash64("text") == F.col("__k")), "left")
-    joined = joined.withColumn("__cut", _cut_text(F.col("text"), F.col("__r"))).where("__r is null or __cut <> ''")
-    new = {"text": F.col("__cut"), "n_chars": F.when(F.col("__r").isNull(), F.col("n_chars")).otherwise(F.length("__cut")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("__cut")}
-    return joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    rows = packed(docs, doc=F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), key=F.xxhash64("text"))
+    rows = rows.join(runs, ["doc", "key"], "left").withColumn("cut", _cut_text(F.col("row.text"), F.col("runs"))).where("runs is null or cut <> ''")
+    new = {"text": F.col("cut")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("runs").isNull(), F.col("row.n_chars")).otherwise(F.length("cut")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = f"""with d as (select doc_id, coalesce(doc_id, {NO_ID}) id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w, row_number() over () rid from documents),

@@ -130,10 +130,12 @@ def bloom_of(values: DataFrame, col: str) -> np.ndarray:
 
 def in_bloom(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which of the 64-bit hashes may be in the filter."""
-    found = np.ones(len(h), bool)
-    for shift in (0, 32):
-        b = (h >> np.uint64(shift)) & np.uint64(BLOOM_BITS - 1)
-        found &= (bloom[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63)) & np.uint64(1)).astype(bool)
+    def bit(x: np.ndarray, shift: int) -> np.ndarray:
+        b = (x >> np.uint64(shift)) & np.uint64(BLOOM_BITS - 1)
+        return (np.take(bloom, (b >> np.uint64(6)).astype(np.int64)) >> (b & np.uint64(63)) & np.uint64(1)).astype(bool)
+    found = bit(h, 0)
+    some = np.flatnonzero(found)
+    found[some] = bit(h[some], 32)
     return found
 
 
