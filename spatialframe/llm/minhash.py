@@ -6,9 +6,9 @@ its weight and whose arrivals fall on random registers; a register keeps the shi
 soon as no further arrival can come before the last of its registers. Signatures are banded, and two texts that share a band are
 compared by the exact Jaccard index of their shingle sets: ``similarity`` or more links them. Classes are the connected components.
 
-Exact copies are merged first. Within a bucket no full list of pairs is made: documents of the bucket are taken as pivots, one, then
-eight, then eight times as many, and compared with the documents that are not yet in their component, until each bucket is one
-component or all of its pairs across components have been compared. So every link between different texts that share a band counts.
+Exact copies are merged first. Within a bucket no full list of pairs is made: all are compared with the one that meets most others, and components are
+formed. Only documents of buckets that still hold several components go on: of these, all pairs of different components that share
+a rare enough shingle to be similar at all (prefix filtering, which is exact) are compared. So no link between texts that share a band is lost.
 
 Texts without a word (null, empty, blank) have no shingles and stay alone. A null doc_id gets a null class and is kept. Rows that repeat a
 doc_id share its class. Ties go to the smallest doc_id, which stands for its class.
@@ -18,18 +18,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from spatialframe.functions.components import component_roots
 from spatialframe.functions.durable import Scratch
 
-from .words import WordHash, bloom_of, in_bloom, lists, map_arrow, mix, signed, split_words, window_hashes
+from .words import WordHash, bloom_of, in_bloom, lists, map_arrow, mix, packed, signed, split_words, unpacked, window_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5            # a pair at 0.8 is missed once in 14,000
 REGISTERS = BANDS * ROWS
 GATHER = 400_000               # shingles sketched together
-GROWTH = 8
 
 
 def shingles_of(h: np.ndarray) -> np.ndarray:
@@ -115,6 +114,38 @@ def _sets(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
     return map_arrow(docs.select("doc", F.xxhash64("doc").alias("h"), "text"), run, "doc long, shingles array<long>")
 
 
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets reach the similarity."""
+    left, right = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("s")).where(F.col("s") >= similarity).select("a", "b")
+
+
+def _share_prefix(docs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components that may still be similar. With its shingles from the rarest on, a text of n that is to
+    share the wanted part with another must share one of the first n - ceil(similarity * n) + 1 with it. Near copies with unlike
+    changes have none in common, and what two texts can still share from that shingle on must suffice, so a large group isn't compared
+    pair by pair. In each shingle's group, documents of the component
+    that is most frequent there are never paired with each other."""
+    rows = sets.join(docs, "doc").select("doc", "root", F.explode("shingles").alias("s"))
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    ranked = rows.join(often.where("n > 1"), "s").groupBy("doc", "root").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("known"))
+    # a shingle that no other text has comes first and can't be shared: it only uses up places of the prefix
+    sized = ranked.join(sets.select("doc", F.size("shingles").alias("all")), "doc")
+    places = F.col("all") - F.ceil(F.col("all") * F.lit(similarity) - 1e-9).cast("int") + 1 - (F.col("all") - F.size("known"))
+    prefix = sized.where(places > 0).select("doc", "root", "all", (F.col("all") - F.size("known")).alias("alone"), F.posexplode(F.slice("known", F.lit(1), places)).alias("at", "k"))
+    # ``rest``: shingles from this one on. Where it is the first that two texts share, they share no more than the smaller rest
+    prefix = prefix.select("doc", "root", "all", (F.col("all") - F.col("alone") - F.col("at")).alias("rest"), F.col("k.s").alias("s"))
+    prefix = scratch.keep(prefix, "prefix")
+    per = prefix.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c"))
+    top = per.groupBy("s").agg(F.max(F.struct("c", "root")).alias("t"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("s", F.col("t.root").alias("top"))
+    here = prefix.join(top, "s")
+    few = here.where("root <> top").select("s", F.col("doc").alias("p"), F.col("root").alias("p_root"), F.col("all").alias("p_all"), F.col("rest").alias("p_rest"))
+    wanted = (F.col("all") + F.col("p_all")) * (similarity / (1 + similarity)) - 1e-6
+    pairs = here.join(few, "s").where((F.col("root") != F.col("p_root")) & (F.least("rest", "p_rest") >= wanted))
+    return pairs.select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id) of every document with an id, one row per id; a table of ``scratch`` named ``classes``."""
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.md5(text_col).alias("copy"), F.col(text_col).alias("text")).where("doc is not null")
@@ -127,32 +158,27 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, similarity: float = SIMIL
     twins = scratch.keep(twins, "twins")
     banded = worded.join(copies, "copy").where("doc = least")
     rows = banded.select("doc", F.explode("bands").alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("bucket")
+    full = rows.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
     buckets = scratch.keep(rows.join(full, "bucket").distinct(), "buckets")
     scratch.drop("sketch")
     sets = scratch.keep(_sets(base, bloom_of(buckets.select(F.xxhash64("doc").alias("h")).distinct(), "h")).dropDuplicates(["doc"]), "sets")
 
-    roots, first, reach = None, 0, 1
-    while True:
-        # buckets that still hold more than one component, with the component of each document
-        now = buckets.withColumn("root", F.col("doc")) if roots is None else buckets.join(roots, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
-        mixed = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where(f"lo < hi and n > {first + 1}").select("bucket")
-        now = scratch.keep(now.join(mixed, "bucket"), "mixed")
-        if now.isEmpty():
-            break
-        rank = F.row_number().over(W.partitionBy("bucket").orderBy("doc"))
-        pivots = now.withColumn("r", rank).where(F.col("r") <= first + reach).where(F.col("r") > first).select("bucket", F.col("doc").alias("p"), F.col("root").alias("p_root"))
-        pairs = now.join(pivots, "bucket").where("p < doc and p_root <> root").select(F.col("p").alias("a"), F.col("doc").alias("b")).distinct()
-        left, right = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        links = pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("s")).where(F.col("s") >= similarity).select("a", "b")
-        if roots is not None:
-            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = component_roots(links, scratch)
-        first, reach = first + reach, reach * GROWTH
-    if roots is None:
-        roots = scratch.keep(buckets.select(F.col("doc").alias("node"), F.col("doc").alias("root")).where("false"), "roots")
-    scratch.drop("mixed", "sets", "buckets")
+    # every document of a bucket against the one that meets most others in all its buckets: of near copies, the least changed
+    meets = buckets.groupBy("doc").agg(F.sum("n").alias("meets"))
+    pivot = buckets.join(meets, "doc").groupBy("bucket").agg(F.max(F.struct("meets", "doc")).alias("p")).select("bucket", F.col("p.doc").alias("p"))
+    pairs = buckets.join(pivot, "bucket").where("p <> doc").select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
+    links = _linked(pairs, sets, similarity)
+    links = scratch.keep(links, "links")
+    roots = component_roots(links, scratch)
+    # documents of buckets that still hold several components
+    now = buckets.join(roots, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
+    mixed = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    left = scratch.keep(now.join(mixed, "bucket").groupBy("doc").agg(F.min("root").alias("root")), "left")
+    if not left.isEmpty():
+        more = _linked(_share_prefix(left, sets, similarity, scratch), sets, similarity)
+        stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = component_roots(more.unionByName(stars), scratch)
+    scratch.drop("left", "links", "sets", "buckets", "prefix")
     # copies follow the text they repeat
     ids = base.select("doc").distinct().join(twins, "doc", "left").select("doc", F.coalesce("least", "doc").alias("text_id"))
     classes = ids.join(roots, F.col("text_id") == F.col("node"), "left").select(F.col("doc").alias("doc_id"), F.coalesce("root", "text_id").alias("class_id"))
@@ -164,6 +190,6 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, similarity: float = SIMIL
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, its smallest id, with all columns; rows without an id are kept."""
     scratch = Scratch(docs.sparkSession)
-    gone = near_duplicates(docs, scratch, similarity).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
+    gone = near_duplicates(docs, scratch, similarity).where("doc_id <> class_id").select(F.col("doc_id").alias("gone"))
     scratch.close("classes")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return unpacked(packed(docs, doc=F.col("doc_id").cast("long")).join(gone, F.col("doc") == F.col("gone"), "left_anti"))
