@@ -141,9 +141,33 @@ def _locate(docs: pa.Table, phrases: pa.Table) -> pa.Table:
         inside[z] -= 1
         out["windows"].append(signed(full[np.cumsum(inside[:-1]) > 0]))
         lengths.append(z - a)
-    flat = {c: np.concatenate(v) for c, v in out.items()}
-    windows = lists(flat.pop("windows"), np.concatenate(lengths), pa.int64())
-    return pa.table([pa.array(v, pa.int64()) for v in flat.values()] + [windows], names=[*flat, "windows"])
+    flat, length = {c: np.concatenate(v) for c, v in out.items()}, np.concatenate(lengths)
+    # of equal spans in this slice, those of a larger id are covered already: they leave as merged runs, one row per document
+    order = np.lexsort((flat["doc"], flat["span"], flat["anchor"]))
+    new = np.ones(len(order), bool)
+    new[1:] = (flat["anchor"][order][1:] != flat["anchor"][order][:-1]) | (flat["span"][order][1:] != flat["span"][order][:-1])
+    least = np.empty(len(order), np.int64)
+    least[order] = flat["doc"][order][new][np.cumsum(new) - 1] if len(order) else none
+    open_ = flat["doc"] == least
+    gone = np.flatnonzero(~open_)
+    gone = gone[np.lexsort((flat["start"][gone], flat["key"][gone], flat["doc"][gone]))]
+    docs_, keys_, starts, stops = [], [], [], []
+    for d, k, x, y in zip(flat["doc"][gone].tolist(), flat["key"][gone].tolist(), flat["start"][gone].tolist(), (flat["start"] + length + WINDOW - 1)[gone].tolist()):
+        if not docs_ or (docs_[-1], keys_[-1]) != (d, k):
+            docs_.append(d), keys_.append(k), starts.append([x]), stops.append([y])
+        elif x <= stops[-1][-1]:
+            stops[-1][-1] = max(stops[-1][-1], y)
+        else:
+            starts[-1].append(x), stops[-1].append(y)
+    n, kind = len(docs_), pa.list_(pa.int64())
+    rows = [pa.array(np.concatenate([flat[c][open_], np.zeros(n, np.int64)]), pa.int64(), mask=np.repeat([False, True], [int(open_.sum()), n]))
+            for c in ("anchor", "span")]
+    rows += [pa.array(np.concatenate([flat["doc"][open_], np.array(docs_, np.int64)])), pa.array(np.concatenate([flat["key"][open_], np.array(keys_, np.int64)]))]
+    rows.append(pa.array(np.concatenate([flat["start"][open_], np.zeros(n, np.int64)])))
+    windows = lists(flat["windows"][np.repeat(open_, length)], length[open_], pa.int64())
+    rows.append(pa.chunked_array([windows, pa.array([None] * n, kind)]).combine_chunks())
+    rows += [pa.chunked_array([pa.array([None] * len(windows), kind), pa.array(x, kind)]).combine_chunks() for x in (starts, stops)]
+    return pa.table(rows, names=["anchor", "span", "doc", "key", "start", "windows", "starts", "stops"])
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,24 +194,29 @@ def find_repeats(base: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     streams = streams.join(slices, "shard").withColumn("slice", F.pmod(F.xxhash64("doc", "key"), F.col("slices"))).drop("slices")
     phrases = phrases.join(slices, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "anchor", "letters")
     spans = streams.groupBy("shard", "slice").cogroup(phrases.groupBy("shard", "slice")).applyInArrow(
-        _locate, "anchor long, span long, doc long, key long, start long, windows array<long>")
+        _locate, "anchor long, span long, doc long, key long, start long, windows array<long>, starts array<long>, stops array<long>")
     spans = scratch.keep(spans, "spans")
     scratch.drop("routed", "recurring", "slices")
 
-    kinds = spans.groupBy("anchor", "span").agg(F.min("doc").alias("least"))
+    run = lambda start, stop: F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"))
+    covered = spans.where("anchor is null").select("doc", "key", F.zip_with("starts", "stops", run).alias("runs"))
+    covered = scratch.keep(covered, "covered")
+    opened = spans.where("anchor is not null").select("anchor", "span", "doc", "key", "start", "windows")
+    kinds = opened.groupBy("anchor", "span").agg(F.min("doc").alias("least"))
     several = kinds.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("several"))
-    placed = spans.join(kinds.join(several, "anchor"), ["anchor", "span"])
-    whole = F.struct("start", (F.col("start") + F.size("windows") + WINDOW - 1).alias("stop"))
-    placed = scratch.keep(placed.where("doc > least or several").select("doc", "key", "anchor", "start", F.when(F.col("doc") > F.col("least"), whole).alias("run"),
+    placed = opened.join(kinds.join(several, "anchor"), ["anchor", "span"])
+    whole = run(F.col("start"), F.col("start") + F.size("windows") + WINDOW - 1)
+    placed = scratch.keep(placed.where("doc > least or several").select("doc", "key", "anchor", "start", F.when(F.col("doc") > F.col("least"), F.array(whole)).alias("runs"),
                                                                       F.when(F.col("doc") == F.col("least"), F.col("windows")).alias("windows")), "placed")
     scratch.drop("spans")
     single = placed.where("windows is not null").select("doc", "key", "anchor", "start", F.posexplode("windows").alias("at", "window"))
     least = single.groupBy("anchor", "window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    start = (F.col("start") + F.col("at")).alias("start")
-    again = single.join(least, ["anchor", "window"]).where("doc > least").select("doc", "key", F.struct(start, (start + WINDOW).alias("stop")).alias("run"))
-    runs = placed.where("run is not null").select("doc", "key", "run").unionByName(again).groupBy("doc", "key").agg(F.collect_set("run").alias("runs"))
+    start = F.col("start") + F.col("at")
+    again = single.join(least, ["anchor", "window"]).where("doc > least").select("doc", "key", F.array(run(start, start + WINDOW)).alias("runs"))
+    every = placed.where("runs is not null").select("doc", "key", "runs").unionByName(again).unionByName(covered)
+    runs = every.groupBy("doc", "key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     runs = scratch.keep(runs, "runs")
-    scratch.drop("placed")
+    scratch.drop("placed", "covered")
     return texts, runs
 
 
