@@ -274,11 +274,11 @@ def test_histogram_edge(spark):
 
 
 def test_label_rules(spark):
-    labels = ["bT cells", "tNeutrophils", "bMonoDC2", "tMono1", "bN3", "Patient 4-specific", "CD8 T", "bpDC", "  ", None, "Plasma cells"]
+    labels = ["bT cells", "tNeutrophils", "bMonoDC2", "tMono1", "bN3", "Patient 4-specific", "CD8 T", "bpDC", "  ", None, "Plasma cells", "MoMacDC", "Club cells", "ND"]
     d = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, l string")
     got = [(r.fine, r.coarse) for r in entities.harmonize_rules(d, "l", entities.RULES["lung"]()).orderBy("i").collect()]
     assert got == [("T cells", "T cells"), ("tNeutrophils", "neutrophil"), ("bMonoDC2", "DC"), ("tMono1", "monocyte"), ("bN3", "neutrophil"), ("malignant", "malignant"),
-                   ("CD8 T", "T cells"), ("pDC", "DC"), ("unknown", "unknown"), ("unknown", "unknown"), ("Plasma cells", "Plasma cells")]
+                   ("CD8 T", "T cells"), ("pDC", "DC"), ("unknown", "unknown"), ("unknown", "unknown"), ("plasma", "plasma"), ("macrophage", "macrophage"), ("epithelial", "epithelial"), ("unknown", "unknown")]
 
 
 @pytest.mark.parametrize("call", [
