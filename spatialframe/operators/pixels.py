@@ -7,8 +7,12 @@ by offsets inside each row followed by an aggregate, so it grows with the mask a
 from __future__ import annotations
 
 import hashlib
+import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import as_list, exact_percentiles, level_percentiles, n_rows
 from ..functions.durable import durable
@@ -31,19 +35,42 @@ def pixel_join(foot: DataFrame, px: DataFrame) -> DataFrame:
     return foot.join(px, RC)
 
 
-def mask_distance(grid: DataFrame, mask: DataFrame, cap: int, unit: float = 1.0) -> DataFrame:
-    """Distance of every grid pixel to the nearest mask pixel, NULL beyond ``cap`` pixels.
+def mask_distance(grid: DataFrame, mask: DataFrame, unit: float = 1.0) -> DataFrame:
+    """Distance of every grid pixel to the nearest mask pixel, however far; NULL where the mask is empty.
 
-    Exact in two passes: nearest mask pixel along the column, then the best of the neighbouring columns. Each pass
-    reaches ``2 cap + 1`` pixels instead of its square.
+    Exact in two passes. Along a column each mask pixel owns the rows up to the middle of the gap to the next one, so
+    no pixel is searched. Along a row the nearest is the lowest of the parabolas of all mask columns; a task holds one
+    image row at a time.
     """
-    span = F.sequence(F.lit(-cap), F.lit(cap))
-    up = (mask.select("row", "col", F.explode(span).alias("d")).groupBy((F.col("row") + F.col("d")).alias("row"), "col")
-          .agg(F.min(F.abs("d")).alias("g")))
-    across = (up.select("row", "col", "g", F.explode(span).alias("d"))
-              .groupBy("row", (F.col("col") + F.col("d")).alias("col")).agg(F.min(F.col("d") * F.col("d") + F.col("g") * F.col("g")).alias("d2"))
-              .where(F.col("d2") <= cap * cap))
-    return grid.join(across, RC, "left").withColumn("dist", F.sqrt("d2") * unit).drop("d2")
+    span = F.broadcast(grid.agg(F.min("row").alias("lo"), F.max("row").alias("hi")))  # one row
+    down = Window.partitionBy("col").orderBy("row")
+    own = mask.select(*RC).distinct().withColumns({"before": F.lag("row").over(down), "after": F.lead("row").over(down)}).join(span)
+    first = F.greatest(F.floor((F.col("before") + F.col("row")) / 2) + 1, "lo")     # NULL neighbours are skipped
+    last = F.least(F.floor((F.col("row") + F.col("after")) / 2), "hi")
+    up = own.select("col", F.col("row").alias("at"), first.alias("first"), last.alias("last")).where("first <= last")
+    up = up.select(F.explode(F.sequence("first", "last")).alias("row"), "col", "at")
+    up = up.select(F.col("row").cast(grid.schema["row"].dataType), F.col("col").cast("long"), ((F.col("row") - F.col("at")) ** 2).cast("long").alias("g2"))
+    out = grid.groupBy("row").cogroup(up.groupBy("row")).applyInArrow(_lowest_in_row, StructType([*grid.schema.fields, StructField("d2", LongType())]))
+    return out.withColumn("dist", F.sqrt("d2") * unit).drop("d2")
+
+
+def _lowest_in_row(row: pa.Table, columns: pa.Table) -> pa.Table:
+    """For the pixels of one image row, the least squared distance given each column's own one (``g2``)."""
+    if not columns.num_rows or not row.num_rows:
+        return row.append_column("d2", pa.nulls(row.num_rows, pa.int64()))
+    columns = columns.sort_by("col")
+    at, g2 = columns["col"].to_numpy(), columns["g2"].to_numpy()
+    place, top = at.tolist(), (at * at + g2).tolist()
+    # parabolas that are lowest somewhere, and where each begins to be
+    low, since = [0], [-math.inf]
+    for i in range(1, len(place)):
+        while (cross := (top[i] - top[low[-1]]) / (2 * (place[i] - place[low[-1]]))) <= since[-1]:
+            low.pop(), since.pop()
+        low.append(i), since.append(cross)
+    unknown = row["col"].is_null().to_numpy()
+    col = row["col"].fill_null(0).to_numpy().astype(np.int64)
+    best = np.array(low)[np.searchsorted(since, col, side="right") - 1]
+    return row.append_column("d2", pa.array((col - at[best]) ** 2 + g2[best], pa.int64(), mask=unknown))
 
 
 CROSS = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
@@ -75,8 +102,9 @@ def erode(mask: DataFrame, shape: str = "square", keep=()) -> DataFrame:
 # --- footprints and channels -------------------------------------------------------------------------
 
 def footprint_stats(foot: DataFrame, dist: DataFrame, far: float = 2.0, key: str = "entity_id") -> DataFrame:
-    """Distinct pixels per entity, pixels beyond ``far`` of the mask, mean and largest distance."""
-    j = foot.select(key, *RC).distinct().join(dist, RC)
+    """Distinct pixels per entity, pixels beyond ``far`` of the mask, mean and largest distance. Pixels without a distance count
+    as pixels only."""
+    j = foot.select(key, *RC).distinct().join(dist.select(*RC, "dist"), RC, "left")
     return j.groupBy(key).agg(n_rows().alias("n_px"), F.count_if(F.col("dist") > far).alias("n_px_far"), F.avg((F.col("dist") > far).cast("double")).alias("frac_px_far"),
                               F.avg("dist").alias("dist_mean"), F.max("dist").alias("dist_max"))
 
@@ -99,9 +127,9 @@ def calibrate_threshold(px: DataFrame, background: DataFrame) -> DataFrame:
 
 def channel_stats(foot: DataFrame, px: DataFrame, thr: DataFrame, dist: DataFrame, far: float = 2.0, key: str = "entity_id", keep=()) -> DataFrame:
     """Per entity and marker: mean excess over the pedestal, positive share, and the share beyond and within ``far`` of
-    the mask (NULL without such pixels). The threshold table has one row per channel."""
+    the mask (NULL without such pixels). The threshold table has one row per channel. Pixels without a distance are in neither share."""
     k = [key, *as_list(keep)]
-    f = foot.select(*k, *RC).distinct().join(dist.select(*RC, (F.col("dist") > far).alias("is_far")), RC)
+    f = foot.select(*k, *RC).distinct().join(dist.select(*RC, (F.col("dist") > far).alias("is_far")), RC, "left")
     j = pixel_join(f, px.join(F.broadcast(thr.select("marker", "pedestal", "thr")), "marker"))
     v = F.greatest(F.col("value") - F.col("pedestal"), F.lit(0)).cast("double")
     j = j.select(*k, "marker", "is_far", v.alias("v"), (v > F.col("thr")).cast("double").alias("p"))
@@ -149,7 +177,7 @@ def toroidal_null(foot: DataFrame, px: DataFrame, thr: DataFrame, dist: DataFram
     The rate needs only how many entity pixels of a type lie on each pixel, so footprints are merged to (type, row,
     col) counts before they are shifted: the shifted table is bounded by image size x types x shifts.
     """
-    f = (foot.join(dist.select(*RC, (F.col("dist") > far).alias("is_far")), RC).groupBy(label, *RC)
+    f = (foot.join(dist.select(*RC, (F.col("dist") > far).alias("is_far")), RC, "left").groupBy(label, *RC)
          .agg(n_rows().alias("n"), F.count_if("is_far").alias("nf")))
     pos = px.join(F.broadcast(thr.select("marker", "pedestal", "thr")), "marker").where(F.greatest(F.col("value") - F.col("pedestal"), F.lit(0)) > F.col("thr")).select("marker", *RC)
     hit = shift_join(f, pos, shifts, h, w).groupBy("marker", "shift", label).agg(F.sum("n").alias("_p"), F.sum("nf").alias("_pf"))
@@ -289,7 +317,8 @@ def scan_windows(res: DataFrame, points: DataFrame, w: int, stride: int, tissue:
 
 def capture_ratio(windows: DataFrame, res: DataFrame, px: DataFrame, foot: DataFrame, thr: DataFrame, canon: dict[str, str], w: int, grow: int = 2, min_pos: int = 20, label: str = "cell_type") -> DataFrame:
     """Per window: how much residual own-marker signal the footprints capture, relative to the area they cover, weighted
-    over lineages by their residual positive pixels; lineages below ``min_pos`` such pixels are skipped.
+    over lineages by their residual positive pixels; lineages below ``min_pos`` such pixels are skipped. Residual are the
+    pixels that ``res`` marks: here the distance to the mask alone decides, tissue or not.
 
     Windows are keyed by the cells of their own size that they touch, so the joins are equi-joins.
     """

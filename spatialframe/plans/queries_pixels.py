@@ -23,8 +23,7 @@ def grid(spark, sf):
 
 
 def dist(spark, sf):
-    d = X.mask_distance(grid(spark, sf), V.mask(spark, sf), V.DIST_CAP)
-    return d.withColumn("dist", F.coalesce("dist", F.lit(V.DIST_CAP + 1.0)))
+    return X.mask_distance(grid(spark, sf), V.mask(spark, sf))
 
 
 def calibrated(spark, sf):
@@ -52,9 +51,9 @@ def stats(spark, sf, ready=None):
     return durable(X.channel_stats(classed(spark, sf), V.pixels(spark, sf), thr, d, keep=["cell_type", "entity_class"]))
 
 
-@query("mask_distance", "SELECT row, col, CASE WHEN dist < 7 THEN round(dist,6) END AS dist FROM dist", "dist")
+@query("mask_distance", "SELECT row, col, round(dist,6) AS dist FROM dist", "dist")
 def _(spark, sf):
-    return r(X.mask_distance(grid(spark, sf), V.mask(spark, sf), V.DIST_CAP), 6, "dist")
+    return r(dist(spark, sf), 6, "dist")
 
 
 @query("dilate", """WITH one AS (SELECT DISTINCT row+i AS row, col+j AS col FROM mask, (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)) o(i,j))
@@ -64,7 +63,7 @@ def _(spark, sf):
 
 
 @query("footprint_stats", """SELECT entity_id, count(*) AS n_px, count(*) FILTER (dist>2) AS n_px_far, round(avg(CASE WHEN dist>2 THEN 1.0 ELSE 0 END)+1e-8,6) AS frac_px_far, round(avg(dist),6) AS dist_mean, round(max(dist),6) AS dist_max
- FROM foot JOIN dist USING (row, col) GROUP BY 1""", ("foot", "dist"))
+ FROM foot LEFT JOIN dist USING (row, col) GROUP BY 1""", ("foot", "dist"))
 def _(spark, sf):
     return settle(r(X.footprint_stats(V.footprints(spark, sf), dist(spark, sf)), 6, "dist_mean", "dist_max"), 6, "frac_px_far")
 
@@ -222,21 +221,20 @@ def _(spark, sf):
     return r(eligible(spark, sf), 6, "tissue_frac", "residual_frac")
 
 
-@query("capture_ratio", f"""WITH {WIN_SQL}, {CANON_SQL}, {THR_SQL}, rw AS (SELECT wr, wc, row, col FROM elig JOIN res ON residual AND row>=r0 AND row<r0+{W} AND col>=c0 AND col<c0+{W}), nr AS (SELECT wr, wc, count(*) AS n_res FROM rw GROUP BY 1,2),
+@query("capture_ratio", f"""WITH {WIN_SQL}, {CANON_SQL}, {THR_SQL}, rw AS (SELECT wr, wc, row, col FROM elig JOIN dist ON dist>2 AND row>=r0 AND row<r0+{W} AND col>=c0 AND col<c0+{W}), nr AS (SELECT wr, wc, count(*) AS n_res FROM rw GROUP BY 1,2),
  fw AS (SELECT DISTINCT wr, wc, r0, c0, f.cell_type, f.row, f.col FROM elig JOIN (SELECT * FROM foot WHERE cell_type IN ('BUILDING','MACHINERY','FURNITURE') AND sample>2) f ON f.row>=r0 AND f.row<r0+{W} AND f.col>=c0 AND f.col<c0+{W}),
  d1 AS (SELECT DISTINCT wr, wc, r0, c0, cell_type, row+i AS row, col+j AS col FROM fw, (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)) o(i,j) WHERE row+i>=r0 AND row+i<r0+{W} AND col+j>=c0 AND col+j<c0+{W}),
  fm AS (SELECT DISTINCT wr, wc, cell_type, row+i AS row, col+j AS col FROM d1, (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)) o(i,j) WHERE row+i>=r0 AND row+i<r0+{W} AND col+j>=c0 AND col+j<c0+{W}),
- pp AS (SELECT marker, row, col FROM px JOIN thr USING (marker) WHERE value-pedestal > 0),
+ pp AS (SELECT marker, row, col FROM px JOIN thr USING (marker) WHERE value-pedestal > thr),
  rp AS (SELECT DISTINCT rw.wr, rw.wc, c.cell_type, rw.row, rw.col FROM rw JOIN pp USING (row, col) JOIN canon c USING (marker) JOIN (SELECT DISTINCT wr, wc, cell_type FROM fw) x ON x.wr=rw.wr AND x.wc=rw.wc AND x.cell_type=c.cell_type),
  t AS (SELECT p.wr, p.wc, p.cell_type, pr, coalesce(cap,0)/CAST(pr AS DOUBLE) AS c, area/CAST(n_res AS DOUBLE) AS a FROM (SELECT wr, wc, cell_type, count(*) AS pr FROM rp GROUP BY 1,2,3) p JOIN (SELECT wr, wc, cell_type, count(*) AS area FROM fm SEMI JOIN rw USING (wr, wc, row, col) GROUP BY 1,2,3) USING (wr, wc, cell_type)
    LEFT JOIN (SELECT wr, wc, cell_type, count(*) AS cap FROM rp SEMI JOIN fm USING (wr, wc, cell_type, row, col) GROUP BY 1,2,3) USING (wr, wc, cell_type) JOIN nr USING (wr, wc) WHERE pr>=3)
 SELECT wr, wc, round(sum(pr*c)/sum(pr),6) AS capture_frac, round(sum(pr*a)/sum(pr),6) AS area_frac, round(sum(pr*c/a)/sum(pr),6) AS capture_ratio FROM t GROUP BY 1,2""", ("foot", "dist"))
 def _(spark, sf):
-    # every channel above its pedestal counts as positive here
     d, thr = calibrated(spark, sf)
-    thr, res = thr.withColumn("thr", F.lit(0.0)), durable(residual(spark, sf, d))
-    foot = V.footprints(spark, sf).where("sample > 2")
-    c = X.capture_ratio(eligible(spark, sf, res), res, V.pixels(spark, sf), foot, thr, CANON, W, min_pos=3)
+    foot = classed(spark, sf).where("entity_class = 'partial'")
+    beyond = d.select("row", "col", (F.col("dist") > 2).alias("residual"))
+    c = X.capture_ratio(eligible(spark, sf, durable(residual(spark, sf, d))), beyond, V.pixels(spark, sf), foot, thr, CANON, W, min_pos=3)
     return r(c, 6, "capture_frac", "area_frac", "capture_ratio")
 
 

@@ -150,11 +150,9 @@ MASK_SQL = """mask AS (
 SELECT row, col FROM px WHERE marker = 'A'
   AND value >= (SELECT quantile_cont(value, 0.97) FROM px WHERE marker = 'A'))"""
 
-# pixel distance to the mask, exact up to 6 pixels, 7 beyond
-DIST_CAP = 6
+# pixel distance to the mask
 DIST_SQL = """dist AS (
-SELECT g.row, g.col, CASE WHEN min((g.row-m.row)*(g.row-m.row)+(g.col-m.col)*(g.col-m.col)) <= 36
-    THEN sqrt(min((g.row-m.row)*(g.row-m.row)+(g.col-m.col)*(g.col-m.col))) ELSE 7.0 END dist
+SELECT g.row, g.col, sqrt(min((g.row-m.row)*(g.row-m.row)+(g.col-m.col)*(g.col-m.col))) dist
 FROM (SELECT DISTINCT row, col FROM px) g CROSS JOIN mask m GROUP BY 1,2)"""
 
 VIEW_SQL = {"ent": [ENT_SQL], "mol": [MOL_SQL], "calls": [CALLS_SQL], "px": [PX_SQL],

@@ -301,12 +301,31 @@ def test_pedestal_tie_takes_the_smallest(spark):
 
 def test_mask_distance_is_exact(spark):
     r = random.Random(3)
-    mask = {(r.randint(0, 30), r.randint(0, 30)) for _ in range(12)}
-    grid = spark.range(31 * 31).select((F.col("id") / 31).cast("int").alias("row"), (F.col("id") % 31).cast("int").alias("col"))
-    got = pixels.mask_distance(grid, spark.createDataFrame(list(mask), "row int, col int"), 9).collect()
-    for x in got:
-        d = min(math.dist((x.row, x.col), m) for m in mask)
-        assert x.dist == (pytest.approx(d) if d <= 9 else None)
+    grid = spark.range(31 * 61).select((F.col("id") / 61).cast("int").alias("row"), (F.col("id") % 61).cast("int").alias("col"), F.lit("x").alias("tag"))
+    spots = {(r.randint(0, 30), r.randint(0, 60)) for _ in range(12)}
+    corner = {(0, 0), (0, 1), (5, 0)}                   # pixels 60 steps away
+    outside = {(-9, 70), (40, 3)}                       # a mask beyond the grid counts too
+    for mask in (spots, corner, outside, spots | outside):
+        got = pixels.mask_distance(grid, spark.createDataFrame(list(mask), "row int, col int")).collect()
+        assert len(got) == 31 * 61
+        for x in got:
+            assert x.dist == pytest.approx(min(math.dist((x.row, x.col), m) for m in mask)) and x.tag == "x"
+
+
+def test_mask_distance_without_mask_or_place(spark):
+    grid = spark.createDataFrame([(0, 0), (None, 1), (2, None), (2, 2)], "row int, col int")
+    empty = spark.createDataFrame([], "row int, col int")
+    assert {x.dist for x in pixels.mask_distance(grid, empty).collect()} == {None}
+    got = {(x.row, x.col): x.dist for x in pixels.mask_distance(grid, spark.createDataFrame([(2, 5)], "row int, col int")).collect()}
+    assert got == {(0, 0): pytest.approx(math.sqrt(29)), (None, 1): None, (2, None): None, (2, 2): 3.0}
+    assert pixels.mask_distance(empty, grid).count() == 0
+
+
+def test_footprint_pixels_without_distance_stay(spark):
+    foot = spark.createDataFrame([("a", 0, 0), ("a", 0, 1), ("b", 9, 9)], "entity_id string, row int, col int")
+    dist = spark.createDataFrame([(0, 0, 3.0)], "row int, col int, dist double")
+    got = {x.entity_id: (x.n_px, x.n_px_far, x.dist_max) for x in pixels.footprint_stats(foot, dist).collect()}
+    assert got == {"a": (2, 1, 3.0), "b": (1, 0, None)}
 
 
 def test_feature_knn_matches_brute_force(spark):
