@@ -39,35 +39,30 @@ def normal_isf(p: pd.Series) -> pd.Series:
     return p.map(f).astype("float64")
 
 
+def _stirling_rest(z: float) -> float:
+    # log gamma less its Stirling form
+    if z >= 15.0:
+        return (1.0 / 12.0 - (1.0 / 360.0 - 1.0 / (1260.0 * z * z)) / (z * z)) / z
+    return math.lgamma(z) - ((z - 0.5) * math.log(z) - z + 0.5 * math.log(2.0 * math.pi))
+
+
 def _binom_two_sided(k: int, n: int) -> float:
-    # at p = 1/2 the distribution is symmetric: the two-sided p is twice the smaller tail
-    if n <= 0:
-        return math.nan
+    # at p = 1/2 the distribution is symmetric: the two-sided p is twice the smaller tail, an incomplete beta at 1/2
     m = min(k, n - k)
-    log_half = n * math.log(0.5)
-    tail = math.fsum(
-        math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + log_half)
-        for i in range(m, max(m - 4000, -1), -1))
     if 2 * m == n:
         return 1.0
-    return min(1.0, 2.0 * tail)
+    a, b = float(n - m), m + 1.0
+    s, u = a + b, (a - b) / (a + b)
+    log_front = (0.5 * math.log(a / s * b / (2.0 * math.pi)) - a * math.log1p(u) - b * math.log1p(-u)
+                 + _stirling_rest(s) - _stirling_rest(a) - _stirling_rest(b))
+    return min(1.0, 2.0 * math.exp(log_front) * _betacf(a, b, 0.5) / a)
 
 
 @F.pandas_udf(DoubleType())
 def binom_two_sided(k: pd.Series, n: pd.Series) -> pd.Series:
-    """Exact two-sided sign-test p. Terms more than 4,000 below the edge are under double precision
-    unless the edge is near n/2 for a huge n, where the nearest 4,000 terms are summed and the normal
-    tail covers the rest."""
+    """Exact two-sided sign-test p for any n."""
     def f(kk, nn):
-        if not _finite(kk, nn) or nn <= 0:
-            return None
-        kk, nn = int(kk), int(nn)
-        p = _binom_two_sided(kk, nn)
-        m = min(kk, nn - kk)
-        if m > 4000 and 2 * m != nn:
-            z = (m - 4000 + 0.5 - nn / 2.0) / (math.sqrt(nn) / 2.0)
-            p = min(1.0, p + math.erfc(-z / math.sqrt(2.0)))
-        return p
+        return _binom_two_sided(int(kk), int(nn)) if _finite(kk, nn) and nn > 0 else None
     return pd.Series([f(a, b) for a, b in zip(k, n)], dtype="float64")
 
 
@@ -77,7 +72,7 @@ def _betacf(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 500):
+    for m in range(1, 500 + int(10.0 * math.sqrt(max(a, b)))):      # near the mean it takes about the root of the larger one
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for num in (even, odd):

@@ -36,20 +36,31 @@ def bh_adjust(df: DataFrame, p: str, by=(), out: str = "q") -> DataFrame:
     return res.drop(one) if one else res
 
 
+#: Units of an exact sign-flip test: it goes through 2^n patterns.
+MAX_UNITS = 20
+
+
 def signflip_exact(df: DataFrame, by, d: str) -> DataFrame:
-    """Exact two-sided paired sign-flip test per group, over all sign patterns of its few differences."""
+    """Exact two-sided paired sign-flip test per group, over all sign patterns of its few differences. Groups of more than
+    ``MAX_UNITS`` units keep their row with their n and a NULL p; units are counted before any are gathered."""
     by = as_list(by)
-    g = (df.where(F.col(d).isNotNull() & ~F.isnan(d)).groupBy(*by)
-         .agg(n_rows().alias("n"), F.collect_list(F.col(d).cast("double")).alias("_v")))
-    # 2^n patterns: this test is for a handful of units, more must not be enumerated
-    g = g.withColumn("_v", F.when(F.col("n") <= 20, F.array_sort("_v"))
-                     .otherwise(F.raise_error(F.lit("sign-flip test needs at most 20 units")).cast("array<double>")))
+    one = None if by else "__all"
+    keys = by or [one]
+    known = df.where(F.col(d).isNotNull() & ~F.isnan(d))
+    known = (known.withColumn(one, F.lit(1)) if one else known).select(*keys, F.col(d).cast("double").alias("_d"))
+    sizes = known.groupBy(*keys).agg(n_rows().alias("n"))
+    few = sizes.where(F.col("n") <= MAX_UNITS).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)])
+    few = known.join(few, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)], "left_semi")
+    few = few.groupBy(*keys).agg(n_rows().alias("n"), F.array_sort(F.collect_list("_d")).alias("_v"))
+    many = sizes.where(F.col("n") > MAX_UNITS).withColumn("_v", F.lit(None).cast("array<double>"))
+    g = few.unionByName(many)
+    g = g.drop(one) if one else g
     total = "aggregate(_v, 0D, (a, v) -> a + v)"
     flips = F.expr(f"""
       size(filter(sequence(0L, shiftleft(1L, cast(n as int)) - 1L), m -> abs(aggregate(
              transform(_v, (v, i) -> if((shiftright(m, i) & 1L) = 1L, v, -v)), 0D, (a, v) -> a + v)) / n
            >= abs({total}) / n - 1e-12))""")
-    return g.select(*by, "n", (flips / F.pow(F.lit(2.0), F.col("n"))).alias("p"))
+    return g.select(*by, "n", F.when(F.col("n") <= MAX_UNITS, flips / F.pow(F.lit(2.0), F.col("n"))).alias("p"))
 
 
 def value_counts(df: DataFrame, by, value: str, flag) -> DataFrame:

@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import as_list, hash_hex, n_rows
 from ..functions.durable import durable
-from .entities import sample_cap
 from .windows import rank_within, top_n_per_group
 
 MAX_PIVOTS = 1024
@@ -99,30 +101,53 @@ def feature_knn(prof: DataFrame, k: int, id: str = "id", vec: str = "vector", se
     return rank_within(best, "id", ["d2", "neighbor_id"]).select("id", "neighbor_id", F.sqrt("d2").alias("dist"), "rank")
 
 
-def shared_embedding(prof: DataFrame, n_pool: int = 20000, k: int = 30, seed=0, id: str = "id", vec: str = "vector", arm: str = "arm", lognorm: bool = True) -> DataFrame:
-    """Project all arms into one principal-component space fitted on a balanced pool.
+def shared_embedding(prof: DataFrame, k: int = 30, id: str = "id", vec: str = "vector", arm: str = "arm", lognorm: bool = True) -> DataFrame:
+    """Project all arms into one principal-component space fitted on all rows, each arm with the same weight.
 
-    Pool: at most ``n_pool`` rows per arm. Profiles are log-normalised (optional), scaled with the pool's mean and
-    sd (sd below 1e-6 counts as 1) and clipped to +-10. Each component's sign makes its largest loading positive.
+    Profiles are log-normalised (optional), scaled with mean and sd (sd below 1e-6 counts as 1) and clipped to +-10.
+    Each task sums its second moments per arm; only the matrix of dimensions meets the driver. Each component's sign
+    makes its largest loading positive. A NULL vector stays out of the fit and has NULL scores.
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
     v = F.transform(vec, lambda x: x.cast("double"))
     if lognorm:
         tot = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
         v = F.transform(v, lambda x: F.log1p(x / F.when(tot == 0, 1.0).otherwise(tot) * 1e4))
     base = prof.select(F.col(id).alias("id"), F.col(arm).alias("arm"), v.alias("v"))
-    pool = sample_cap(base, "arm", n_pool, seed, "id")
+    per_arm = base.select("arm", F.posexplode("v").alias("i", "x")).groupBy("arm", "i").agg(F.avg("x").alias("m"), F.var_pop("x").alias("s2"))
     # one mean and sd per dimension
-    st = (pool.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-          .orderBy("i").collect())
-    mean = F.array(*[F.lit(float(r["m"])) for r in st])
-    sd = F.array(*[F.lit(float(r["s"]) if r["s"] >= 1e-6 else 1.0) for r in st])
-    unit = F.zip_with(F.zip_with("v", mean, lambda x, m: x - m), sd, lambda x, s: F.greatest(F.least(x / s, F.lit(10.0)), F.lit(-10.0)))
-    scaled = lambda d: d.select("id", "arm", array_to_vector(unit).alias("f"))
-    model = PCA(k=min(k, len(st)), inputCol="f", outputCol="p").fit(scaled(pool))
-    load = model.pc.toArray()
-    sign = np.sign(load[np.abs(load).argmax(0), np.arange(load.shape[1])])
-    flips = F.array(*[F.lit(float(x)) for x in sign])
-    return model.transform(scaled(base)).select("id", "arm", F.zip_with(vector_to_array("p"), flips, lambda a, b: a * b).alias("pcs"))
+    st = per_arm.groupBy("i").agg(F.avg("m").alias("m"), F.sqrt(F.avg("s2") + F.var_pop("m")).alias("s")).orderBy("i").collect()
+    if not st:
+        return base.select("id", "arm", F.lit(None).cast("array<double>").alias("pcs"))
+    mean = np.array([r["m"] for r in st])
+    sd = np.array([r["s"] if r["s"] >= 1e-6 else 1.0 for r in st])
+    d = len(st)
+
+    def unit(vectors: pa.ListArray) -> np.ndarray:
+        return np.clip((vectors.flatten().to_numpy().reshape(-1, d) - mean) / sd, -10.0, 10.0)
+
+    def moments(batches):
+        sums: dict = {}
+        for b in batches:
+            arms = np.array(b["arm"].to_pylist(), object)
+            x = unit(b["v"])
+            for a in set(arms.tolist()):
+                y = x[np.array([z == a for z in arms], bool)]
+                sums[a] = sums.get(a, 0.0) + np.concatenate([[len(y)], y.sum(0), (y.T @ y).ravel()])
+        for a, t in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([a], kind), pa.array([t.tolist()], pa.list_(pa.float64()))], ["arm", "t"])
+
+    kind = to_arrow_type(base.schema["arm"].dataType)
+    parts = base.where("v is not null").select("arm", "v").mapInArrow(moments, StructType([base.schema["arm"], StructField("t", ArrayType(DoubleType()))]))
+    whole = parts.select("arm", F.element_at("t", 1).alias("n"), F.posexplode("t").alias("i", "t")).groupBy("arm", "i").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    t = np.array([r["t"] for r in whole.groupBy("i").agg(F.avg(F.col("t") / F.col("n")).alias("t")).orderBy("i").collect()])
+    center = t[1:d + 1]
+    load = np.linalg.eigh(t[d + 1:].reshape(d, d) - np.outer(center, center))[1][:, ::-1][:, :k]
+    load = load * np.sign(load[np.abs(load).argmax(0), np.arange(load.shape[1])])
+
+    def project(batches):
+        for b in batches:
+            known = b["v"].is_valid().to_numpy(zero_copy_only=False)
+            scores = iter((unit(b["v"].drop_null()) @ load).tolist())
+            pcs = pa.array([next(scores) if y else None for y in known], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b["id"], b["arm"], pcs], ["id", "arm", "pcs"])
+    return base.mapInArrow(project, StructType([base.schema["id"], base.schema["arm"], StructField("pcs", ArrayType(DoubleType()))]))

@@ -299,6 +299,47 @@ def test_pedestal_tie_takes_the_smallest(spark):
     assert t.pedestal == 99 and t.thr == pytest.approx(1.96)
 
 
+def test_signflip_large_group_leaves_the_others_alone(spark):
+    d = spark.createDataFrame([("few", float(i)) for i in range(1, 7)] + [("many", 1.0)] * 500 + [(None, 2.0)], "g string, d double")
+    assert {x.g: (x.n, x.p) for x in stats.signflip_exact(d, "g", "d").collect()} == {"few": (6, 2 / 64), "many": (500, None), None: (1, 1.0)}
+    assert stats.signflip_exact(d.where("g = 'few'"), [], "d").first().p == 2 / 64
+
+
+def test_binomial_tail_is_exact_for_any_n():
+    from spatialframe.functions.tails import _binom_two_sided
+    for n in (1, 2, 3, 10, 51, 400, 20_001):
+        for k in {0, 1, n // 3, n // 2 - 1, n // 2, n - 1, n} & set(range(n + 1)):
+            if n > 400 and abs(2 * k - n) > 600:
+                continue
+            tail = sum(math.comb(n, i) for i in range(min(k, n - k) + 1)) if n <= 400 else None
+            if tail is None:  # from the middle outwards, in whole numbers
+                half, c = 1 << (n - 1), math.comb(n, n // 2)
+                for i in range(n // 2, min(k, n - k), -1):
+                    half, c = half - c, c * i // (n - i + 1)
+                tail = half
+            assert _binom_two_sided(k, n) == pytest.approx(min(1.0, (2 * tail << 60) // (1 << n) / 2 ** 60 if n > 400 else 2 * tail / 2 ** n), rel=1e-9)
+    # far beyond 4,000 terms the normal tail with continuity correction agrees
+    assert _binom_two_sided(5 * 10 ** 7 - 5000, 10 ** 8) == pytest.approx(math.erfc((9999 / 1e4) / math.sqrt(2)), rel=1e-6)
+
+
+def test_shared_embedding_fits_all_rows_with_equal_arms(spark):
+    import numpy as np
+    g = np.random.default_rng(5)
+    x = {"a": g.normal(0, 1, (60, 5)) * [3, 1, 1, .5, 0], "b": g.normal(1, 2, (900, 5)) * [1, 1, 4, .5, 0]}
+    rows = [(f"{a}{i}", a, v.tolist()) for a, m in x.items() for i, v in enumerate(m)] + [("none", "a", None)]
+    d = spark.createDataFrame(rows, "id string, arm string, vector array<double>").repartition(5)
+    got = {r.id: r.pcs for r in vectors.shared_embedding(d, 3, lognorm=False).collect()}
+    assert len(got) == 961 and got["none"] is None
+    mean = (x["a"].mean(0) + x["b"].mean(0)) / 2
+    var = sum((m ** 2).mean(0) for m in x.values()) / 2 - mean ** 2
+    unit = {a: np.clip((m - mean) / np.where(var >= 1e-12, np.sqrt(var), 1), -10, 10) for a, m in x.items()}
+    c = sum(u.mean(0) for u in unit.values()) / 2
+    load = np.linalg.eigh(sum(u.T @ u / len(u) for u in unit.values()) / 2 - np.outer(c, c))[1][:, ::-1][:, :3]
+    load *= np.sign(load[np.abs(load).argmax(0), range(3)])
+    for a, u in unit.items():
+        assert np.allclose([got[f"{a}{i}"] for i in range(len(u))], u @ load, atol=1e-6)
+
+
 def test_mask_distance_is_exact(spark):
     r = random.Random(3)
     grid = spark.range(31 * 61).select((F.col("id") / 61).cast("int").alias("row"), (F.col("id") % 61).cast("int").alias("col"), F.lit("x").alias("tag"))
