@@ -15,8 +15,7 @@ from ..functions import as_list, n_rows
 from ..functions.durable import durable
 from .windows import top_n_per_group
 
-HOT_CELL = 20_000       # points per cell above which the cell's work is split
-MAX_HOT_CELLS = 10_000  # the table of split cells is broadcast, so its size is bounded here
+HOT_CELL = 20_000  # points per cell above which the cell's work is split
 
 
 def cell_of(df: DataFrame, size: float, x: str = "x", y: str = "y", out=("cx", "cy")) -> DataFrame:
@@ -32,12 +31,10 @@ HALF = [(0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]  # own cell and one of every tw
 
 
 def _split_hot(left: DataFrame, right: DataFrame, keys, l_id: str, r_id: str, hot: int):
-    """Cut the work of crowded cells into k x k parts. The heaviest cells are taken from a bounded list; a
-    crowded cell beyond it holds less than 1/10,000 of all points."""
-    heavy = (left.groupBy(*keys).agg(n_rows().alias("_c")).where(F.col("_c") > hot)
-             .orderBy(F.desc("_c")).limit(MAX_HOT_CELLS)
-             .select(*keys, F.ceil(F.col("_c") / hot).cast("int").alias("_k")))
-    heavy = F.broadcast(heavy)
+    """Cut the work of every crowded cell into k x k parts. The table of crowded cells is written, so that its size is known and
+    Spark broadcasts it while it is small, before the points are shuffled."""
+    heavy = durable(left.groupBy(*keys).agg(n_rows().alias("_c")).where(F.col("_c") > hot)
+                    .select(*keys, F.ceil(F.col("_c") / hot).cast("int").alias("_k")))
     k = F.coalesce("_k", F.lit(1))
     span = F.sequence(F.lit(0).cast("bigint"), (k - 1).cast("bigint"))
     lefts = (left.join(heavy, keys, "left").withColumn("_sl", F.pmod(F.xxhash64(l_id), k))

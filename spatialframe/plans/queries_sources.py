@@ -37,14 +37,14 @@ def _(spark, sf):
 @query("read_polygons_window", """SELECT cell_id, x_min, x_max, y_min, y_max FROM (SELECT CAST(c_custkey AS VARCHAR) AS cell_id, CAST(c_nationkey AS DOUBLE) AS x_min, c_nationkey + 2.0::DOUBLE AS x_max, CAST(c_custkey AS DOUBLE)/10 AS y_min, c_custkey/10.0::DOUBLE + 1 AS y_max FROM customer) WHERE x_max >= 4 AND x_min <= 11 AND y_max >= 9 AND y_min <= 61""")
 def _(spark, sf):
     path = scratch(spark)
-    c = V.table(spark, sf, "customer").select(F.col("c_nationkey").alias("g"), F.to_json(F.struct(
+    c = V.table(spark, sf, "customer").select(F.col("c_nationkey").alias("g"), F.floor(F.col("c_custkey") / 256).alias("block"), F.to_json(F.struct(
         F.struct(F.col("c_custkey").cast("string").alias("cell_id")).alias("properties"),
         F.struct(F.lit("Polygon").alias("type"), F.expr(
             "array(array(array(c_nationkey, c_custkey/10), array(c_nationkey+2, c_custkey/10), array(c_nationkey+2, c_custkey/10+1), array(c_nationkey, c_custkey/10+1)))").alias("coordinates")).alias("geometry"))).alias("f"))
-    # one collection per nation and per block of customers, one file line each
-    docs = c.groupBy("g").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
+    # one collection per nation and block of 256 customer keys, one line each
+    docs = c.groupBy("g", "block").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
     docs.select("value").write.text(path)
-    polys = text.polygons_in_window(text.polygons_of(spark.read.text(path), "value"), (5, 10, 10, 60), 1.0)
+    polys = text.read_polygons_window(spark, path, (5, 10, 10, 60), 1.0, per_line=True)
     return polys.select("cell_id", "x_min", "x_max", "y_min", "y_max")
 
 

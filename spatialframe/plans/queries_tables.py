@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import hash_hex, stars
+from ..functions.durable import shared_dir
 from ..operators import entities as E, windows as G
 from ..sources import tables as A
 from . import views as V
@@ -19,8 +22,10 @@ def _(spark, sf):
 
 @query("scan_arm", "SELECT 'post_all' AS arm, * FROM ent UNION ALL SELECT 'post_whole', * FROM ent WHERE etype = 'cell'", "ent")
 def _(spark, sf):
-    e = V.entities(spark, sf)
-    return G.union_arms(*[A.arm_of(e, a).withColumn("arm", F.lit(a)) for a in ("post_all", "post_whole")])
+    e, root = V.entities(spark, sf), f"{shared_dir(spark)}/arms-{uuid.uuid4().hex}"
+    for arm in ("post_whole", "post_partial"):
+        A.arm_of(e, arm).write.parquet(f"{root}/all_{arm}_spatial.parquet")
+    return G.union_arms(*[A.scan_arm(spark, root, a) for a in ("post_all", "post_whole")])
 
 
 @query("scan_molecules", "SELECT l_orderkey, l_extendedprice, l_quantity FROM lineitem")

@@ -37,30 +37,37 @@ def polygons_in_window(polys: DataFrame, box=None, pad: float = 0.0) -> DataFram
     return p.where((F.col("x_max") >= x0 - pad) & (F.col("x_min") <= x1 + pad) & (F.col("y_max") >= y0 - pad) & (F.col("y_min") <= y1 + pad))
 
 
-def read_polygons_window(spark: SparkSession, path: str, box=None, pad: float = 0.0) -> DataFrame:
-    """Polygon collections, one JSON document per file, cut to a window."""
-    return polygons_in_window(polygons_of(spark.read.text(path, wholetext=True), "value"), box, pad)
+def read_polygons_window(spark: SparkSession, path: str, box=None, pad: float = 0.0, per_line: bool = False) -> DataFrame:
+    """Polygon collections cut to a window, one JSON document per file or, with ``per_line``, per line, so that large files can be split."""
+    return polygons_in_window(polygons_of(spark.read.text(path, wholetext=not per_line), "value"), box, pad)
 
 
-def wide_text_to_long(spark: SparkSession, path: str, cells: DataFrame | None = None, features: DataFrame | None = None, sep: str = "\t") -> DataFrame:
+def wide_text_to_long(spark: SparkSession, path: str, cells: DataFrame | None = None, features: DataFrame | None = None, sep: str = "\t",
+                      skip_bad: bool = False) -> DataFrame:
     """Feature-per-line matrix with a header of cell names -> (cell_id, feature, count), zeros and blanks dropped.
 
-    Lines are split where they lie; the header is matched by position. A feature name may carry an alias after '|'.
-    Lines whose width differs from the header are skipped.
+    Lines are split where they lie; each file has its own header, its first line, matched by position. A feature name may carry an
+    alias after '|'. A line whose width differs from its header and a value that is no number stop the job; with ``skip_bad`` they are
+    left out.
     """
     lines = spark.read.text(path).where(F.length("value") > 0).select(
-        F.split("value", sep).alias("p"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_seq"))
-    head = lines.where("_at = 0").orderBy("_seq").limit(1).select("p")
-    width = head.select(F.size("p").alias("_w"), F.get("p", F.lit(0)).alias("_corner"))
-    names = head.select(F.posexplode("p").alias("pos", "cell_id")).where("pos > 0")
+        F.split("value", sep).alias("p"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
+        F.monotonically_increasing_id().alias("_seq"))
+    head = lines.where("_at = 0").groupBy("_file").agg(F.min_by("p", "_seq").alias("_head"), F.min("_seq").alias("_first"))
+    names = head.select("_file", F.posexplode("_head").alias("pos", "cell_id")).where("pos > 0")
     if cells is not None:
         names = names.join(cells.select("cell_id"), "cell_id", "left_semi")
-    body = lines.join(F.broadcast(width), F.size("p") == F.col("_w")).where(F.get("p", F.lit(0)) != F.col("_corner"))
+    body = lines.join(head.select("_file", "_first", F.size("_head").alias("_w")), "_file").where("_at <> 0 or _seq <> _first")
+    if skip_bad:
+        body = body.where(F.size("p") == F.col("_w"))
+    else:
+        body = body.withColumn("p", F.expr("case when size(p) = _w then p else cast(raise_error(concat('line of another width than its header in ', _file)) as array<string>) end"))
     body = body.withColumn("feature", F.split(F.get("p", F.lit(0)), r"\|")[0])
     if features is not None:
         body = body.join(features.select("feature"), "feature", "left_semi")
-    long = body.select("feature", F.posexplode("p").alias("pos", "v")).where("pos > 0").withColumn("count", F.expr("try_cast(v as double)"))
-    return long.where("count <> 0").join(names, "pos").select("cell_id", "feature", "count")
+    long = body.select("_file", "feature", F.posexplode("p").alias("pos", "v")).where("pos > 0 and trim(v) <> ''")
+    number = "try_cast(v as double)" if skip_bad else "coalesce(try_cast(v as double), cast(raise_error(concat('no number: ', v, ' in ', _file)) as double))"
+    return long.withColumn("count", F.expr(number)).where("count <> 0").join(names, ["_file", "pos"]).select("cell_id", "feature", "count")
 
 
 def unique_names(names: DataFrame, index: str = "index", name: str = "feature") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spatialframe.functions import exact_percentiles, hash_hex, hash_rank, prefix_sums, rarefied_detection, stars, take_hash_ranked
 from spatialframe.operators import calls, entities, graph, pixels, resample, spatial, stats, summaries, vectors, windows
+from spatialframe.sources import text
 
 
 def pts(spark, rows):
@@ -395,3 +396,15 @@ def test_specificity_p_and_q(spark):
     nul = spark.createDataFrame([(m, s, "T", 0.1 + 0.01 * s, 0.1) for m in "AB" for s in range(3)], "marker string, shift int, cell_type string, pos_frac double, pos_frac_far double")
     got = {r.marker: r for r in pixels.specificity_matrix(st, nul, canon={"T": "A"}).collect()}
     assert got["A"].p_z < 1e-6 and got["A"].q_bh >= got["A"].p_z and got["B"].p_z > 0.5 and got["A"].is_canonical and not got["B"].is_canonical
+
+
+def test_wide_text_headers_and_bad_lines(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("gene\tc1\tc2\nG1|x\t1\t0\ngene\t2\t\n")
+    (tmp_path / "b.tsv").write_text("gene\tc3\nG1\t5\n")
+    rows = lambda **kw: sorted(tuple(r) for r in text.wide_text_to_long(spark, str(tmp_path), **kw).collect())
+    want = [("c1", "G1", 1.0), ("c1", "gene", 2.0), ("c3", "G1", 5.0)]
+    assert rows() == want
+    (tmp_path / "c.tsv").write_text("gene\tc4\nG1\t5\t6\nG2\tword\n")
+    with pytest.raises(Exception, match="another width|no number"):
+        rows()
+    assert rows(skip_bad=True) == want
