@@ -5,6 +5,8 @@ the same template. Windows of template tokens are joined by hash with those of t
 text less place in the item) must fill the slots consistently: equal item values have equal text values and different ones differ.
 A document is contaminated by an item when consistent matches on one diagonal cover ``cover`` of its tokens, or all of a shorter one.
 
+Each window has a second form, its own words without case, so a copy with the item's values is found in capitals or lower case too.
+
 A name is a capitalised word inside a sentence. Words without letter or digit are skipped. Items with fewer than ``literals`` tokens
 that are no placeholder match nothing. Null and empty texts hold no windows; repeated rows give repeated evidence for one
 document only; a null doc_id is carried as null. Either table may be empty.
@@ -71,26 +73,35 @@ class Lexicon(dict):
         return codes[live], values[live], (flags & (IS_NUMBER | IS_UNIT) > 0)[live] | name[live]
 
 
-def _windows(codes: np.ndarray, slots: np.ndarray, k: int, bloom: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of the windows of ``k`` tokens with enough literals that may be in the filter."""
-    h = window_hashes(codes, k)
-    at = np.arange(len(h)) if bloom is None else np.flatnonzero(in_bloom(bloom, h))
-    if len(at):
-        literal = np.concatenate([[0], np.cumsum(~slots)])
-        at = at[literal[at + k] - literal[at] >= LITERALS]
-    return at, h[at]
+VERBATIM, TEMPLATE = 0, 1
+
+
+def _windows(codes: np.ndarray, values: np.ndarray, slots: np.ndarray, k: int, bloom: np.ndarray | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(form, start, hash) of the windows of ``k`` tokens that may be in the filter: all by their values, and by their template those
+    with a slot and enough literals."""
+    n = len(codes) - k + 1
+    if n <= 0:
+        return []
+    own, template = window_hashes(values, k), window_hashes(codes, k)
+    literal = np.concatenate([[0], np.cumsum(~slots)])
+    here = literal[k:] - literal[:n]
+    out = []
+    for form, h, at in ((VERBATIM, own, np.arange(n)), (TEMPLATE, template, np.flatnonzero((here < k) & (here >= LITERALS)))):
+        at = at if bloom is None else at[in_bloom(bloom, h[at])]
+        if len(at):
+            out.append((form, at, h[at]))
+    return out
 
 
-def _rows(at, h, codes, values, slots, k):
-    """Second hash and slot values of each window (0 for a literal)."""
-    place = at[:, None] + np.arange(k)
+def _rows(at, h, codes, k):
+    """Both hashes of each window."""
     second = np.zeros(len(at), np.uint64)
     for j in range(k):
-        second = mix(second * np.uint64(31) + codes[place[:, j]] + np.uint64(j))
-    return signed(h), signed(second), np.where(slots[place], signed(values)[place], 0)
+        second = mix(second * np.uint64(31) + codes[at + j] + np.uint64(j))
+    return signed(h), signed(second)
 
 
-SCHEMA = "h long, h2 long, at int, k int, v array<long>"
+SCHEMA = "h long, h2 long, at int, k int, form int, v array<long>"
 
 
 def item_windows(bench: DataFrame) -> DataFrame:
@@ -103,11 +114,12 @@ def item_windows(bench: DataFrame) -> DataFrame:
             k = min(WINDOW, len(codes))
             if k < LITERALS:
                 continue
-            at, h = _windows(codes, slots, k)
-            h1, h2, v = _rows(at, h, codes, values, slots, k)
-            n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array([len(codes)] * n, pa.int32()), pa.array(h1), pa.array(h2), pa.array(at.astype(np.int32)),
-                                              pa.array([k] * n, pa.int32()), lists(v.ravel(), [k] * n, pa.int64())], ["item_id", "n_tokens", "h", "h2", "at", "k", "v"])
+            for form, at, h in _windows(codes, values, slots, k):
+                n, place = len(at), at[:, None] + np.arange(k)
+                v = np.where(slots[place], signed(values)[place], 0)          # 0 for a literal
+                h1, h2 = _rows(at, h, codes if form else values, k)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array([len(codes)] * n, pa.int32()), pa.array(h1), pa.array(h2), pa.array(at.astype(np.int32)), pa.array([k] * n, pa.int32()),
+                                                  pa.array([form] * n, pa.int32()), lists(v.ravel(), [k] * n, pa.int64())], ["item_id", "n_tokens", "h", "h2", "at", "k", "form", "v"])
     return map_arrow(bench.select(F.col("item_id").cast("long"), "text"), run, "item_id long, n_tokens int, " + SCHEMA)
 
 
@@ -119,12 +131,11 @@ def text_windows(docs: DataFrame, lengths: list[int], bloom: np.ndarray) -> Data
         for i, key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             codes, values, slots = lex.template(t)
             for k in lengths:
-                at, h = _windows(codes, slots, k, bloom)
-                if len(at):
-                    h1, h2, v = _rows(at, h, codes, values, slots, k)
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(at.astype(np.int32)),
-                                                      pa.array([k] * n, pa.int32()), lists(v.ravel(), [k] * n, pa.int64())], ["doc_id", "key", "h", "h2", "at", "k", "v"])
+                for form, at, h in _windows(codes, values, slots, k, bloom):
+                    n, place = len(at), at[:, None] + np.arange(k)
+                    h1, h2 = _rows(at, h, codes if form else values, k)
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(at.astype(np.int32)), pa.array([k] * n, pa.int32()),
+                                                      pa.array([form] * n, pa.int32()), lists(signed(values)[place].ravel(), [k] * n, pa.int64())], ["doc_id", "key", "h", "h2", "at", "k", "form", "v"])
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text"), run, "doc_id long, key long, " + SCHEMA)
 
 
@@ -134,10 +145,11 @@ def find_leaks(docs: DataFrame, bench: DataFrame, cover: int = COVER) -> DataFra
     items = item_windows(bench)
     bloom = bloom_of(items, "h")
     lengths = sorted({r["k"] for r in items.select("k").distinct().collect()})      # at most five values
-    found = text_windows(docs, lengths, bloom).withColumnsRenamed({"at": "t_at", "v": "t_v"})
+    found = text_windows(docs, lengths, bloom).withColumnsRenamed({"at": "t_at", "v": "t_v"}).drop("form")
     hits = found.join(items, ["h", "h2", "k"]).select("doc_id", "key", "item_id", "n_tokens", "k", "at", (F.col("t_at") - F.col("at")).alias("shift"), "v", "t_v")
     # a diagonal holds each place of an item once, so a group is no longer than its item
     diagonal = ["doc_id", "key", "item_id", "n_tokens", "shift"]
+    # both forms of a window hold the same values
     one = hits.groupBy(*diagonal, "at", "k").agg(F.first("v").alias("v"), F.first("t_v").alias("t_v"))
     slots = F.filter(F.arrays_zip("v", "t_v"), lambda p: p["v"] != 0)
     lines = one.groupBy(*diagonal).agg(F.flatten(F.collect_list(slots)).alias("p"),

@@ -148,6 +148,27 @@ def test_decontamination_finds_all_passages(spark):
     assert want and want == got
 
 
+def as_docs(spark, texts):
+    return spark.createDataFrame([(i, t, "", "", 0, "", "", "") for i, t in texts], DOC)
+
+
+def test_decontamination_ignores_case(spark):
+    item = "A train leaves with 12 kg of coal and meets Anna after 7 hours at the mill where Bert waits with 12 boxes"
+    docs = as_docs(spark, [(1, "SO IT GOES " + item.upper() + " AND ON"), (2, "so it goes " + item.lower() + " and on"), (3, "SO IT GOES " + item.upper().replace("COAL", "SALT").replace("MEETS", "SEES").replace("AT", "BY") + " AND ON")])
+    got = {(x["doc_id"], x["exact"]) for x in decontaminate.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {(1, True), (2, True)}
+
+
+def test_decontamination_finds_all_passages_in_any_case(spark):
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    flat = lambda t: " ".join(t.split()).lower()
+    items = [(x["item_id"], flat(x["text"])) for x in bench.collect()]
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.upper("text")).otherwise(F.lower("text")))
+    want = {(d["doc_id"], i) for d in docs.collect() for i, t in items if t in flat(d["text"])}
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs, bench).collect()}
+    assert want and want == got
+
+
 def test_urls(spark):
     rows = [(1, "http://a.org/x", '<a href="http://b.net/q">'), (2, "HTTP://B.NET/y?u#v", "<A HREF='//c.net'>"), (3, None, None), (4, "no scheme", ""), (5, "http://www.com/de/1", ""), (6, "http://d.net/z", '<a href="http://www.com/">'),
             (7, "http://example.org/en/12", ""), (7, "http://example.org/en/12", ""), (8, "http://org", ""), (None, "x://", None)]
