@@ -7,8 +7,10 @@ A document is contaminated by an item when consistent matches on one diagonal co
 
 Each window has a second form, its own words without case, so a copy with the item's values is found in capitals or lower case too.
 
-A name is a capitalised word inside a sentence. Words without letter or digit are skipped. Items with fewer than ``literals`` tokens
-that are no placeholder match nothing. Null and empty texts hold no windows; repeated rows give repeated evidence for one
+A name is a capitalised word inside a sentence. Words without letter or digit are skipped. A one-letter word is a unit only
+after a number. The first word of an item matches as a literal or as a name. A window with fewer than ``LITERALS`` tokens that are no
+placeholder matches by its own values only; by template, then, coverage is wanted of the tokens in the other windows. An item of any
+length counts, so one of a single word contaminates every text with that word. Null and empty texts hold no windows; repeated rows give repeated evidence for one
 document only; a null doc_id is carried as null. Either table may be empty.
 """
 
@@ -30,7 +32,7 @@ s sec second seconds min minute minutes h hr hour hours day days week weeks mont
 usd eur gbp dollar dollars euro euros pound pounds cent cents percent degree degrees celsius fahrenheit kelvin""".encode().split())
 OUTER = b"".join(bytes([c]) for c in range(128) if not chr(c).isalnum())
 NUMBER, UNIT, NAME = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"<number>", b"<unit>", b"<name>"))
-SKIP, IS_NUMBER, IS_UNIT, CAPITAL, ENDS = 1, 2, 4, 8, 16
+SKIP, IS_NUMBER, IS_UNIT, CAPITAL, ENDS, LETTER_UNIT = 1, 2, 4, 8, 16, 32
 
 
 class Lexicon(dict):
@@ -51,15 +53,15 @@ class Lexicon(dict):
             text = bare.decode("utf-8", "replace")
             low, flag = text.lower().encode(), SKIP if not bare else IS_NUMBER if re.search(rb"[0-9]", bare) else CAPITAL if text[0].isupper() else 0
         if low in UNITS:
-            flag = IS_UNIT
+            flag = IS_UNIT if len(low) > 1 else flag | LETTER_UNIT
         if word.rstrip(b"\"')]}").endswith((b".", b"!", b"?", b":")):
             flag |= ENDS
         self.codes[at], self.flags[at] = xxhash.xxh3_64_intdigest(low), flag
         self[word] = at
         return at
 
-    def template(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template codes, value hashes, and which tokens are slots."""
+    def template(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        """Template codes, value hashes, which tokens are slots, and whether the first is a capitalised literal."""
         if len(self) > self.limit:
             self.clear()
         words = split_words(text)
@@ -67,13 +69,18 @@ class Lexicon(dict):
         values, flags = self.codes[at], self.flags[at]
         inside = np.zeros(len(words), bool)
         inside[1:] = flags[:-1] & ENDS == 0
-        name = (flags & CAPITAL > 0) & inside
-        codes = np.where(flags & IS_NUMBER > 0, NUMBER, np.where(flags & IS_UNIT > 0, UNIT, np.where(name, NAME, values)))
         live = flags & SKIP == 0
-        return codes[live], values[live], (flags & (IS_NUMBER | IS_UNIT) > 0)[live] | name[live]
+        values, flags, inside = values[live], flags[live], inside[live]
+        measured = np.zeros(len(flags), bool)
+        measured[1:] = flags[:-1] & (IS_NUMBER | ENDS) == IS_NUMBER
+        number, unit, name = flags & IS_NUMBER > 0, (flags & IS_UNIT > 0) | (flags & LETTER_UNIT > 0) & measured, (flags & CAPITAL > 0) & inside
+        slots = number | unit | name
+        codes = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, values)))
+        return codes, values, slots, bool(len(flags) and flags[0] & CAPITAL and not slots[0])
 
 
-VERBATIM, TEMPLATE = 0, 1
+#: OPENING: the first word of an item as a name; OPENING_OWN: as a name that must be the item's own.
+VERBATIM, TEMPLATE, OPENING, OPENING_OWN = 0, 1, 2, 3
 
 
 def _windows(codes: np.ndarray, values: np.ndarray, slots: np.ndarray, k: int, bloom: np.ndarray | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -105,22 +112,32 @@ SCHEMA = "h long, h2 long, at int, k int, form int, v array<long>"
 
 
 def item_windows(bench: DataFrame) -> DataFrame:
-    """Windows of every item; an item shorter than a window is one window of its own length."""
+    """Windows of every item; an item shorter than a window is one window of its own length. ``strong``: enough literals;
+    ``n_strong``: tokens in such windows."""
     lex = Lexicon()
 
     def run(b):
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            codes, values, slots = lex.template(t)
+            codes, values, slots, opens = lex.template(t)
             k = min(WINDOW, len(codes))
-            if k < LITERALS:
+            if k == 0:
                 continue
-            for form, at, h in _windows(codes, values, slots, k):
+            literals = np.convolve(~slots, np.ones(k, int), "valid")
+            strong = literals >= LITERALS
+            n_strong = int((np.convolve(strong, np.ones(k, int)) > 0).sum())
+            found = [(form, at, h, codes if form else values, slots) for form, at, h in _windows(codes, values, slots, k)]
+            if opens and strong[0]:
+                named, held = codes.copy(), slots.copy()
+                named[0], held[0] = NAME, True
+                found.append((OPENING if literals[0] > LITERALS else OPENING_OWN, np.zeros(1, np.int64), window_hashes(named[:k], k), named, held))
+            for form, at, h, by, held in found:
                 n, place = len(at), at[:, None] + np.arange(k)
-                v = np.where(slots[place], signed(values)[place], 0)          # 0 for a literal
-                h1, h2 = _rows(at, h, codes if form else values, k)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array([len(codes)] * n, pa.int32()), pa.array(h1), pa.array(h2), pa.array(at.astype(np.int32)), pa.array([k] * n, pa.int32()),
-                                                  pa.array([form] * n, pa.int32()), lists(v.ravel(), [k] * n, pa.int64())], ["item_id", "n_tokens", "h", "h2", "at", "k", "form", "v"])
-    return map_arrow(bench.select(F.col("item_id").cast("long"), "text"), run, "item_id long, n_tokens int, " + SCHEMA)
+                v = np.where(held[place], signed(values)[place], 0)           # 0 for a literal
+                h1, h2 = _rows(at, h, by, k)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array([len(codes)] * n, pa.int32()), pa.array([n_strong] * n, pa.int32()), pa.array(strong[at]), pa.array(h1), pa.array(h2),
+                                                  pa.array(at.astype(np.int32)), pa.array([k] * n, pa.int32()), pa.array([form] * n, pa.int32()), lists(v.ravel(), [k] * n, pa.int64())],
+                                                 ["item_id", "n_tokens", "n_strong", "strong", "h", "h2", "at", "k", "form", "v"])
+    return map_arrow(bench.select(F.col("item_id").cast("long"), "text"), run, "item_id long, n_tokens int, n_strong int, strong boolean, " + SCHEMA)
 
 
 def text_windows(docs: DataFrame, lengths: list[int], bloom: np.ndarray) -> DataFrame:
@@ -129,7 +146,7 @@ def text_windows(docs: DataFrame, lengths: list[int], bloom: np.ndarray) -> Data
 
     def run(b):
         for i, key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            codes, values, slots = lex.template(t)
+            codes, values, slots, _ = lex.template(t)
             for k in lengths:
                 for form, at, h in _windows(codes, values, slots, k, bloom):
                     n, place = len(at), at[:, None] + np.arange(k)
@@ -144,19 +161,20 @@ def find_leaks(docs: DataFrame, bench: DataFrame, cover: int = COVER) -> DataFra
     have the item's own values."""
     items = item_windows(bench)
     bloom = bloom_of(items, "h")
-    lengths = sorted({r["k"] for r in items.select("k").distinct().collect()})      # at most five values
+    lengths = sorted({r["k"] for r in items.select("k").distinct().collect()})      # at most eight values
     found = text_windows(docs, lengths, bloom).withColumnsRenamed({"at": "t_at", "v": "t_v"}).drop("form")
-    hits = found.join(items, ["h", "h2", "k"]).select("doc_id", "key", "item_id", "n_tokens", "k", "at", (F.col("t_at") - F.col("at")).alias("shift"), "v", "t_v")
+    hits = (found.join(items, ["h", "h2", "k"]).where((F.col("form") != OPENING_OWN) | (F.element_at("v", 1) == F.element_at("t_v", 1)))
+            .select("doc_id", "key", "item_id", "n_tokens", "n_strong", "strong", "k", "at", (F.col("t_at") - F.col("at")).alias("shift"), "form", "v", "t_v"))
     # a diagonal holds each place of an item once, so a group is no longer than its item
-    diagonal = ["doc_id", "key", "item_id", "n_tokens", "shift"]
-    # both forms of a window hold the same values
-    one = hits.groupBy(*diagonal, "at", "k").agg(F.first("v").alias("v"), F.first("t_v").alias("t_v"))
+    diagonal = ["doc_id", "key", "item_id", "n_tokens", "n_strong", "shift"]
+    one = hits.groupBy(*diagonal, "at", "k", "strong").agg(F.max_by("v", "form").alias("v"), F.first("t_v").alias("t_v"))
     slots = F.filter(F.arrays_zip("v", "t_v"), lambda p: p["v"] != 0)
-    lines = one.groupBy(*diagonal).agg(F.flatten(F.collect_list(slots)).alias("p"),
-                                       F.flatten(F.collect_list(F.expr("sequence(at, at + k - 1)"))).alias("covered"))
+    places = F.expr("sequence(at, at + k - 1)")
+    lines = one.groupBy(*diagonal).agg(F.flatten(F.collect_list(slots)).alias("p"), F.flatten(F.collect_list(places)).alias("covered"), F.flatten(F.collect_list(F.when(F.col("strong"), places))).alias("firm"))
     pairs, items_, texts = F.size(F.array_distinct("p")), F.size(F.array_distinct(F.transform("p", lambda p: p["v"]))), F.size(F.array_distinct(F.transform("p", lambda p: p["t_v"])))
+    enough = lambda n, of: (F.col(of) > 0) & (n >= F.least(F.lit(cover), F.col(of)))
     lines = (lines.where((pairs == items_) & (pairs == texts)).withColumn("n_covered", F.size(F.array_distinct("covered")))
-             .withColumn("exact", F.forall("p", lambda p: p["v"] == p["t_v"])).where(F.col("n_covered") >= F.least(F.lit(cover), F.col("n_tokens"))))
+             .withColumn("exact", F.forall("p", lambda p: p["v"] == p["t_v"])).where(enough(F.col("n_covered"), "n_tokens") | enough(F.size(F.array_distinct("firm")), "n_strong")))
     return lines.groupBy("doc_id", "key", "item_id", "n_tokens").agg(F.max("n_covered").alias("n_covered"), F.max("exact").alias("exact"))
 
 

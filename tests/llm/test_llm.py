@@ -169,6 +169,21 @@ def test_decontamination_finds_all_passages_in_any_case(spark):
     assert want and want == got
 
 
+def test_decontamination_of_short_and_numeric_items(spark):
+    bench = [(1, "What is 17 + 25?"), (2, "Convert 12 kg 5 g to lb and oz please"), (3, "Give a list of all a m s words here"), (4, "Explain why water boils sooner on mountains"), (5, "Why not?")]
+    docs = as_docs(spark, [(1, "we ask What is 17 + 25? and go"), (2, "we ask Convert 12 kg 5 g to lb and oz please and go"), (3, "we ask Give a list of all a m s words here and go"), (4, "we ask Explain why water boils sooner on mountains and go"),
+                           (5, "we ask Why not? and go"), (6, "we ask What is 18 + 25? and go"), (7, "we ask Convert 13 kg 5 g to lb and oz please and go")])
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i in range(1, 6)}
+    # with other values: the first word follows a word, the last window has few literals
+    bench = [(1, "Share 12 pears among all of the boys"), (2, "How far does a lorry drive in 3 h 20 min 5 s")]
+    docs = as_docs(spark, [(1, "so they said Share 45 pears among all of the boys"), (2, "we know How far does a lorry drive in 4 h 25 min 6 s")])
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 2)}
+    slots = decontaminate.Lexicon().template("a bag of 5 g and 3 A. He took 7. A man")[2]
+    assert [i for i, s in enumerate(slots) if s] == [3, 4, 6, 7, 10]
+
+
 def test_urls(spark):
     rows = [(1, "http://a.org/x", '<a href="http://b.net/q">'), (2, "HTTP://B.NET/y?u#v", "<A HREF='//c.net'>"), (3, None, None), (4, "no scheme", ""), (5, "http://www.com/de/1", ""), (6, "http://d.net/z", '<a href="http://www.com/">'),
             (7, "http://example.org/en/12", ""), (7, "http://example.org/en/12", ""), (8, "http://org", ""), (None, "x://", None)]
