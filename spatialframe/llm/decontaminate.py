@@ -3,7 +3,8 @@
 Words lose outer punctuation and case; numbers, names and units become typed placeholders, so that a question with other values has
 the same template. Windows of template tokens are joined by hash with those of the benchmark; matches on one diagonal (place in the
 text less place in the item) must fill the slots consistently: equal item values have equal text values and different ones differ.
-A document is contaminated by an item when consistent matches on one diagonal cover ``cover`` of its tokens, or all of a shorter one.
+A document is contaminated by an item when consistent matches on one diagonal cover ``cover`` of its tokens, or all of a shorter one. Windows with the item's own values that cover as much need no
+consistency: a conflict elsewhere on their diagonal is an edited copy.
 
 Each window has a second form, its own words without case, so a copy with the item's values is found in capitals or lower case too.
 
@@ -158,7 +159,7 @@ def text_windows(docs: DataFrame, lengths: list[int], bloom: np.ndarray) -> Data
 
 def find_leaks(docs: DataFrame, bench: DataFrame, cover: int = COVER) -> DataFrame:
     """One row (doc_id, key, item_id, n_tokens, n_covered, exact) per document and item that contaminates it. ``exact``: all slots
-    have the item's own values."""
+    that count have the item's own values; where slots conflict, only windows with its own values count."""
     items = item_windows(bench)
     bloom = bloom_of(items, "h")
     lengths = sorted({r["k"] for r in items.select("k").distinct().collect()})      # at most eight values
@@ -167,14 +168,18 @@ def find_leaks(docs: DataFrame, bench: DataFrame, cover: int = COVER) -> DataFra
             .select("doc_id", "key", "item_id", "n_tokens", "n_strong", "strong", "k", "at", (F.col("t_at") - F.col("at")).alias("shift"), "form", "v", "t_v"))
     # a diagonal holds each place of an item once, so a group is no longer than its item
     diagonal = ["doc_id", "key", "item_id", "n_tokens", "n_strong", "shift"]
-    one = hits.groupBy(*diagonal, "at", "k", "strong").agg(F.max_by("v", "form").alias("v"), F.first("t_v").alias("t_v"))
+    one = hits.groupBy(*diagonal, "at", "k", "strong").agg(F.max_by("v", "form").alias("v"), F.first("t_v").alias("t_v"), (F.min("form") == VERBATIM).alias("own"))
     slots = F.filter(F.arrays_zip("v", "t_v"), lambda p: p["v"] != 0)
     places = F.expr("sequence(at, at + k - 1)")
-    lines = one.groupBy(*diagonal).agg(F.flatten(F.collect_list(slots)).alias("p"), F.flatten(F.collect_list(places)).alias("covered"), F.flatten(F.collect_list(F.when(F.col("strong"), places))).alias("firm"))
+    lines = one.groupBy(*diagonal).agg(F.flatten(F.collect_list(slots)).alias("p"), F.flatten(F.collect_list(places)).alias("covered"), F.flatten(F.collect_list(F.when(F.col("strong"), places))).alias("firm"),
+                                       F.flatten(F.collect_list(F.when(F.col("own"), places))).alias("same"))
     pairs, items_, texts = F.size(F.array_distinct("p")), F.size(F.array_distinct(F.transform("p", lambda p: p["v"]))), F.size(F.array_distinct(F.transform("p", lambda p: p["t_v"])))
     enough = lambda n, of: (F.col(of) > 0) & (n >= F.least(F.lit(cover), F.col(of)))
-    lines = (lines.where((pairs == items_) & (pairs == texts)).withColumn("n_covered", F.size(F.array_distinct("covered")))
-             .withColumn("exact", F.forall("p", lambda p: p["v"] == p["t_v"])).where(enough(F.col("n_covered"), "n_tokens") | enough(F.size(F.array_distinct("firm")), "n_strong")))
+    distinct = lambda c: F.size(F.array_distinct(c))
+    lines = lines.withColumn("fits", (pairs == items_) & (pairs == texts))
+    lines = (lines.where(enough(distinct("same"), "n_tokens") | F.col("fits") & (enough(distinct("covered"), "n_tokens") | enough(distinct("firm"), "n_strong")))
+             .withColumn("n_covered", F.when(F.col("fits"), distinct("covered")).otherwise(distinct("same")))
+             .withColumn("exact", ~F.col("fits") | F.forall("p", lambda p: p["v"] == p["t_v"])))
     return lines.groupBy("doc_id", "key", "item_id", "n_tokens").agg(F.max("n_covered").alias("n_covered"), F.max("exact").alias("exact"))
 
 

@@ -184,6 +184,14 @@ def test_decontamination_of_short_and_numeric_items(spark):
     assert [i for i, s in enumerate(slots) if s] == [3, 4, 6, 7, 10]
 
 
+def test_decontamination_of_an_edited_copy(spark):
+    r = np.random.default_rng(12)
+    item = "we count 12 jars " + words(r, 40) + " then 12 jars " + words(r, 20)
+    docs = as_docs(spark, [(1, item.replace("then 12", "then 13")), (2, item.replace("count 12", "count 13")), (3, item.replace("count 12", "count 14").replace("then 12", "then 15").replace("jars", "cups").replace(" a", " x").replace(" b", " y"))])
+    got = {(x["doc_id"], x["exact"]): x["n_covered"] for x in decontaminate.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert set(got) == {(1, True), (2, True)} and min(got.values()) >= 40
+
+
 def test_urls(spark):
     rows = [(1, "http://a.org/x", '<a href="http://b.net/q">'), (2, "HTTP://B.NET/y?u#v", "<A HREF='//c.net'>"), (3, None, None), (4, "no scheme", ""), (5, "http://www.com/de/1", ""), (6, "http://d.net/z", '<a href="http://www.com/">'),
             (7, "http://example.org/en/12", ""), (7, "http://example.org/en/12", ""), (8, "http://org", ""), (None, "x://", None)]
