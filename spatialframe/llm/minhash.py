@@ -1,8 +1,8 @@
 """Near-duplicates of documents by ProbMinHash, banding and verification.
 
-A text is the set of its five-word shingles (a shorter one is a single shingle of all its words), each with the weight 1 + ln(count).
-ProbMinHash estimates the probability Jaccard index of two weighted sets: every shingle is a Poisson process whose rate is
-its weight and whose arrivals fall on random registers; a register keeps the shingle that arrives first, and a text is done as
+A text is the set of its five-word shingles (a shorter one is a single shingle of all its words), each with the weight 1 however
+often it occurs, so that the sketch estimates the measure that decides. ProbMinHash: every shingle is a Poisson process of rate 1 whose
+arrivals fall on random registers; a register keeps the shingle that arrives first, and a text is done as
 soon as no further arrival can come before the last of its registers. Signatures are banded, and two texts that share a band are
 compared by the exact Jaccard index of their shingle sets: ``similarity`` or more links them. Classes are the connected components.
 
@@ -26,7 +26,7 @@ from spatialframe.functions.durable import Scratch
 from .words import WordHash, bloom_of, in_bloom, lists, map_arrow, mix, packed, signed, split_words, unpacked, window_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 5            # a pair at 0.8 is missed once in 14,000
+BANDS, ROWS = 24, 5            # a pair at 0.8 is missed once in 14,000, whatever its repetitions
 REGISTERS = BANDS * ROWS
 GATHER = 400_000               # shingles sketched together
 
@@ -43,7 +43,6 @@ def prob_minhash(shingle: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
     first = np.flatnonzero(new)
-    weight = 1 + np.log(np.diff(np.append(first, len(s))))
     s, d = s[first], d[first].astype(np.int64)
     time = np.zeros(len(s))
     arrival, kept = np.full(n * REGISTERS, np.inf), np.zeros(n * REGISTERS, np.uint64)
@@ -51,7 +50,7 @@ def prob_minhash(shingle: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     while len(s):
         turn += 1
         r = mix(s + np.uint64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        time = time - np.log(((r >> np.uint64(11)).astype(np.float64) + 1) * 2.0 ** -53) / weight
+        time = time - np.log(((r >> np.uint64(11)).astype(np.float64) + 1) * 2.0 ** -53)
         at = d * REGISTERS + (mix(r ^ np.uint64(0xA5A5A5A55A5A5A5A)) % np.uint64(REGISTERS)).astype(np.int64)
         before = arrival[at]
         early = time < before
@@ -60,7 +59,7 @@ def prob_minhash(shingle: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         kept[at[won]] = s[won]
         last = arrival.reshape(n, REGISTERS).max(axis=1)
         live = time < last[d]              # a later arrival can still win a register
-        s, d, time, weight = s[live], d[live], time[live], weight[live]
+        s, d, time = s[live], d[live], time[live]
     return kept.reshape(n, REGISTERS)
 
 

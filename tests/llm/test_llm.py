@@ -253,6 +253,17 @@ def test_near_duplicates(spark, odd, none):
     assert classes(none) == {} and minhash.keep_one(none).count() == 0
 
 
+def test_repetitions_do_not_cost_a_link():
+    from spatialframe.llm.words import mix
+    missed = 0
+    for s in range(60):
+        line, rest = mix(np.arange(1, 21, dtype=np.uint64) + np.uint64(s << 20)), mix(np.arange(101, 181, dtype=np.uint64) + np.uint64(s << 20))
+        often, once = np.concatenate([np.tile(line, 1000), rest]), np.concatenate([line, rest])                # equal shingle sets
+        keys = minhash.band_keys(minhash.prob_minhash(np.concatenate([often, once]), np.repeat([0, 1], [len(often), len(once)]), 2))
+        missed += not (keys[0] == keys[1]).any()
+    assert missed == 0
+
+
 def test_signatures_estimate_probability_jaccard():
     a, b = np.arange(1, 301, dtype=np.uint64), np.arange(61, 361, dtype=np.uint64)
     from spatialframe.llm.words import mix
