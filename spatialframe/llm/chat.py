@@ -6,13 +6,16 @@ who gets no rendering. A null text is empty. ``<|`` inside texts and names is wr
 
 A dialogue is rendered in blocks of ``block`` consecutive turn numbers, so that one of any length never has to fit in one row; a turn
 number without a value has a block of its own. Turns of one number are ordered by role and text and repeated rows are all kept;
-where more than ``most`` rows share a block, they are dealt by hash to as many parts as needed. An empty table gives no row.
+where more than ``most`` rows share a block, its parts are runs of ``most`` rows in that order. So the pieces of one perspective, by block (null
+first) and part, joined together are the whole rendering. System turns aren't repeated in later blocks. An empty table gives no row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from spatialframe.functions.durable import Scratch
+
 END = "<|end|>\n"
 
 
@@ -20,15 +23,35 @@ def _safe(c: Column) -> Column:
     return F.replace(c, F.lit("<|"), F.lit("< |"))
 
 
+def _parts(said: DataFrame, most: int) -> DataFrame:
+    """``part`` of every row: its place in the block divided by ``most``. Only the different rows of blocks with more rows are sorted, by
+    ranges over all tasks; the place is what lies in earlier ranges and what comes before in its own."""
+    scratch, row = Scratch(said.sparkSession), ["conv_id", "block", "turn", "role", "text"]
+    sizes = said.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    sizes = scratch.keep(sizes.select(F.col("conv_id").alias("__sc"), F.col("block").alias("__sb")), "crowded")
+    first = F.lit(0).cast("long").alias("part")
+    if sizes.isEmpty():
+        scratch.close()
+        return said.select(*row, first)
+    same = F.col("conv_id").eqNullSafe(F.col("__sc")) & F.col("block").eqNullSafe(F.col("__sb"))
+    counted = said.join(sizes, same, "left_semi").groupBy(*row).agg(F.count(F.lit(1)).alias("__n"))
+    ranged = counted.repartitionByRange(int(said.sparkSession.conf.get("spark.sql.shuffle.partitions")), *row)
+    ranged = scratch.keep(ranged.withColumn("__range", F.spark_partition_id()), "ranged")
+    before = lambda *keys: W.partitionBy("conv_id", "block", *keys).rowsBetween(W.unboundedPreceding, -1)
+    totals = ranged.groupBy("conv_id", "block", "__range").agg(F.sum("__n").alias("__all"))
+    totals = totals.select(F.col("conv_id").alias("__sc"), F.col("block").alias("__sb"), F.col("__range").alias("__r"), F.coalesce(F.sum("__all").over(before().orderBy("__range")), F.lit(0)).alias("__first"))
+    placed = ranged.withColumn("__in", F.coalesce(F.sum("__n").over(before("__range").orderBy("turn", "role", "text")), F.lit(0))).join(totals, same & (F.col("__range") == F.col("__r")))
+    place = F.explode(F.sequence(F.col("__first") + F.col("__in"), F.col("__first") + F.col("__in") + F.col("__n") - 1)).alias("__place")
+    parts = placed.select(*row, place).select(*row, F.floor(F.col("__place") / most).cast("long").alias("part"))
+    return said.join(sizes, same, "left_anti").select(*row, first).unionByName(parts)
+
+
 def rotate(turns: DataFrame, block: int = 64, most: int = 4096) -> DataFrame:
     """(conv_id, block, part, perspective, n_turns, n_own, chat, mask) with ``mask`` an array of (from, to) in characters of ``chat``."""
     said = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
                         F.floor(F.col("turn") / block).cast("long").alias("block"))
     people = turns.where("role is not null and role <> 'system'").select(F.col("conv_id").alias("__c"), F.col("role").alias("perspective")).distinct()
-    sizes = said.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)
-    sizes = sizes.select(F.col("conv_id").alias("__sc"), F.col("block").alias("__sb"), F.ceil(F.col("__n") / most).cast("long").alias("__parts"))
-    said = (said.join(sizes, F.col("conv_id").eqNullSafe(F.col("__sc")) & F.col("block").eqNullSafe(F.col("__sb")), "left")
-            .withColumn("part", F.when(F.col("__parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("turn", "role", "text"), F.col("__parts")))).drop("__sc", "__sb", "__parts"))
+    said = _parts(said, most)
     seen = said.join(people, F.col("conv_id").eqNullSafe(F.col("__c"))).drop("__c")
     own = F.col("role") == F.col("perspective")
     head = F.when(own, "<|assistant|>\n").when(F.col("role") == "system", "<|system|>\n").otherwise(F.concat(F.lit("<|user name="), _safe(F.col("role")), F.lit("|>\n")))

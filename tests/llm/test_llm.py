@@ -321,6 +321,17 @@ def test_chat(spark):
     assert len(parts) > 2 and sum(p["n_turns"] for p in parts) == 30
 
 
+def test_chat_pieces_join_to_the_whole_rendering(spark):
+    rows = [(c, t, r, f"text {i % 7}") for c in (1, None) for i, (t, r) in enumerate([(0, "system")] + [(5 + k % 2, ("ann", "bob")[k % 2]) for k in range(60)] + [(None, "bob")] * 12 + [(70, "ann")])]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    key = lambda g: (g["block"] is not None, g["block"] or 0, g["part"])
+    whole, pieces = chat.rotate(turns).collect(), chat.rotate(turns, most=8).collect()
+    assert max(g["n_turns"] for g in pieces) <= 8 and len(pieces) > len(whole)
+    for who in {(g["conv_id"], g["perspective"]) for g in whole}:
+        join = lambda table: "".join(g["chat"] for g in sorted((x for x in table if (x["conv_id"], x["perspective"]) == who), key=key))
+        assert join(pieces) == join(whole)
+
+
 def test_pipeline_stages(spark, odd):
     import corpus_pipeline as cp
     docs = spark.read.parquet(f"{SF}/documents.parquet")
