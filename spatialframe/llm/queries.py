@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spatialframe.functions.durable import Scratch
 
-from . import chat, decontaminate, embedding, langid, minhash, mixing, phrases, quality, toxicity, urls
+from . import chat, decontaminate, embedding, importance, langid, minhash, mixing, phrases, quality, toxicity, urls
 from .words import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op6_minhash(spark, sf_dir):
 @query("op5_embeddings")
 def op5_embeddings(spark, sf_dir):
     return embedding.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_importance", importance.ORACLE_SQL)
+def op13_importance(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
