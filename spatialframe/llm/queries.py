@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spatialframe.functions.durable import Scratch
 
-from . import chat, decontaminate, embedding, importance, langid, minhash, mixing, phrases, quality, toxicity, urls
+from . import chat, decontaminate, embedding, importance, langid, minhash, mixing, phrases, quality, toxicity, urls, warc
 from .words import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def op5_embeddings(spark, sf_dir):
 @query("op13_importance", importance.ORACLE_SQL)
 def op13_importance(spark, sf_dir):
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_warc", warc.ORACLE_SQL)
+def op11_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
