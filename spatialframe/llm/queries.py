@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spatialframe.functions.durable import Scratch
 
-from . import chat, decontaminate, embedding, importance, langid, minhash, mixing, phrases, quality, toxicity, urls, warc
+from . import chat, decontaminate, embedding, importance, langid, minhash, mixing, phrases, quality, toxicity, trie, urls, warc
 from .words import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def op13_importance(spark, sf_dir):
 @query("op11_warc", warc.ORACLE_SQL)
 def op11_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op12_trie", trie.oracle_sql())
+def op12_trie(spark, sf_dir):
+    return trie.build_trie(table(spark, sf_dir, "conversations"))
