@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .words import draw_labelled, map_arrow
+from .words import draw_labelled, map_arrow, map_texts, slices
 
 WIDTH, PAIRS = 8, 4            # bytes and byte pairs under a filter
 POSITIONS = 125                # filter positions of a chunk of 256 bytes
@@ -180,24 +181,25 @@ def score_quality(docs: DataFrame, net: Network, score: str = "score") -> DataFr
             if self.tables is None:
                 self.tables = pair_tables(net.emb, net.filters)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(net.score(b.column(1).to_pylist(), self.tables), pa.float64())], ["doc_id", score])
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), Scorer(), f"doc_id long, {score} double")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), Scorer(), f"doc_id long, {score} double")
 
 
 def filter_quality(docs: DataFrame, net: Network, threshold: float = 0.3) -> DataFrame:
     """The documents that the network does not reject, with their columns unchanged. The text is scored where it is read."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("__row"), F.col("text").alias("__t"))
-    kind = docs.schema
+    names, kind = docs.columns, docs.schema
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
+    at = names.index("text")
 
     class Scorer:
         tables = None
 
-        def __call__(self, b):
+        def __call__(self, batches):
             if self.tables is None:
                 self.tables = pair_tables(net.emb, net.filters)
-            keep = net.score(b.column(1).to_pylist(), self.tables) >= threshold
-            kept = pa.Table.from_batches([b]).filter(pa.array(keep)).column(0).combine_chunks()
-            kept = kept.chunk(0) if isinstance(kept, pa.ChunkedArray) and kept.num_chunks else kept
-            if len(kept):
-                yield pa.RecordBatch.from_arrays(kept.flatten(), names)
-    return map_arrow(packed, Scorer(), kind)
+            for b in batches:
+                for part in slices(b, b.column(0).field(at)):
+                    row = part.column(0)
+                    keep = pa.array(net.score(row.field(at).to_pylist(), self.tables) >= threshold)
+                    if pc.any(keep).as_py():
+                        yield pa.RecordBatch.from_arrays([c.filter(keep) for c in row.flatten()], names)
+    return rows.mapInArrow(Scorer().__call__, kind)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -95,6 +96,26 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, texts: pa.Array, limit: int = 1 << 22):
+    """The batch in runs of rows whose texts have about ``limit`` bytes (one longer text is a run of its own). Nothing is copied, so what a
+    function makes of a run at once does not grow with the batch."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    before = (np.cumsum(size) - size) // limit
+    edges = [0, *(np.flatnonzero(before[1:] != before[:-1]) + 1).tolist(), len(size)]
+    for a, z in zip(edges, edges[1:]):
+        if z > a:
+            yield batch.slice(a, z - a)
+
+
+def map_texts(df: DataFrame, fn, schema: str, text: str = "text") -> DataFrame:
+    """As ``map_arrow``, the batches cut by ``slices`` of the column ``text``."""
+    def run(batches):
+        for b in batches:
+            for part in slices(b, b.column(b.schema.get_field_index(text))):
+                yield from fn(part)
+    return df.mapInArrow(run, schema)
+
+
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text modulo ``folds``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
