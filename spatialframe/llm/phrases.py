@@ -2,13 +2,18 @@
 
 Each word covered by a window of ``WINDOW`` consecutive words whose sequence also starts in a document with a smaller id is removed.
 
+Texts with equal words are one text: the row with the smallest id (then hash) stands for them, and the others, whose windows all start there,
+lose all their words where an id is larger. Only one of them is counted, streamed and judged.
+
 1. *Confirm.* Every window names an anchor: of its runs of ``ANCHOR`` words, the one with the smallest hash. Equal windows name equal
    anchors at equal places, so a recurring window has a recurring anchor, and anchors are a twentieth of all windows. Anchors are
    counted over all documents; those of two documents or more recur.
 2. *Locate.* The recurring anchors, as sequences of word codes, are compiled into sharded Aho-Corasick automata. A shard holds the anchors
-   that began in the same documents; each document is streamed through the shards of the anchors it shares, whatever its length.
+   that began in the same documents; each document is streamed through the shards of the anchors it shares, whatever its length. Which documents these are
+   is decided by joins of anchors and ids, before any text is moved.
 3. *Judge.* A located anchor with the windows that name it is a span. Of equal spans all but those of the smallest id are covered.
-   Where different spans share an anchor, the windows of one document of each kind are compared one by one.
+   Where different spans share an anchor, the windows of one document of each kind are compared one by one. Spans and windows are compared by
+   64-bit hashes within an anchor, texts by the SHA-256 of their words.
 
 Null texts have no words; texts shorter than a window lose nothing. A null doc_id counts as larger than any other. Repeated rows
 of one document do not count against each other. Extra columns are left alone.
@@ -27,7 +32,7 @@ from pyspark.sql.types import StringType
 
 from spatialframe.functions.durable import Scratch
 
-from .words import WordHash, bloom_of, in_bloom, lists, map_arrow, packed, run_hash, running, signed, split_words, window_hashes
+from .words import WordHash, lists, map_arrow, map_texts, packed, run_hash, running, signed, split_words, window_hashes
 
 WINDOW, ANCHOR = 50, 16
 NO_ID = (1 << 63) - 1
@@ -36,6 +41,8 @@ SLICE = 1 << 23                # characters streamed through one automaton in on
 SPAN_BASE = 0xD6E8FEB86659FD93
 #: Half of a word's hash, its letter in an automaton.
 LETTER = np.uint64(0xFFFFFFFF)
+#: Hashes of frequent words, shared by the groups of a task.
+WORDS = WordHash()
 
 
 def anchors_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,38 +62,23 @@ def anchors_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return runs, place, np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
 
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """(anchor, doc) of every text, each anchor once."""
-    words = WordHash()
-
-    def run(b):
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            runs, place, first = anchors_of(words.of(split_words(t)))
-            a = signed(np.unique(runs[place[first]]))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.full(len(a), i), pa.int64())], ["anchor", "doc"])
-    return map_arrow(docs.select("doc", "text"), run, "anchor long, doc long")
-
-
-def _candidates(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
-    """Texts with an anchor that may recur, and those anchors; of the others, which lose nothing, the digest only."""
+def _marks(docs: DataFrame) -> DataFrame:
+    """(doc, key, n_words, sha, anchors) of every text: the digest of its words and each of its anchors once. The only pass that splits all texts."""
     words = WordHash()
 
     def run(b):
-        ns, shas, texts, hits, counts = [], [], [], [np.empty(0, np.int64)], []
+        ns, shas, hits, counts = [], [], [np.empty(0, np.int64)], []
         for t in b.column(2).to_pylist():
             ws = split_words(t)
-            runs, place, first = anchors_of(words.of(ws)) if len(ws) >= WINDOW else anchors_of(np.empty(0, np.uint64))
-            a = np.unique(runs[place[first]])
-            a = a[in_bloom(bloom, a)]
+            if len(ws) >= WINDOW:
+                runs, place, first = anchors_of(words.of(ws))
+                hits.append(signed(np.unique(runs[place[first]])))
+            counts.append(len(hits[-1]) if len(ws) >= WINDOW else 0)
             ns.append(len(ws))
-            hits.append(signed(a))
-            counts.append(len(a))
-            texts.append(t if len(a) else None)
-            shas.append(None if len(a) else hashlib.sha256(b" ".join(ws)).hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ns, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string()),
-                                          lists(np.concatenate(hits), counts, pa.int64())], ["doc", "key", "n_words", "sha", "text", "anchors"])
-    return map_arrow(docs.select("doc", "key", "text"), run, "doc long, key long, n_words long, sha string, text string, anchors array<long>")
+            shas.append(hashlib.sha256(b" ".join(ws)).hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ns, pa.int64()), pa.array(shas, pa.string()), lists(np.concatenate(hits), counts, pa.int64())],
+                                         ["doc", "key", "n_words", "sha", "anchors"])
+    return map_texts(docs.select("doc", "key", "text"), run, "doc long, key long, n_words long, sha string, anchors array<long>")
 
 
 def _phrases(first: DataFrame) -> DataFrame:
@@ -114,7 +106,7 @@ def _locate(docs: pa.Table, phrases: pa.Table) -> pa.Table:
         machine.add_word(tuple(word), i)
     if len(known):
         machine.make_automaton()
-    words, none = WordHash(), np.empty(0, np.int64)
+    words, none = WORDS, np.empty(0, np.int64)
     out = {"anchor": [none], "span": [none], "doc": [none], "key": [none], "start": [none], "windows": [none]}
     lengths = [none]
     for doc, key, text in zip(docs["doc"].to_pylist(), docs["key"].to_pylist(), docs["text"].to_pylist()) if len(known) else ():
@@ -175,19 +167,26 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
 
 
-def find_repeats(base: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Of ``keyed`` documents: candidates with their text and the rest with their digest (doc, key, n_words, sha, text), and the
-    runs of words to remove (doc, key, runs of (start, stop))."""
-    counted = _anchor_rows(base).groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+def find_repeats(base: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``keyed`` documents: (doc, key, n_words, sha, r_doc, r_key, copy) of every row, with the row that stands for its words and whether that
+    has a smaller id; the texts (doc, key, text) of those that share an anchor; and the runs of words to remove (doc, key, runs of (start, stop))."""
+    marks = scratch.keep(_marks(base), "marks")
+    same = marks.where(F.col("n_words") >= WINDOW).groupBy("sha").agg(F.min(F.struct("doc", "key")).alias("r"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = scratch.keep(same.select("sha", F.col("r.doc").alias("r_doc"), F.col("r.key").alias("r_key")), "same")
+    rows = marks.join(same, "sha", "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("r_doc"), F.lit(False)))
+    rows = rows.withColumns({"r_doc": F.coalesce("r_doc", "doc"), "r_key": F.coalesce("r_key", "key")})
+    heads = rows.where("doc = r_doc and key = r_key").select("doc", "key", "anchors")
+    counted = heads.select("doc", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     recurring = scratch.keep(counted.select("anchor", "first"), "recurring")
-    texts = scratch.keep(_candidates(base, bloom_of(recurring, "anchor")), "texts")
 
     # a shard holds the anchors whose first document falls to it; a text goes to the shards of the anchors it has
     shards = max(1, -(-recurring.count() // SHARD))
     shard = lambda doc: F.pmod(F.xxhash64(doc), F.lit(shards))
-    routes = (texts.select("doc", "key", F.explode("anchors").alias("anchor")).join(recurring, "anchor").groupBy("doc", "key")
+    routes = (heads.select("doc", "key", F.explode("anchors").alias("anchor")).join(recurring, "anchor").groupBy("doc", "key")
               .agg(F.collect_set(shard(F.col("first"))).alias("shards"), F.collect_set(F.when(F.col("first") == F.col("doc"), F.col("anchor"))).alias("own")))
-    routed = scratch.keep(texts.where("text is not null").select("doc", "key", "text").join(routes, ["doc", "key"]), "routed")
+    routes = scratch.keep(routes, "routes")
+    found = base.join(routes, ["doc", "key"])
+    routed = scratch.keep(found.groupBy("doc", "key").agg(*[F.first(c).alias(c) for c in ("text", "shards", "own")]), "routed")
     phrases = _phrases(routed.where("size(own) > 0").withColumn("shard", shard(F.col("doc")))).dropDuplicates(["anchor"])
     streams = routed.select("doc", "key", "text", F.explode("shards").alias("shard"))
     slices = scratch.keep(streams.groupBy("shard").agg(F.ceil(F.sum(F.length("text")) / SLICE).cast("long").alias("slices")), "slices")
@@ -196,7 +195,7 @@ def find_repeats(base: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     spans = streams.groupBy("shard", "slice").cogroup(phrases.groupBy("shard", "slice")).applyInArrow(
         _locate, "anchor long, span long, doc long, key long, start long, windows array<long>, starts array<long>, stops array<long>")
     spans = scratch.keep(spans, "spans")
-    scratch.drop("routed", "recurring", "slices")
+    scratch.drop("recurring", "routes", "slices")
 
     run = lambda start, stop: F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"))
     covered = spans.where("anchor is null").select("doc", "key", F.zip_with("starts", "stops", run).alias("runs"))
@@ -217,7 +216,7 @@ def find_repeats(base: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     runs = every.groupBy("doc", "key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     runs = scratch.keep(runs, "runs")
     scratch.drop("placed", "covered")
-    return texts, runs
+    return rows.drop("anchors"), routed.select("doc", "key", "text"), runs
 
 
 def _kept(words: list[bytes], runs) -> list[bytes]:
@@ -231,20 +230,21 @@ def _kept(words: list[bytes], runs) -> list[bytes]:
 def remove_digest(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per document."""
     scratch = Scratch(docs.sparkSession)
-    texts, runs = find_repeats(keyed(docs), scratch)
+    rows, texts, runs = find_repeats(keyed(docs), scratch)
 
     def run(b):
         ns, shas = [], []
         for t, r in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
             words = split_words(t)
-            kept = _kept(words, r) if r else words
+            kept = _kept(words, r)
             ns.append(len(words) - len(kept))
             shas.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ns, pa.int64()), pa.array(shas, pa.string())], ["doc", "n_words", "n_removed", "sha"])
-    cut = map_arrow(texts.where("text is not null").join(runs, ["doc", "key"], "left").select("doc", "n_words", "text", "runs"), run, "doc long, n_words long, n_removed long, sha string")
-    rest = texts.where("text is null").select("doc", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha")
-    scratch.close("texts", "runs")
-    return cut.unionByName(rest).select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", F.col("sha").alias("kept_sha256"))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ns, pa.int64()), pa.array(shas, pa.string())], ["r_doc", "r_key", "cut", "cut_sha"])
+    cut = map_texts(texts.join(runs, ["doc", "key"]).select("doc", "key", "text", "runs"), run, "r_doc long, r_key long, cut long, cut_sha string")
+    cut = scratch.keep(cut, "cut")
+    scratch.close("marks", "same", "cut")
+    removed, sha = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("cut", F.lit(0).cast("long"))), F.when(F.col("copy"), hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("cut_sha", "sha"))
+    return rows.join(cut, ["r_doc", "r_key"], "left").select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_words", removed.alias("n_removed"), sha.alias("kept_sha256"))
 
 
 @F.pandas_udf(StringType())
@@ -256,10 +256,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents without their repeated passages, columns unchanged (``n_chars`` follows the text). Cut texts have their words joined
     by one space; a document that loses all its words goes."""
     scratch = Scratch(docs.sparkSession)
-    _, runs = find_repeats(keyed(docs), scratch)
-    scratch.close("runs")
+    found, _, runs = find_repeats(keyed(docs), scratch)
+    runs = runs.select(F.col("doc").alias("r_doc"), F.col("key").alias("r_key"), "runs")
+    fates = found.join(runs, ["r_doc", "r_key"], "left").where("copy or runs is not null").select("doc", "key", "copy", "runs").dropDuplicates(["doc", "key"])
+    fates = scratch.keep(fates, "fates")
+    scratch.close("fates")
     rows = packed(docs, doc=F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), key=F.xxhash64("text"))
-    rows = rows.join(runs, ["doc", "key"], "left").withColumn("cut", _cut_text(F.col("row.text"), F.col("runs"))).where("runs is null or cut <> ''")
+    rows = rows.join(fates, ["doc", "key"], "left").where("not coalesce(copy, false)").withColumn("cut", _cut_text(F.col("row.text"), F.col("runs"))).where("runs is null or cut <> ''")
     new = {"text": F.col("cut")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("runs").isNull(), F.col("row.n_chars")).otherwise(F.length("cut")).cast(docs.schema["n_chars"].dataType)
