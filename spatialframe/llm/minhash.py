@@ -1,17 +1,19 @@
 """Near-duplicates of documents by ProbMinHash, banding and verification.
 
-A text is the set of its five-word shingles (a shorter one is a single shingle of all its words), each with the weight 1 however
-often it occurs, so that the sketch estimates the measure that decides. ProbMinHash: every shingle is a Poisson process of rate 1 whose
-arrivals fall on random registers; a register keeps the shingle that arrives first, and a text is done as
-soon as no further arrival can come before the last of its registers. Signatures are banded, and two texts that share a band are
-compared by the exact Jaccard index of their shingle sets: ``similarity`` or more links them. Classes are the connected components.
-
-Exact copies are merged first. Within a bucket no full list of pairs is made: all are compared with the one that meets most others, and components are
-formed. Only documents of buckets that still hold several components go on: of these, all pairs of different components that share
+A text is the weighted set of its five-word shingles (a shorter one is a single shingle of all its words); a shingle that occurs n times weighs
+1 + ln n. Two texts are linked when the probability Jaccard index of their weights is ``similarity`` or more: the sum over shared shingles i of 1 / sum
+over all j of max(x_j / x_i, y_j / y_i). For sets without repetitions this is the plain Jaccard index, and it ignores the scale of the weights.
+
+ProbMinHash estimates that index: every shingle is a Poisson process with its weight as rate, whose arrivals fall on random registers; a register
+keeps the shingle that arrives first, and a text is done as soon as no further arrival can come before the last of its registers. Signatures are banded,
+and texts that share a band are verified with the exact index. Classes are the connected components.
+
+Equal texts are merged first. Within a bucket no full list of pairs is made: all are compared with the one that meets most others, and components are
+formed. Only texts of buckets that still hold several components go on: of these, all pairs of different components that share
 a rare enough shingle to be similar at all (prefix filtering, which is exact) are compared. So no link between texts that share a band is lost.
 
-Texts without a word (null, empty, blank) have no shingles and stay alone. A null doc_id gets a null class and is kept. Rows that repeat a
-doc_id share its class. Ties go to the smallest doc_id, which stands for its class.
+Texts without a word (null, empty, blank) have no shingles and stay alone. Rows without an id have no class and are kept. An id that has several texts
+has a class for each of them, and rows that repeat an id and its text are one document. The smallest id of a class stands for it, ties going to the smaller MD5 of the text.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from pyspark.sql import DataFrame, functions as F
 from spatialframe.functions.components import component_roots
 from spatialframe.functions.durable import Scratch
 
-from .words import WordHash, bloom_of, in_bloom, lists, map_arrow, mix, packed, signed, split_words, unpacked, window_hashes
+from .ranking import global_index
+from .words import WordHash, lists, map_arrow, map_texts, mix, packed, signed, split_words, unpacked, window_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5            # a pair at 0.8 is missed once in 14,000, whatever its repetitions
 REGISTERS = BANDS * ROWS
+SLACK = 1e-9                   # for sums of fractions that make exactly the similarity
 GATHER = 400_000               # shingles sketched together
 
 
@@ -36,6 +40,26 @@ def shingles_of(h: np.ndarray) -> np.ndarray:
     return window_hashes(h, min(SHINGLE, len(h))) if len(h) else np.empty(0, np.uint64)
 
 
+def weights_of(shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles, sorted as longs, and their weights."""
+    kinds, n = np.unique(signed(shingle), return_counts=True)
+    return kinds, 1 + np.log(n)
+
+
+def probability_jaccard(s: np.ndarray, x: np.ndarray, t: np.ndarray, y: np.ndarray) -> float:
+    """Exact index of two weighted sets (sorted shingles, weights). In order of the ratios y / x, the sum of maxima of a shared shingle is what lies
+    before it by x and what lies after it by y."""
+    _, i, j = np.intersect1d(s, t, assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    a, b = x[i], y[j]
+    order = np.argsort(b / a, kind="stable")
+    a, b = a[order], b[order]
+    low = x.sum() - a.sum() + np.cumsum(a)                     # x alone (ratio 0) and the shared ones up to this ratio
+    high = y.sum() - b.sum() + np.concatenate([np.cumsum(b[::-1])[::-1][1:], [0.0]])
+    return float((1 / (low / a + high / b)).sum())
+
+
 def prob_minhash(shingle: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """Signatures (n x REGISTERS) of ``n`` texts from their shingles, repeats included, and the text each belongs to."""
     order = np.lexsort((shingle, owner))
@@ -43,6 +67,7 @@ def prob_minhash(shingle: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
     first = np.flatnonzero(new)
+    rate = 1 + np.log(np.diff(np.append(first, len(s))))
     s, d = s[first], d[first].astype(np.int64)
     time = np.zeros(len(s))
     arrival, kept = np.full(n * REGISTERS, np.inf), np.zeros(n * REGISTERS, np.uint64)
@@ -50,7 +75,7 @@ def prob_minhash(shingle: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     while len(s):
         turn += 1
         r = mix(s + np.uint64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        time = time - np.log(((r >> np.uint64(11)).astype(np.float64) + 1) * 2.0 ** -53)
+        time = time - np.log(((r >> np.uint64(11)).astype(np.float64) + 1) * 2.0 ** -53) / rate
         at = d * REGISTERS + (mix(r ^ np.uint64(0xA5A5A5A55A5A5A5A)) % np.uint64(REGISTERS)).astype(np.int64)
         before = arrival[at]
         early = time < before
@@ -59,7 +84,7 @@ def prob_minhash(shingle: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         kept[at[won]] = s[won]
         last = arrival.reshape(n, REGISTERS).max(axis=1)
         live = time < last[d]              # a later arrival can still win a register
-        s, d, time = s[live], d[live], time[live]
+        s, d, time, rate = s[live], d[live], time[live], rate[live]
     return kept.reshape(n, REGISTERS)
 
 
@@ -96,99 +121,114 @@ def _sketches(docs: DataFrame) -> DataFrame:
         flush()
         flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(flat, counts, pa.int64())], ["doc", "copy", "bands"])
-    return map_arrow(docs, run, "doc long, copy string, bands array<long>")
+    return map_texts(docs, run, "doc long, copy string, bands array<long>")
 
 
-def _sets(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
-    """(doc, shingles, sorted and distinct) of the texts whose id may be in the filter."""
+def _sets(texts: DataFrame) -> DataFrame:
+    """(node, shingles, weights adding up to 1) of texts (node, text)."""
     words = WordHash()
 
     def run(b):
-        ids = b.column(0).to_numpy(zero_copy_only=False)
-        keep = in_bloom(bloom, b.column(1).to_numpy().view(np.uint64))
-        out, texts = [np.empty(0, np.int64)], b.column(2)
-        for i in np.flatnonzero(keep):
-            out.append(np.unique(signed(shingles_of(words.of(split_words(texts[int(i)].as_py()))))))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), lists(np.concatenate(out), [len(x) for x in out[1:]], pa.int64())], ["doc", "shingles"])
-    return map_arrow(docs.select("doc", F.xxhash64("doc").alias("h"), "text"), run, "doc long, shingles array<long>")
+        out, mass = [np.empty(0, np.int64)], [np.empty(0)]
+        for t in b.column(1).to_pylist():
+            s, w = weights_of(shingles_of(words.of(split_words(t))))
+            out.append(s)
+            mass.append(w / w.sum())
+        sizes = [len(x) for x in out[1:]]
+        yield pa.RecordBatch.from_arrays([b.column(0), lists(np.concatenate(out), sizes, pa.int64()), lists(np.concatenate(mass), sizes, pa.float64())], ["node", "shingles", "weights"])
+    return map_texts(texts.select("node", "text"), run, "node long, shingles array<long>, weights array<double>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the similarity."""
-    left, right = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("s")).where(F.col("s") >= similarity).select("a", "b")
-
-
-def _share_prefix(docs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of different components that may still be similar. With its shingles from the rarest on, a text of n that is to
-    share the wanted part with another must share one of the first n - ceil(similarity * n) + 1 with it. Near copies with unlike
-    changes have none in common, and what two texts can still share from that shingle on must suffice, so a large group isn't compared
-    pair by pair. In each shingle's group, documents of the component
-    that is most frequent there are never paired with each other."""
-    rows = sets.join(docs, "doc").select("doc", "root", F.explode("shingles").alias("s"))
+    """The pairs (a, b) whose index reaches the similarity."""
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"), F.col("weights").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"), F.col("weights").alias("y"))
+
+    def run(b):
+        cells = [[v.values.to_numpy() for v in b.column(c)] for c in range(2, 6)]
+        keep = pa.array([probability_jaccard(*c) >= similarity - SLACK for c in zip(*cells)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "x", "t", "y"), run, "a long, b long")
+
+
+def _prefix_rows(known: DataFrame, similarity: float) -> DataFrame:
+    """(node, root, s, rest) of the shingles that a text of (node, root, known: (n, s, w) from the rarest on, alone: share of its weight that no other text
+    has) must share one of: those with at least the similarity left from them on. ``rest`` is what is left."""
+    def run(b):
+        out = [[np.empty(0, np.int64)] for _ in range(3)] + [[np.empty(0)]]
+        for node, root, cells, alone in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+            s, w = cells.values.field(1).to_numpy(), cells.values.field(2).to_numpy()
+            rest = 1 - alone - np.cumsum(w) + w
+            n = int((rest >= similarity - SLACK).sum())                  # they fall from one to the next
+            for column, values in zip(out, (np.full(n, node), np.full(n, root), s[:n], rest[:n])):
+                column.append(values)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["node", "root", "s", "rest"])
+    return map_arrow(known.select("node", "root", "known", "alone"), run, "node long, root long, s long, rest double")
+
+
+def _share_prefix(texts: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components that may still be similar. Let a and b be the shares of two texts' weights that lie in common shingles: their
+    index is at most 1 / (1/a + 1/b - 1). So both must share at least the similarity, which gives the prefix of each text; and where a
+    shingle is the first that two texts share, what they have left from it on must still suffice, so a large group isn't compared
+    pair by pair. In each shingle's group, texts of the component that is most frequent there are never paired with each other."""
+    rows = sets.join(texts, "node").select("node", "root", F.explode(F.arrays_zip(F.col("shingles").alias("s"), F.col("weights").alias("w"))).alias("e")).select("node", "root", "e.s", "e.w")
     often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    ranked = rows.join(often.where("n > 1"), "s").groupBy("doc", "root").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("known"))
-    # a shingle that no other text has comes first and can't be shared: it only uses up places of the prefix
-    sized = ranked.join(sets.select("doc", F.size("shingles").alias("all")), "doc")
-    places = F.col("all") - F.ceil(F.col("all") * F.lit(similarity) - 1e-9).cast("int") + 1 - (F.col("all") - F.size("known"))
-    prefix = sized.where(places > 0).select("doc", "root", "all", (F.col("all") - F.size("known")).alias("alone"), F.posexplode(F.slice("known", F.lit(1), places)).alias("at", "k"))
-    # ``rest``: shingles from this one on. Where it is the first that two texts share, they share no more than the smaller rest
-    prefix = prefix.select("doc", "root", "all", (F.col("all") - F.col("alone") - F.col("at")).alias("rest"), F.col("k.s").alias("s"))
-    prefix = scratch.keep(prefix, "prefix")
+    ranked = rows.join(often.where("n > 1"), "s").groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("n", "s", "w"))).alias("known"), F.sum("w").alias("shared"))
+    # a shingle that no other text has comes first and can't be shared: it only uses up weight
+    prefix = scratch.keep(_prefix_rows(ranked.withColumn("alone", 1 - F.col("shared")), similarity), "prefix")
     per = prefix.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c"))
     top = per.groupBy("s").agg(F.max(F.struct("c", "root")).alias("t"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("s", F.col("t.root").alias("top"))
     here = prefix.join(top, "s")
-    few = here.where("root <> top").select("s", F.col("doc").alias("p"), F.col("root").alias("p_root"), F.col("all").alias("p_all"), F.col("rest").alias("p_rest"))
-    wanted = (F.col("all") + F.col("p_all")) * (similarity / (1 + similarity)) - 1e-6
-    pairs = here.join(few, "s").where((F.col("root") != F.col("p_root")) & (F.least("rest", "p_rest") >= wanted))
-    return pairs.select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b")).distinct()
+    few = here.where("root <> top").select("s", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("rest").alias("p_rest"))
+    pairs = here.join(few, "s").where((F.col("root") != F.col("p_root")) & (1 / F.col("rest") + 1 / F.col("p_rest") - 1 <= 1 / similarity + SLACK))
+    return pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id) of every document with an id, one row per id; a table of ``scratch`` named ``classes``."""
+    """(doc_id, text_md5, class_id, kept) of every document with an id, one row per id and text; a table of ``scratch`` named ``classes``."""
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.md5(text_col).alias("copy"), F.col(text_col).alias("text")).where("doc is not null")
     sketch = scratch.keep(_sketches(base), "sketch")
 
-    # exact copies: the smallest id stands for them
-    worded = sketch.where("size(bands) > 0")
-    copies = worded.groupBy("copy").agg(F.min("doc").alias("least"))
-    twins = worded.select("doc", "copy").join(copies, "copy").where("doc > least").groupBy("doc").agg(F.min("least").alias("least"))
-    twins = scratch.keep(twins, "twins")
-    banded = worded.join(copies, "copy").where("doc = least")
-    rows = banded.select("doc", F.explode("bands").alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
+    # one node per text: they are numbered by the smallest id that has the text
+    texts = sketch.where("size(bands) > 0").groupBy("copy").agg(F.min("doc").alias("least"))
+    nodes = scratch.keep(global_index(texts, ["least", "copy"], scratch, "texts", "node"), "nodes")
+    rows = sketch.join(nodes, "copy").where("doc = least").select("node", F.explode("bands").alias("bucket"))
+    full = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
     buckets = scratch.keep(rows.join(full, "bucket").distinct(), "buckets")
-    scratch.drop("sketch")
-    sets = scratch.keep(_sets(base, bloom_of(buckets.select(F.xxhash64("doc").alias("h")).distinct(), "h")).dropDuplicates(["doc"]), "sets")
-
-    # every document of a bucket against the one that meets most others in all its buckets: of near copies, the least changed
-    meets = buckets.groupBy("doc").agg(F.sum("n").alias("meets"))
-    pivot = buckets.join(meets, "doc").groupBy("bucket").agg(F.max(F.struct("meets", "doc")).alias("p")).select("bucket", F.col("p.doc").alias("p"))
-    pairs = buckets.join(pivot, "bucket").where("p <> doc").select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
-    links = _linked(pairs, sets, similarity)
-    links = scratch.keep(links, "links")
+    meeting = scratch.keep(buckets.select("node").distinct().join(nodes, "node"), "meeting")
+    sets = scratch.keep(_sets(base.join(meeting, (base["copy"] == meeting["copy"]) & (F.col("doc") == F.col("least")))).dropDuplicates(["node"]), "sets")
+    scratch.drop("texts", "meeting")
+
+    # every text of a bucket against the one that meets most others in all its buckets: of near copies, the least changed
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    meets = buckets.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("meets"))
+    pivot = buckets.join(meets, "node").groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("p")).select("bucket", F.col("p.node").alias("p"))
+    pairs = buckets.join(pivot, "bucket").where("p <> node").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+    links = scratch.keep(_linked(pairs, sets, similarity), "links")
     roots = component_roots(links, scratch)
-    # documents of buckets that still hold several components
-    now = buckets.join(roots, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
+    # texts of buckets that still hold several components
+    reached = roots.withColumnRenamed("node", "of")
+    now = buckets.join(reached, F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    left = scratch.keep(now.join(mixed, "bucket").groupBy("doc").agg(F.min("root").alias("root")), "left")
+    left = scratch.keep(now.join(mixed, "bucket").groupBy("node").agg(F.min("root").alias("root")), "left")
     if not left.isEmpty():
         more = _linked(_share_prefix(left, sets, similarity, scratch), sets, similarity)
         stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = component_roots(more.unionByName(stars), scratch)
     scratch.drop("left", "links", "sets", "buckets", "prefix")
-    # copies follow the text they repeat
-    ids = base.select("doc").distinct().join(twins, "doc", "left").select("doc", F.coalesce("least", "doc").alias("text_id"))
-    classes = ids.join(roots, F.col("text_id") == F.col("node"), "left").select(F.col("doc").alias("doc_id"), F.coalesce("root", "text_id").alias("class_id"))
-    classes = scratch.keep(classes, "classes")
-    scratch.drop("roots", "twins")
+    # the class of a text is the smallest id of its root's text; texts without words have none but their own
+    ends = nodes.select(F.col("node").alias("root"), F.col("least").alias("class_id"))
+    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(ends, "root")
+    found = sketch.select("doc", "copy").distinct().join(placed, "copy", "left")
+    kept = F.coalesce((F.col("node") == F.col("root")) & (F.col("doc") == F.col("least")), F.lit(True))
+    classes = scratch.keep(found.select(F.col("doc").alias("doc_id"), F.col("copy").alias("text_md5"), F.coalesce("class_id", "doc").alias("class_id"), kept.alias("kept")), "classes")
+    scratch.drop("roots", "nodes", "sketch")
     return classes
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, its smallest id, with all columns; rows without an id are kept."""
+    """One document of each class, that with its smallest id, with all columns; rows without an id are kept."""
     scratch = Scratch(docs.sparkSession)
-    gone = near_duplicates(docs, scratch, similarity).where("doc_id <> class_id").select(F.col("doc_id").alias("gone"))
+    gone = near_duplicates(docs, scratch, similarity).where("not kept").select(F.col("doc_id").alias("gone"), F.col("text_md5").alias("gone_text"))
     scratch.close("classes")
-    return unpacked(packed(docs, doc=F.col("doc_id").cast("long")).join(gone, F.col("doc") == F.col("gone"), "left_anti"))
+    rows = packed(docs, doc=F.col("doc_id").cast("long"), copy=F.md5("text"))
+    return unpacked(rows.join(gone, (F.col("doc") == F.col("gone")) & F.col("copy").eqNullSafe(F.col("gone_text")), "left_anti"))

@@ -80,7 +80,7 @@ def op6_minhash(spark, sf_dir):
     scratch = Scratch(spark)
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), scratch)
     scratch.close("classes")
-    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return found.select("doc_id", "class_id", "kept")
 
 
 @query("op5_embeddings")

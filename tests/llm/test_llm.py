@@ -253,15 +253,67 @@ def test_near_duplicates(spark, odd, none):
     assert classes(none) == {} and minhash.keep_one(none).count() == 0
 
 
-def test_repetitions_do_not_cost_a_link():
+def slow_index(x, y):
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+
+
+def weighted(counts):
+    kinds = sorted(counts)
+    return np.array(kinds, np.int64), 1 + np.log(np.array([counts[k] for k in kinds]))
+
+
+def test_probability_jaccard_is_the_direct_sum():
+    r = np.random.default_rng(8)
+    for _ in range(60):
+        sides = [{int(k): int(n) for k, n in zip(r.integers(0, 30, 20), r.integers(1, 50, 20))} for _ in range(2)]
+        (s, x), (t, y) = map(weighted, sides)
+        want = slow_index(dict(zip(s.tolist(), x)), dict(zip(t.tolist(), y)))
+        assert math.isclose(minhash.probability_jaccard(s, x, t, y), want, rel_tol=1e-12)
+        assert math.isclose(minhash.probability_jaccard(s, x / x.sum(), t, 7 * y), want, rel_tol=1e-12)         # scales don't matter
+        # the bound of the prefix filter: shares of the weights in common shingles
+        a, b = x[np.isin(s, t)].sum() / x.sum(), y[np.isin(t, s)].sum() / y.sum()
+        assert want <= 1 / (1 / a + 1 / b - 1) + 1e-12 if a and b else want == 0
+
+
+def test_repetitions_weigh_in_sketch_and_index_alike():
     from spatialframe.llm.words import mix
-    missed = 0
+    same, wanted, shared = [], [], 0
     for s in range(60):
         line, rest = mix(np.arange(1, 21, dtype=np.uint64) + np.uint64(s << 20)), mix(np.arange(101, 181, dtype=np.uint64) + np.uint64(s << 20))
-        often, once = np.concatenate([np.tile(line, 1000), rest]), np.concatenate([line, rest])                # equal shingle sets
-        keys = minhash.band_keys(minhash.prob_minhash(np.concatenate([often, once]), np.repeat([0, 1], [len(often), len(once)]), 2))
-        missed += not (keys[0] == keys[1]).any()
-    assert missed == 0
+        often, once = np.concatenate([np.tile(line, 1000), rest]), np.concatenate([line, rest])                # equal shingle sets, other weights
+        sketch = minhash.prob_minhash(np.concatenate([often, once]), np.repeat([0, 1], [len(often), len(once)]), 2)
+        same.append((sketch[0] == sketch[1]).mean())
+        wanted.append(minhash.probability_jaccard(*minhash.weights_of(often), *minhash.weights_of(once)))
+        shared += (minhash.band_keys(sketch)[0] == minhash.band_keys(sketch)[1]).any()
+    assert abs(np.mean(same) - wanted[0]) < 0.02 and wanted[0] < 0.8                                           # so these are no near-duplicates
+
+
+def test_near_duplicates_of_weighted_texts(spark):
+    """Classes against all pairs where repetitions decide, and with the given similarity exactly met."""
+    r = np.random.default_rng(12)
+    rows = []
+    for g in range(12):
+        base, line = words(r, 60, 4000).split(), words(r, 12, 4000).split()
+        rows += [base + line * k for k in (1, 2, 5, 30)] + [base[:50] + line * 30, base + line * 29]
+    texts = [" ".join(t) for t in rows]
+    from collections import Counter
+    sets = [weighted(Counter(hash(tuple(t[i:i + 5])) for i in range(len(t) - 4))) for t in rows]
+    near = [[j for j in range(len(rows)) if minhash.probability_jaccard(*sets[i], *sets[j]) >= 0.8 - 1e-9] for i in range(len(rows))]
+    comp = list(range(len(rows)))
+    for _ in range(10):
+        comp = [min(comp[j] for j in near[i]) for i in range(len(rows))]
+    assert len(set(comp)) < len(rows) and classes(spark.createDataFrame([(i, t, "", "", 0, "", "", "") for i, t in enumerate(texts)], DOC)) == dict(enumerate(comp))
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_an_id_with_several_texts_loses_none(spark, turn):
+    r = np.random.default_rng(5)
+    a, b, c = (words(r, 40, 4000) for _ in range(3))
+    docs = spark.createDataFrame([(i, t, "", "", 0, "", "", "") for i, t in [(1, a), (2, b), (3, a), (3, b), (3, c)][::turn]], DOC)
+    found = {(x["doc_id"], x["text_md5"]): (x["class_id"], x["kept"]) for x in minhash.near_duplicates(docs, Scratch(spark)).collect()}
+    md5 = lambda t: __import__("hashlib").md5(t.encode()).hexdigest()
+    assert found == {(1, md5(a)): (1, True), (2, md5(b)): (2, True), (3, md5(a)): (1, False), (3, md5(b)): (2, False), (3, md5(c)): (3, True)}
+    assert {(x["doc_id"], x["text"]) for x in minhash.keep_one(docs).collect()} == {(1, a), (2, b), (3, c)}
 
 
 def test_signatures_estimate_probability_jaccard():
