@@ -27,6 +27,7 @@ from spatialframe.functions.components import component_roots
 from spatialframe.functions.durable import Scratch
 
 CELL, SLICE, SAMPLE, FAN = 4096, 8192, 512, 64
+FARTHEST = 64                  # farthest members of a cell that are tried as its centres too
 EPS = 1e-7                     # above the rounding of a chord distance
 TILE = 1024
 
@@ -185,7 +186,12 @@ def link_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
         if large.isEmpty():
             break
         inside = cells.join(large, "cell")
-        drawn = inside.withColumn("r", F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64("node"), "node"))).where(F.col("r") <= SAMPLE)
+        by = lambda *order: F.row_number().over(W.partitionBy("cell").orderBy(*order))
+        drawn = inside.withColumn("r", by(F.xxhash64("node"), "node")).where(F.col("r") <= SAMPLE).select("cell", "n", "unit")
+        if "centre" in inside.columns:
+            # the cell's centre and its farthest members: more than tau / 2 apart, so both can't stay in one cell and every cell gets smaller
+            far = inside.withColumn("r", by(F.col("d").desc(), "node")).where(F.col("r") <= FARTHEST)
+            drawn = drawn.unionByName(far.select("cell", "n", "unit")).unionByName(far.where("r = 1").select("cell", "n", F.col("centre").alias("unit")))
 
         def centres(pdf: pd.DataFrame) -> pd.DataFrame:
             x, n = _stack(pdf["unit"]), int(pdf["n"].iloc[0])
@@ -195,7 +201,7 @@ def link_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
                 chosen.append(int(d.argmax()))
                 d = np.minimum(d, chord(x[chosen[-1:]], x)[0])
             return pd.DataFrame({"cell": pdf["cell"].iloc[0], "n": n, "k": range(len(chosen)), "centre": list(x[chosen])})
-        picked = drawn.select("cell", "n", "unit").groupBy("cell").applyInPandas(centres, "cell string, n long, k int, centre array<double>")
+        picked = drawn.groupBy("cell").applyInPandas(centres, "cell string, n long, k int, centre array<double>")
         picked = scratch.keep(picked, "centres")
         slices = (F.ceil(F.col("n") / piece)).cast("long")
         ours = inside.withColumn("slice", F.pmod(F.xxhash64("node"), slices)).drop("n")
