@@ -67,13 +67,14 @@ def rotate(turns: DataFrame, block: int = 64, most: int = 4096) -> DataFrame:
                          F.array_join(F.transform("__t", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "").alias("chat"), spans.alias("mask"))
 
 
-ORACLE_SQL = """with said as (select conv_id, turn, coalesce(role, 'unknown') r, coalesce(text, '') t, cast(floor(turn / 64) as bigint) block from conversations),
+ORACLE_SQL = """with rows as (select conv_id, turn, coalesce(role, 'unknown') r, coalesce(text, '') t, cast(floor(turn / 64) as bigint) block from conversations),
+said as (select *, (row_number() over (partition by conv_id, block order by turn nulls first, r, t) - 1) // 4096 part from rows),
 people as (select distinct conv_id, role perspective from conversations where role is not null and role <> 'system'),
 seen as (select s.*, p.perspective, r = p.perspective own, replace(t, '<|', '< |') body,
     case when r = p.perspective then '<|assistant|>' || chr(10) when r = 'system' then '<|system|>' || chr(10) else '<|user name=' || replace(r, '<|', '< |') || '|>' || chr(10) end head
     from said s join people p on s.conv_id is not distinct from p.conv_id),
-placed as (select *, length(head) + coalesce(sum(length(head) + length(body) + 8) over (partition by conv_id, block, perspective order by turn nulls first, r, t rows between unbounded preceding and 1 preceding), 0) pos from seen)
-select conv_id, block, cast(0 as bigint) part, perspective, cast(count(*) as integer) n_turns, cast(sum(case when own then 1 else 0 end) as integer) n_own,
+placed as (select *, length(head) + coalesce(sum(length(head) + length(body) + 8) over (partition by conv_id, block, part, perspective order by turn nulls first, r, t rows between unbounded preceding and 1 preceding), 0) pos from seen)
+select conv_id, block, part, perspective, cast(count(*) as integer) n_turns, cast(sum(case when own then 1 else 0 end) as integer) n_own,
     string_agg(head || body || '<|end|>' || chr(10), '' order by pos, head, body) chat,
     coalesce(string_agg(case when own then cast(pos as bigint) || '-' || cast(pos + length(body) as bigint) end, ',' order by pos, head, body), '') mask
-from placed group by conv_id, block, perspective"""
+from placed group by conv_id, block, part, perspective"""
