@@ -1,8 +1,9 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by exact length. Each source takes all its documents as many whole times as its target allows; what is left
-of the budget is met by one more copy of some documents: a share of every length first, then single documents from the longest
-down, then bounded-knapsack dynamic programming on what remains. The documents of a length are picked in seeded hash order.
+of the budget is met by one more copy of some documents: beyond ``KNAPSACK`` words a share of every length first, then single documents from the longest
+down, and bounded-knapsack dynamic programming on what remains, which comes as near as any choice can. The documents of a length are picked in the order of a
+seeded hash of id and text, whatever their number.
 
 Null, empty and blank texts have size 0 and are never taken. A null source is a source of its own and comes last. Rows that repeat
 a doc_id are counted and picked row by row. An empty table gives an empty result.
@@ -57,7 +58,7 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         return np.zeros(len(sizes), np.int64)
     if budget >= total:
         return counts.astype(np.int64)
-    take = np.array([int(c) * budget // total for c in counts], object)
+    take = np.array([int(c) * budget // total if budget > KNAPSACK else 0 for c in counts], object)
     left = int(budget - sum(take * sizes))
     for i in range(len(sizes) - 1, -1, -1):
         if left <= KNAPSACK:
@@ -66,32 +67,31 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         if k > 0:
             take[i] += k
             left -= int(k * sizes[i])
-    if 0 < left <= KNAPSACK:
-        mask, reach, steps = (1 << (left + 1)) - 1, 1, []
-        for i in range(len(sizes)):
-            room = min(counts[i] - take[i], left // sizes[i]) if sizes[i] else 0
-            k = 1
+    spare = [i for i in range(len(sizes)) if sizes[i] and take[i] < counts[i]]
+    if 0 < left <= KNAPSACK and spare:
+        most = left + int(sizes[spare[0]])                     # the nearest sum above lies within the shortest document
+        mask, reach, steps = (1 << (most + 1)) - 1, 1, []
+        for i in spare:
+            room, k = min(counts[i] - take[i], most // sizes[i]), 1
             while room > 0 and not reach >> left & 1:
                 k = min(k, room)
                 steps.append((i, k, reach))
                 reach |= reach << int(k * sizes[i]) & mask
                 room -= k
                 k *= 2
-        at = reach.bit_length() - 1
-        left -= at
+        at, over = (reach & (1 << (left + 1)) - 1).bit_length() - 1, reach >> (left + 1)
+        if over and (over & -over).bit_length() < left - at:
+            at = left + (over & -over).bit_length()
         for i, k, before in reversed(steps):
             if not before >> at & 1:
                 take[i] += k
                 at -= int(k * sizes[i])
-    spare = [i for i in range(len(sizes)) if sizes[i] and take[i] < counts[i]]
-    if left > 0 and spare and abs(sizes[spare[0]] - left) < left:      # one short document over the budget may come nearer
-        take[spare[0]] += 1
     return take.astype(np.int64)
 
 
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = CAP, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row (doc_id, size, source_size, target, taken) per document; ``taken`` is its size times its copies in the mix."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(text_col).alias("size"), F.lit(0).cast("long").alias("key"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(text_col).alias("size"), F.xxhash64(text_col).alias("key"))
     scratch = Scratch(docs.sparkSession)
     return _mix(scratch.keep(sized, "sizes"), weights, cap, seed).select("doc_id", "size", "source_size", "target", "taken")     # texts are read once
 
@@ -113,7 +113,7 @@ def _mix(sized: DataFrame, weights, cap: int, seed: str) -> DataFrame:
     # a group has one row per length of its source, not per document
     plans = rows.groupBy("source").applyInPandas(plan, "size long, n long, source string, words long, target double, base long, more long").withColumnRenamed("source", "__s").withColumnRenamed("size", "__z")
     met = sized.withColumn("__own", F.col("source")).join(plans.drop("source"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")))
-    met = met.withColumn("__h", seeded(seed, F.col("doc_id"))).withColumn("__b", F.when(F.col("n") > WHOLE_GROUP, F.shiftrightunsigned("__h", 52)).otherwise(0))
+    met = met.withColumn("__h", seeded(seed, F.col("doc_id"), F.col("key"))).withColumn("__top", F.shiftrightunsigned("__h", 52)).withColumn("__b", F.when(F.col("n") > WHOLE_GROUP, F.col("__top")).otherwise(0))
     part = [F.col("source"), F.col("size"), F.col("__b")]
     cut = met.where("more > 0 and more < n")
     # rows before each hash bucket of a large group; small groups have one bucket
@@ -121,7 +121,7 @@ def _mix(sized: DataFrame, weights, cap: int, seed: str) -> DataFrame:
     before = F.coalesce(F.sum("__c").over(W.partitionBy("source", "size").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     filled = filled.select(F.col("source").alias("__fs"), F.col("size").alias("__fz"), F.col("__b").alias("__fb"), before.alias("__o"))
     placed = (cut.join(filled, F.col("source").eqNullSafe(F.col("__fs")) & (F.col("size") == F.col("__fz")) & (F.col("__b") == F.col("__fb")), "left")
-              .withColumn("__r", F.row_number().over(W.partitionBy(*part).orderBy("__h", "doc_id", "key")) + F.coalesce("__o", F.lit(0)))
+              .withColumn("__r", F.row_number().over(W.partitionBy(*part).orderBy("__top", "__h", "doc_id", "key")) + F.coalesce("__o", F.lit(0)))
               .withColumn("copies", F.col("base") + (F.col("__r") <= F.col("more")).cast("long")))
     whole = met.where("more = 0 or more >= n").withColumn("copies", F.col("base") + (F.col("more") > 0).cast("long"))
     cols = ["doc_id", F.col("__own").alias("source"), "key", "size", F.col("words").alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"]
