@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .words import bloom_of, in_bloom, lists, map_arrow, mix, packed, signed, split_words, unpacked, window_hashes
+from .words import bloom_of, in_bloom, lists, map_arrow, map_texts, mix, packed, signed, split_words, unpacked, window_hashes
 
 WINDOW, LITERALS, COVER = 8, 4, 13
 #: Units that a value may carry.
@@ -154,7 +154,7 @@ def text_windows(docs: DataFrame, lengths: list[int], bloom: np.ndarray) -> Data
                     h1, h2 = _rows(at, h, codes if form else values, k)
                     yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(at.astype(np.int32)), pa.array([k] * n, pa.int32()),
                                                       pa.array([form] * n, pa.int32()), lists(signed(values)[place].ravel(), [k] * n, pa.int64())], ["doc_id", "key", "h", "h2", "at", "k", "form", "v"])
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text"), run, "doc_id long, key long, " + SCHEMA)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text"), run, "doc_id long, key long, " + SCHEMA)
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, cover: int = COVER) -> DataFrame:

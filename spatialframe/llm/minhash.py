@@ -32,7 +32,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5            # a pair at 0.8 is missed once in 14,000, whatever its repetitions
 REGISTERS = BANDS * ROWS
 SLACK = 1e-9                   # for sums of fractions that make exactly the similarity
-GATHER = 400_000               # shingles sketched together
+GATHER = 100_000               # shingles sketched together
 
 
 def shingles_of(h: np.ndarray) -> np.ndarray:

@@ -202,4 +202,5 @@ def filter_quality(docs: DataFrame, net: Network, threshold: float = 0.3) -> Dat
                     keep = pa.array(net.score(row.field(at).to_pylist(), self.tables) >= threshold)
                     if pc.any(keep).as_py():
                         yield pa.RecordBatch.from_arrays([c.filter(keep) for c in row.flatten()], names)
+            pa.default_memory_pool().release_unused()
     return rows.mapInArrow(Scorer().__call__, kind)

@@ -93,10 +93,11 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     def run(batches):
         for b in batches:
             yield from fn(b)
+        pa.default_memory_pool().release_unused()               # workers are reused: what a task freed goes back
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, texts: pa.Array, limit: int = 1 << 22):
+def slices(batch: pa.RecordBatch, texts: pa.Array, limit: int = 1 << 20):
     """The batch in runs of rows whose texts have about ``limit`` bytes (one longer text is a run of its own). Nothing is copied, so what a
     function makes of a run at once does not grow with the batch."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -113,6 +114,7 @@ def map_texts(df: DataFrame, fn, schema: str, text: str = "text") -> DataFrame:
         for b in batches:
             for part in slices(b, b.column(b.schema.get_field_index(text))):
                 yield from fn(part)
+        pa.default_memory_pool().release_unused()
     return df.mapInArrow(run, schema)
 
 
