@@ -1,6 +1,6 @@
 """Distribution tails for small result tables (one row per group), as vectorised pandas UDFs.
 
-Spark has no normal, t or binomial tail function. These run on aggregated tables only.
+Spark has no normal, t or binomial tail function, nor the exact distributions of rank and sign-flip statistics. These run on aggregated tables only.
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -116,3 +117,56 @@ def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
             lo, hi = (mid, hi) if _t_cdf(mid, dd) < pp else (lo, mid)
         return (lo + hi) / 2.0
     return pd.Series([f(a, b) for a, b in zip(p, df)], dtype="float64")
+
+
+def u_counts(m: int, n: int) -> np.ndarray:
+    """Number of ways in which ``m`` of m + n distinct values take each value of U (0 to m n), exact: partitions into at most m parts, built part by
+    part, less those with a part above n. Whole numbers of 64 bits while all of them fit, of any length beyond."""
+    m, n = min(m, n), max(m, n)
+    size = m * n + 1
+    c = np.zeros(size, np.int64 if math.comb(m + n, m) < 1 << 62 else object)
+    c[0] = 1
+    for i in range(1, m + 1):
+        if n + i < size:
+            c[n + i:] -= c[:size - n - i].copy()            # times 1 - q^(n + i)
+        for r in range(min(i, size)):                       # over 1 - q^i: running sums at stride i
+            c[r::i] = np.add.accumulate(c[r::i])
+    return c
+
+
+def _u_tail(m: int, n: int, u: float, greater: bool) -> float:
+    c = u_counts(m, n)
+    return float(int(c[math.ceil(u):].sum() if greater else c[:math.floor(u) + 1].sum()) / math.comb(m + n, m))
+
+
+def exact_u(greater: bool):
+    """Column function (n_a, n_b, u) of the exact one-sided p of U without ties."""
+    @F.pandas_udf(DoubleType())
+    def tail(a: pd.Series, b: pd.Series, u: pd.Series) -> pd.Series:
+        return pd.Series([_u_tail(int(x), int(y), float(z), greater) if _finite(x, y, z) and x > 0 and y > 0 else None for x, y, z in zip(a, b, u)], dtype="float64")
+    return tail
+
+
+def _signed_sums(v: np.ndarray) -> np.ndarray:
+    sums = np.zeros(1)
+    for x in v:
+        sums = np.concatenate([sums - x, sums + x])
+    return sums
+
+
+def _flip_p(values) -> float:
+    v = np.sort(np.asarray(values, np.float64))
+    wanted = abs(math.fsum(v)) - 1e-12 * len(v)
+    if wanted <= 0:
+        return 1.0
+    # the signed sums of both halves; for each of one, those of the other that reach the total on either side
+    left, right = _signed_sums(v[::2]), np.sort(_signed_sums(v[1::2]))
+    above = len(right) * len(left) - int(np.searchsorted(right, wanted - left, "left").sum())
+    below = int(np.searchsorted(right, -wanted - left, "right").sum())
+    return (above + below) / 2.0 ** len(v)
+
+
+@F.pandas_udf(DoubleType())
+def signflip_halves(values: pd.Series) -> pd.Series:
+    """Exact two-sided sign-flip p of an array of differences by meeting in the middle: 2^(n/2) sums instead of 2^n."""
+    return pd.Series([None if v is None else _flip_p(v) for v in values], dtype="float64")

@@ -379,6 +379,42 @@ def _(spark, sf):
     return r(T.mann_whitney(V.entities(spark, sf), "sample", "n_tx", "lig", 1).drop("p"), 6, "rank_biserial").withColumn("u", F.round("u", 3))
 
 
+SMALL_SQL = "s AS (SELECT CAST(FLOOR(entity_id / 11.0) AS BIGINT) AS stratum, lig, y FROM ent)"
+
+
+@query("mann_whitney_exact", f"""WITH {SMALL_SQL}, ways AS (WITH RECURSIVE w(m, n, u, c) AS (SELECT 0, 0, 0, CAST(1 AS BIGINT)
+  UNION ALL SELECT m + t.a, n + 1 - t.a, u + t.a * n, CAST(sum(c) AS BIGINT) FROM w, (VALUES (0), (1)) t(a) WHERE m + n < 11 GROUP BY 1, 2, 3) SELECT * FROM w),
+ k AS (SELECT stratum, count(*) FILTER (lig=1) AS n_a, count(*) FILTER (lig=0) AS n_b FROM s GROUP BY 1),
+ o AS (SELECT k.*, (SELECT count(*) FROM s a JOIN s b ON a.stratum = b.stratum WHERE a.stratum = k.stratum AND a.lig = 1 AND b.lig = 0 AND a.y > b.y) AS u FROM k)
+SELECT stratum, o.n_a, o.n_b, CAST(o.u AS DOUBLE) AS u, CASE WHEN o.n_a * o.n_b > 0 THEN round(2.0*o.u/o.n_a/o.n_b-1,6) END AS rank_biserial, CASE WHEN o.n_a * o.n_b > 0 THEN round(sum(c) FILTER (w.u >= o.u) / CAST(sum(c) AS DOUBLE), 12) END AS p, 'exact' AS method
+FROM o JOIN ways w ON w.m = o.n_a AND w.n = o.n_b GROUP BY stratum, o.n_a, o.n_b, o.u""", "ent")
+def _(spark, sf):
+    s = V.entities(spark, sf).withColumn("stratum", F.floor(F.col("entity_id") / 11.0).cast("long"))
+    return r(r(T.mann_whitney(s, "stratum", "y", "lig", 1), 6, "rank_biserial"), 12, "p")
+
+
+NATION_SQL = """g AS (SELECT o_orderpriority AS setting, c_nationkey AS unit, avg(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+ d AS (SELECT a.setting, row_number() OVER (PARTITION BY a.setting ORDER BY a.unit) AS i, a.v - b.v AS d FROM g a JOIN g b ON a.unit = b.unit AND b.setting = '1-URGENT' WHERE a.setting <> '1-URGENT')"""
+
+
+@query("signflip_halves", f"""WITH {NATION_SQL}, t AS (SELECT setting, count(*) AS n, abs(sum(d)) - 1e-12 * count(*) AS t FROM d GROUP BY 1),
+ l AS (SELECT setting, m, sum(d * CASE WHEN (m >> (i - 1)) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM d, range(4096) r(m) WHERE i <= 12 GROUP BY ALL),
+ h AS (SELECT setting, m, sum(d * CASE WHEN (m >> (i - 13)) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM d, range(8192) r(m) WHERE i > 12 GROUP BY ALL)
+SELECT t.setting, t.n, count(*) FILTER (abs(l.s + h.s) >= t.t) / 33554432.0 AS p FROM t JOIN l USING (setting) JOIN h USING (setting) GROUP BY ALL""")
+def _(spark, sf):
+    o = V.table(spark, sf, "orders").join(V.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    g = o.groupBy(F.col("o_orderpriority").alias("setting"), F.col("c_nationkey").alias("unit")).agg(F.avg("o_totalprice").alias("v"))
+    base = g.where("setting = '1-URGENT'").select("unit", F.col("v").alias("b"))
+    return T.signflip_exact(g.where("setting <> '1-URGENT'").join(base, "unit").withColumn("d", F.col("v") - F.col("b")), "setting", "d")
+
+
+@query("rank_correlation_kendall", """WITH s AS (SELECT a.sample, sum(sign(a.n_tx - b.n_tx) * sign(a.confidence - b.confidence)) AS s, count(*) AS all_pairs, count(*) FILTER (a.n_tx <> b.n_tx) AS dx, count(*) FILTER (a.confidence <> b.confidence) AS dy
+  FROM ent a JOIN ent b ON a.sample = b.sample AND a.entity_id < b.entity_id GROUP BY 1)
+SELECT sample, n, round(s / (sqrt(CAST(dx AS DOUBLE)) * sqrt(CAST(dy AS DOUBLE))), 9) AS kendall FROM s JOIN (SELECT sample, count(*) AS n FROM ent GROUP BY 1) USING (sample)""", "ent")
+def _(spark, sf):
+    return r(T.rank_correlation(V.entities(spark, sf), "n_tx", "confidence", "kendall", "sample"), 9, "kendall")
+
+
 @query("cliffs_delta", f"WITH {U_SQL} SELECT sample, n_a, n_b, round(2.0*u/n_a/n_b-1,6) AS delta FROM u", "ent")
 def _(spark, sf):
     return r(T.cliffs_delta(V.entities(spark, sf), "sample", "n_tx", "lig", 1), 6, "delta")

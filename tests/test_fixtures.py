@@ -140,6 +140,50 @@ def test_signflip(spark):
     assert stats.signflip_exact(d, "g", "d").first().p == 2 / 64
 
 
+def test_exact_u_is_the_count_of_all_splits(spark):
+    import itertools
+    from spatialframe.functions.tails import u_counts
+    for m, n in itertools.product(range(1, 7), range(1, 7)):
+        want = [0] * (m * n + 1)
+        for side in itertools.combinations(range(m + n), m):
+            want[sum(a > b for a in side for b in set(range(m + n)) - set(side))] += 1
+        assert u_counts(m, n).tolist() == want
+    import math
+    assert int(u_counts(8, 2000).sum()) == math.comb(2008, 8)                    # beyond 64 bits
+    rows = [("few", "a", v) for v in (5.0, 7.0, 9.0)] + [("few", "b", v) for v in (1.0, 6.0, 2.0, 8.0)] + [("tied", "a", 1.0), ("tied", "b", 1.0), ("tied", "b", 2.0), ("one", "a", 1.0)]
+    rows += [("wide", "a", float(i)) for i in range(9)] + [("wide", "b", i + 0.5) for i in range(9)]
+    d = spark.createDataFrame(rows, "k string, g string, v double")
+    for side in ("greater", "less"):
+        got = {x.k: x for x in stats.mann_whitney(d, "k", "v", "g", "a", side).collect()}
+        c = u_counts(3, 4)
+        want = c[9:].sum() if side == "greater" else c[:10].sum()
+        assert got["few"].u == 9 and got["few"].p == want / 35 and got["few"].method == "exact"
+        assert got["tied"].method == got["wide"].method == "asymptotic" and 0 < got["wide"].p < 1 and got["one"].p is None
+
+
+def test_signflip_halves_are_the_enumeration(spark):
+    import itertools
+    r = random.Random(3)
+    sets = [[float(r.randint(-3, 3)) for _ in range(n)] for n in range(1, 17)] + [[r.gauss(0.5, 1) for _ in range(n)] for n in (5, 12, 15)] + [[0.1] * 9, [0.0] * 4]
+    from spatialframe.functions.tails import _flip_p
+    for v in sets:
+        sums = [abs(sum(x * s for x, s in zip(v, signs))) for signs in itertools.product((1, -1), repeat=len(v))]
+        assert _flip_p(v) == sum(s >= abs(sum(v)) - 1e-12 * len(v) for s in sums) / len(sums)
+    d = spark.createDataFrame([("forty", 1.0)] * 40 + [("seventeen", 1.0)] * 17 + [("over", 1.0)] * 41, "g string, d double")
+    assert {x.g: (x.n, x.p) for x in stats.signflip_exact(d, "g", "d").collect()} == {"forty": (40, 2.0 ** -39), "seventeen": (17, 2.0 ** -16), "over": (41, None)}
+
+
+def test_kendall_is_the_count_of_pairs(spark):
+    r = random.Random(8)
+    rows = [("a", float(r.randint(0, 40)), float(r.randint(0, 30))) for _ in range(150)] + [("b", float(i), float(i * i)) for i in range(40)] + [("flat", 1.0, float(i)) for i in range(3)] + [("c", 1.0, None), ("c", 2.0, 1.0), ("a", float("nan"), 1.0)]
+    got = {x.g: x for x in stats.rank_correlation(spark.createDataFrame(rows, "g string, x double, y double"), "x", "y", "kendall", "g").collect()}
+    sign = lambda v: (v > 0) - (v < 0)
+    own = [(x, y) for g, x, y in rows if g == "a" and x == x]
+    pairs = [(sign(p[0] - q[0]), sign(p[1] - q[1])) for i, p in enumerate(own) for q in own[:i]]
+    want = sum(a * b for a, b in pairs) / (sum(a != 0 for a, _ in pairs) * sum(b != 0 for _, b in pairs)) ** 0.5
+    assert got["a"].kendall == pytest.approx(want, abs=1e-12) and got["a"].n == 150 and got["b"].kendall == 1 and got["flat"].kendall is None and got["c"].kendall is None
+
+
 def test_ranks_agree_with_each_other(spark):
     d = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 2.0)], "g string, v double")
     assert stats.cliffs_delta(d, [], "v", "g", "a").first().delta == 0
