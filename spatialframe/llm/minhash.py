@@ -151,25 +151,27 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _prefix_rows(known: DataFrame, similarity: float) -> DataFrame:
-    """(node, root, s, rest) of the shingles that a text of (node, root, known: (n, s, w) from the rarest on, alone: share of its weight that no other text
-    has) must share one of: those with at least the similarity left from them on. ``rest`` is what is left."""
+    """(node, root, s, rest, n_rest, heavy) of the shingles that a text of (node, root, known: (n, s, w) from the rarest on, alone: share of its weight that no
+    other text has) must share one of: those with at least the similarity left from them on. ``rest`` is the weight that is left, ``n_rest`` the number of
+    shingles that have it, ``heavy`` the largest weight among them."""
     def run(b):
-        out = [[np.empty(0, np.int64)] for _ in range(3)] + [[np.empty(0)]]
+        out = [[np.empty(0, kind)] for kind in (np.int64, np.int64, np.int64, np.float64, np.int64, np.float64)]
         for node, root, cells, alone in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
             s, w = cells.values.field(1).to_numpy(), cells.values.field(2).to_numpy()
             rest = 1 - alone - np.cumsum(w) + w
             n = int((rest >= similarity - SLACK).sum())                  # they fall from one to the next
-            for column, values in zip(out, (np.full(n, node), np.full(n, root), s[:n], rest[:n])):
+            heavy = np.maximum.accumulate(w[::-1])[::-1]
+            for column, values in zip(out, (np.full(n, node), np.full(n, root), s[:n], rest[:n], len(s) - np.arange(n), heavy[:n])):
                 column.append(values)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["node", "root", "s", "rest"])
-    return map_arrow(known.select("node", "root", "known", "alone"), run, "node long, root long, s long, rest double")
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["node", "root", "s", "rest", "n_rest", "heavy"])
+    return map_arrow(known.select("node", "root", "known", "alone"), run, "node long, root long, s long, rest double, n_rest long, heavy double")
 
 
 def _share_prefix(texts: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of different components that may still be similar. Let a and b be the shares of two texts' weights that lie in common shingles: their
     index is at most 1 / (1/a + 1/b - 1). So both must share at least the similarity, which gives the prefix of each text; and where a
-    shingle is the first that two texts share, what they have left from it on must still suffice, so a large group isn't compared
-    pair by pair. In each shingle's group, texts of the component that is most frequent there are never paired with each other."""
+    shingle is the first that two texts share, what they have left from it on must still suffice: they share no more shingles than the shorter rest has, of
+    no more than the heaviest weight each. So a large group isn't compared pair by pair. In each shingle's group, texts of the component that is most frequent there are never paired with each other."""
     rows = sets.join(texts, "node").select("node", "root", F.explode(F.arrays_zip(F.col("shingles").alias("s"), F.col("weights").alias("w"))).alias("e")).select("node", "root", "e.s", "e.w")
     often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     ranked = rows.join(often.where("n > 1"), "s").groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("n", "s", "w"))).alias("known"), F.sum("w").alias("shared"))
@@ -178,8 +180,10 @@ def _share_prefix(texts: DataFrame, sets: DataFrame, similarity: float, scratch:
     per = prefix.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c"))
     top = per.groupBy("s").agg(F.max(F.struct("c", "root")).alias("t"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("s", F.col("t.root").alias("top"))
     here = prefix.join(top, "s")
-    few = here.where("root <> top").select("s", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("rest").alias("p_rest"))
-    pairs = here.join(few, "s").where((F.col("root") != F.col("p_root")) & (1 / F.col("rest") + 1 / F.col("p_rest") - 1 <= 1 / similarity + SLACK))
+    few = here.where("root <> top").select("s", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("rest").alias("p_rest"), F.col("n_rest").alias("p_n"), F.col("heavy").alias("p_heavy"))
+    most = F.least("n_rest", "p_n")
+    a, b = F.least(F.col("rest"), most * F.col("heavy")), F.least(F.col("p_rest"), most * F.col("p_heavy"))
+    pairs = here.join(few, "s").where((F.col("root") != F.col("p_root")) & (1 / a + 1 / b - 1 <= 1 / similarity + SLACK))
     return pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
 
 
