@@ -200,7 +200,7 @@ def _(spark, sf):
 # --- windows -----------------------------------------------------------------------------------------
 
 W, STRIDE = 12, 4
-SUP_SQL = "sup AS (SELECT entity_id, any_value(cell_type) AS cell_type, CAST(floor(avg(row)) AS INT) AS row, CAST(floor(avg(col)) AS INT) AS col FROM foot WHERE sample > 2 GROUP BY 1)"
+SUP_SQL = "sup AS (SELECT entity_id, any_value(cell_type) AS cell_type, CAST(floor(avg(row)) AS INT) AS row, CAST(floor(avg(col)) AS INT) AS col FROM foot GROUP BY 1)"
 WIN_SQL = RES_SQL + f""", {SUP_SQL}, box AS (SELECT min(row) AS rl, max(row) AS rh, min(col) AS cl, max(col) AS ch FROM res WHERE tissue), wins AS (SELECT CAST(a.range AS INT) AS wr, CAST(b.range AS INT) AS wc, CAST(rl+a.range*{STRIDE} AS INT) AS r0, CAST(cl+b.range*{STRIDE} AS INT) AS c0 FROM box, range(60) a, range(60) b WHERE rl+a.range*{STRIDE} < rh-{W} AND cl+b.range*{STRIDE} < ch-{W}),
  wp AS (SELECT wr, wc, r0, c0, count(*) FILTER (tissue) AS t, count(*) FILTER (residual) AS rs FROM wins JOIN res ON row>=r0 AND row<r0+{W} AND col>=c0 AND col<c0+{W} GROUP BY ALL),
  ws AS (SELECT wr, wc, count(*) AS n_supported, count(DISTINCT cell_type) AS n_types, string_agg(DISTINCT cell_type, ',' ORDER BY cell_type) AS types FROM wins JOIN sup ON row>=r0 AND row<r0+{W} AND col>=c0 AND col<c0+{W} GROUP BY 1,2),
@@ -208,8 +208,7 @@ WIN_SQL = RES_SQL + f""", {SUP_SQL}, box AS (SELECT min(row) AS rl, max(row) AS
 
 
 def supported(spark, sf):
-    f = V.footprints(spark, sf).where("sample > 2")
-    return f.groupBy("entity_id").agg(F.first("cell_type").alias("cell_type"), F.floor(F.avg("row")).cast("int").alias("row"), F.floor(F.avg("col")).cast("int").alias("col"))
+    return V.footprints(spark, sf).groupBy("entity_id").agg(F.first("cell_type").alias("cell_type"), F.floor(F.avg("row")).cast("int").alias("row"), F.floor(F.avg("col")).cast("int").alias("col"))
 
 
 def eligible(spark, sf, res=None):

@@ -108,12 +108,12 @@ def molecule_stream(spark, sf):
 @query("molecule_fate_stream", FATE_SQL, "mol")
 def _(spark, sf):
     base = scratch(spark)
-    last = J.run_available(J.molecule_fate_stream(molecule_stream(spark, sf)), f"{base}/out", f"{base}/state")
-    return r(J.fate_result(spark, last), 6, "pct_of_total")
+    state = J.run_available(J.molecule_fate_stream(molecule_stream(spark, sf)), f"{base}/out", f"{base}/state")
+    return r(J.fate_result(state), 6, "pct_of_total")
 
 
 @query("entity_accumulator_stream", CENTROID_SQL, "mol")
 def _(spark, sf):
     base = scratch(spark)
-    last = J.run_available(J.entity_accumulator_stream(molecule_stream(spark, sf)), f"{base}/out", f"{base}/state")
-    return settle(J.centroid_result(spark, last), 5, "x", "y")
+    state = J.run_available(J.entity_accumulator_stream(molecule_stream(spark, sf)), f"{base}/out", f"{base}/state", "entity_id")
+    return settle(J.centroid_result(state), 5, "x", "y")
