@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import as_list, exact_percentiles, hash_hex, hash_int, hash_rank, n_rows, rarefied_detection
 from ..functions.durable import durable
 from .graph import axis_nodes, clump_of, topology
-from .spatial import nearest, self_pairs
-from .stats import cliffs_delta, mann_whitney
+from .spatial import nearest, nearest_other, self_pairs
+from .stats import bh_adjust, cliffs_delta, mann_whitney
 
 
 # --- case / control matching -------------------------------------------------------------------------
@@ -250,10 +250,11 @@ def contrast_rows(stats: DataFrame, canon: dict[str, str], value: str = "pos", k
         "k": F.size(F.filter("P", lambda v: v.isNotNull()))}).where("code is not null")
 
 
-def contrast_at(code: Column) -> Column:
-    """Own value minus the mean of the other measured ones; NULL where the own value is missing."""
-    own = F.get("P", code)
-    return own - (F.col("tot") - F.coalesce(own, F.lit(0.0))) / F.greatest(F.col("k") - 1, F.lit(1))
+def contrast_at(code: Column, head: str = "") -> Column:
+    """Own value minus the mean of the other measured ones; NULL where the own value is missing. ``head`` names another array, as
+    ``control_rows`` adds it."""
+    own = F.get(f"{head}P", code)
+    return own - (F.col(f"{head}tot") - F.coalesce(own, F.lit(0.0))) / F.greatest(F.col(f"{head}k") - 1, F.lit(1))
 
 
 def matched_contrast(stats: DataFrame, canon: dict[str, str], **kw) -> DataFrame:
@@ -288,6 +289,59 @@ def identity_null(rows: DataFrame, n_types: int, n: int, seed, by, key: str = "e
     return out.withColumn("z_vs_null", (F.col("median_delta") - F.col("null_median")) / F.greatest("null_sd", F.lit(1e-12)))
 
 
+def control_rows(stats: DataFrame, canon: dict[str, str], control: list[str], views: dict[str, str], key: str = "entity_id", label: str = "cell_type", keep=()) -> DataFrame:
+    """Rows of ``contrast_rows`` for every pixel view (name -> value column), with the values of channels that carry no marker
+    (autofluorescence) beside them as ``c_P``, ``c_tot`` and ``c_k``. One pass over the channel statistics; a view whose own values are
+    missing keeps its row, with NULLs."""
+    types, keep = list(canon), as_list(keep)
+    pick = lambda markers, v: F.array(*[F.max(F.when(F.col("marker") == m, F.col(v))) for m in markers])
+    per = stats.groupBy(key, label, *keep).agg(*[a for n, v in views.items() for a in (pick([canon[t] for t in types], v).alias(f"{n}__P"), pick(control, v).alias(f"{n}__C"))])
+    code = F.create_map(*[F.lit(v) for i, t in enumerate(types) for v in (t, i)])
+    per = per.withColumn("code", F.try_element_at(code, F.col(label))).where("code is not null")
+    out = per.select(key, label, *keep, "code", F.inline(F.array(*[F.struct(F.lit(n).alias("view"), F.col(f"{n}__P").alias("P"), F.col(f"{n}__C").alias("c_P")) for n in views])))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    known = lambda c: F.size(F.filter(c, lambda v: v.isNotNull()))
+    return out.withColumns({"tot": total("P"), "k": known("P"), "c_tot": total("c_P"), "c_k": known("c_P")})
+
+
+def discordant(ent: DataFrame, whole: Column, by=(), key: str = "entity_id", label: str = "cell_type") -> DataFrame:
+    """(group, key, discordant): is the nearest other whole entity of another type? Entities without one have no row."""
+    by = as_list(by)
+    near = nearest_other(ent, ent.where(whole).withColumn("_near", F.col(label)), by, payload="_near", src_id=key, tgt_id=key)
+    return ent.select(*by, key, label).join(near.select(*by, key, "_near"), [*by, key]).select(*by, key, (F.col("_near") != F.col(label)).alias("discordant"))
+
+
+def identity_controls(rows: DataFrame, n_types: int, n_control: int, n: int, n_boot: int, seed, by, key: str = "entity_id", min_n: int = 30) -> DataFrame:
+    """``identity_null`` with its controls, for rows of ``control_rows``: a bootstrap interval of the median contrast, the same entities
+    scored on a randomly picked control channel (``median_delta_control``, ``frac_positive_control``) and on the map moved on by one type,
+    Cliff's delta of both against the null draw, and Benjamini-Hochberg q over all groups.
+
+    ``by`` holds view, class, subset and type (or ALL) columns. Groups below ``min_n`` entities have no row; entities whose own or
+    control value is missing are left out of the figures that need it.
+    """
+    by = as_list(by)
+    src = durable(rows.where(F.col("k") >= n_types - 1))
+    out = identity_null(src.drop("c_P", "c_tot", "c_k"), n_types, n, seed, by, key, min_n)
+    src = src.join(out.select(*by), by, "left_semi")
+    shift = F.pmod(hash_int(seed, F.lit(-1), F.col(key)), F.lit(n_types - 1))
+    scored = src.select(*by, key, contrast_at(F.col("code")).alias("d"),
+                        contrast_at(F.pmod(F.col("code") + 1, F.lit(n_types)).cast("int")).alias("swapped"),
+                        contrast_at(F.pmod(F.col("code") + 1 + shift, F.lit(n_types)).cast("int")).alias("null"),
+                        contrast_at(F.pmod(hash_int(seed, F.lit("control"), F.col(key)), F.lit(n_control)).cast("int"), "c_").alias("control"),
+                        contrast_at(F.pmod(hash_int(seed, F.lit("control null"), F.col(key)), F.lit(n_control)).cast("int"), "c_").alias("control_null"))
+    scored = durable(scored)
+    ci = bootstrap_ci(scored, by, "d", "median", n_boot, seed, key).select(*by, "ci_lo", "ci_hi")
+    mid = exact_percentiles(scored.where("control is not null").select(*by, "control"), by, {"median_delta_control": ("control", .5)})
+    share = scored.groupBy(*by).agg(F.avg((F.col("control") > 0).cast("double")).alias("frac_positive_control"))
+
+    def effect(case: str, null: str, name: str) -> DataFrame:
+        pair = scored.select(*by, F.inline(F.array(F.struct(F.lit("own").alias("g"), F.round(case, 9).alias("v")), F.struct(F.lit("null").alias("g"), F.round(null, 9).alias("v")))))
+        return cliffs_delta(pair.where("v is not null"), by, "v", "g", "own").select(*by, F.col("delta").alias(name))
+    parts = [ci, mid, share, effect("swapped", "null", "cliffs_swapped_map"), effect("control", "control_null", "cliffs_control")]
+    out = reduce(lambda a, b: a.join(b, by, "left"), parts, out)
+    return bh_adjust(durable(out), "p_perm", out="q_bh")
+
+
 # --- composed audits ---------------------------------------------------------------------------------
 
 def lineage_identity(df: DataFrame, case: Column, other: Column, state: Column, by, module: str, k: int = 5, d_rare: int = 20, seed=0, rounds: int = 1,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.durable import durable
@@ -197,6 +199,54 @@ def _(spark, sf):
     return r(r(t, 6, "mean_delta", "frac_positive_delta", "median_delta", "median_delta_swapped_map", "null_median", "null_sd", "p_perm", "cliffs_delta_vs_null"), 4, "z_vs_null")
 
 
+# the same statistics over the marker channels and the two blank ones
+STAT_ALL_SQL = re.sub(r"\bpx\b", "pxa", STAT_SQL)
+GRP = "view, entity_class, subset, level"
+pick = lambda ms, col="v": "[" + ", ".join(f"max({col}) FILTER (s.marker='{m}')" for m in ms) + "]"
+summed = lambda a, n: " + ".join(f"coalesce({a}[{i}],0.0::DOUBLE)" for i in range(1, n + 1))
+known = lambda a: f"list_aggregate({a}, 'count')"
+blank = lambda tag: f"(C[{hint(chr(39) + '3' + chr(39), tag, 'entity_id')} % 2 + 1] - (ctot - coalesce(C[{hint(chr(39) + '3' + chr(39), tag, 'entity_id')} % 2 + 1],0))/greatest(ck-1,1))"
+
+
+def effect_sql(name, case, null):
+    return f"""{name} AS (SELECT {GRP}, 2.0*(sum(rk) FILTER (own=1) - n1*(n1+1)/2.0)/(n1*n0)-1 AS {name} FROM (SELECT *, count(*) FILTER (own=1) OVER (PARTITION BY {GRP}) AS n1, count(*) FILTER (own=0) OVER (PARTITION BY {GRP}) AS n0, avg(rn) OVER (PARTITION BY {GRP}, v) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY {GRP} ORDER BY v) AS rn FROM (
+  SELECT {GRP}, 1 AS own, round({case},9) AS v FROM s UNION ALL SELECT {GRP}, 0, round({null},9) FROM s) WHERE v IS NOT NULL)) GROUP BY {GRP}, n1, n0)"""
+
+
+CTRL_SQL = STAT_ALL_SQL + f""", {CANON_SQL}, mid AS (SELECT entity_id, cell_type, sample<=2 AS whole, avg(row) AS y, avg(col) AS x FROM foot GROUP BY ALL),
+ dsc AS (SELECT entity_id, other <> cell_type AS dis FROM (SELECT a.entity_id, a.cell_type, b.cell_type AS other FROM mid a JOIN mid b ON b.whole AND b.entity_id<>a.entity_id QUALIFY row_number() OVER (PARTITION BY a.entity_id ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.entity_id)=1)),
+ vw AS (SELECT *, 'all_pixels' AS view, pos AS v FROM stats UNION ALL SELECT *, 'spillover_free', pos_far FROM stats),
+ cr0 AS (SELECT entity_id, s.cell_type, entity_class, view, any_value(c.code) AS code, {pick('ANR')} AS P, {pick('FO')} AS C FROM vw s JOIN canon c ON c.cell_type=s.cell_type GROUP BY 1,2,3,4),
+ cr AS (SELECT *, {summed('P', 3)} AS tot, {known('P')} AS k, {summed('C', 2)} AS ctot, {known('C')} AS ck FROM cr0 WHERE {known('P')}>=2),
+ lv0 AS (SELECT *, cell_type AS level FROM cr UNION ALL SELECT *, 'ALL' FROM cr), lv AS (SELECT *, 'all' AS subset FROM lv0 UNION ALL SELECT lv0.*, 'discordant_neighbour' FROM lv0 JOIN dsc USING (entity_id) WHERE dis),
+ s AS MATERIALIZED (SELECT *, {at('code')} AS d, {at('(code+1)%3')} AS sw, {at(other("'-1'"))} AS nu, {blank("'control'")} AS ct, {blank("'control null'")} AS cn FROM lv QUALIFY count(*) OVER (PARTITION BY {GRP}) >= 30),
+ o AS (SELECT {GRP}, count(*) AS n, avg(d) AS md, avg(CASE WHEN d>0 THEN 1.0 WHEN d IS NOT NULL THEN 0 END) AS fp, quantile_cont(d,0.5) AS med, quantile_cont(sw,0.5) AS msw, quantile_cont(ct,0.5) AS mct, avg(CASE WHEN ct>0 THEN 1.0 WHEN ct IS NOT NULL THEN 0 END) AS fct FROM s GROUP BY ALL),
+ x AS (SELECT {GRP}, draw, {at(other('draw'))} AS v FROM s CROSS JOIN (SELECT CAST(range AS INT) AS draw FROM range(12))), dm AS (SELECT {GRP}, draw, quantile_cont(v,0.5) AS m FROM x GROUP BY ALL),
+ nl AS (SELECT {GRP}, quantile_cont(m,0.5) AS nm, stddev_samp(m) AS nsd, (count(*) FILTER (m>=med)+1)/13.0 AS p FROM dm JOIN o USING ({GRP}) GROUP BY ALL),
+ ix AS (SELECT {GRP}, d AS v, row_number() OVER (PARTITION BY {GRP} ORDER BY {hx("'3'", 'entity_id')}, entity_id)-1 AS i, count(*) OVER (PARTITION BY {GRP}) AS n FROM s WHERE d IS NOT NULL),
+ ps AS MATERIALIZED (SELECT {GRP}, rep, {hint("'3'", 'rep', 'view', 'entity_class', 'subset', 'level', 'i')} % n AS i FROM ix CROSS JOIN (SELECT CAST(range AS INT) AS rep FROM range(10))),
+ bm AS (SELECT {GRP}, rep, quantile_cont(v,0.5) AS m FROM ps JOIN ix USING ({GRP}, i) GROUP BY ALL), ci AS (SELECT {GRP}, quantile_cont(m,0.025) AS lo, quantile_cont(m,0.975) AS hi FROM bm GROUP BY ALL),
+ {effect_sql('cd', 'd', 'nu')}, {effect_sql('cds', 'sw', 'nu')}, {effect_sql('cdc', 'ct', 'cn')},
+ bh AS (SELECT {GRP}, p, min(adj) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING) AS q FROM (SELECT {GRP}, CAST(p AS DOUBLE) AS p, CAST(p AS DOUBLE)*count(*) OVER ()/count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS adj FROM nl))"""
+
+
+@query("identity_controls", f"""WITH {CTRL_SQL} SELECT {GRP}, n, round(md,6) AS mean_delta, round(fp,6) AS frac_positive_delta, round(med,6) AS median_delta, round(msw,6) AS median_delta_swapped_map, round(nm,6) AS null_median, round(nsd,6) AS null_sd, round(p,6) AS p_perm, round(cd,6) AS cliffs_delta_vs_null, round((med-nm)/greatest(nsd,1e-12),4) AS z_vs_null,
+ round(lo,6) AS ci_lo, round(hi,6) AS ci_hi, round(mct,6) AS median_delta_control, round(fct,6) AS frac_positive_control, round(cds,6) AS cliffs_swapped_map, round(cdc,6) AS cliffs_control, round(least(q,1.0),6) AS q_bh
+ FROM o JOIN nl USING ({GRP}) JOIN bh USING ({GRP}) LEFT JOIN ci USING ({GRP}) LEFT JOIN cd USING ({GRP}) LEFT JOIN cds USING ({GRP}) LEFT JOIN cdc USING ({GRP})""".replace("round(p,6) AS p_perm", "round(bh.p,6) AS p_perm"), ("foot", "dist", "pxa"))
+def _(spark, sf):
+    d = durable(dist(spark, sf))
+    px = durable(V.pixels(spark, sf).unionByName(V.blank_pixels(spark, sf)))
+    foot = durable(classed(spark, sf))
+    s = X.channel_stats(foot, px, durable(X.calibrate_threshold(px, d.where("dist > 3"))), d, keep=["cell_type", "entity_class"])
+    mid = foot.groupBy("entity_id", "cell_type", "entity_class").agg(F.avg("row").alias("y"), F.avg("col").alias("x"))
+    near = Z.discordant(mid, F.col("entity_class") == "cell")
+    rows = Z.control_rows(s, CANON, ["F", "O"], {"all_pixels": "pos", "spillover_free": "pos_far"}, keep="entity_class").join(near.select("entity_id", "discordant"), "entity_id", "left")
+    lv = rows.withColumn("level", F.explode(F.array("cell_type", F.lit("ALL"))))
+    lv = lv.withColumn("subset", F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("discordant"), "discordant_neighbour")))))
+    t = Z.identity_controls(lv, 3, 2, 12, 10, 3, ["view", "entity_class", "subset", "level"])
+    return r(r(t, 6, *[c for c in t.columns if c not in ("view", "entity_class", "subset", "level", "n", "z_vs_null")]), 4, "z_vs_null")
+
+
 # --- windows -----------------------------------------------------------------------------------------
 
 W, STRIDE = 12, 4

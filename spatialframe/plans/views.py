@@ -124,6 +124,20 @@ SELECT l_returnflag marker, CAST(p_size AS INT) AS row, CAST(l_quantity AS INT)
 FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY 1,2,3)"""
 
 
+def blank_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two channels on the same grid that stand in for autofluorescence: they carry no marker of a type."""
+    return (table(spark, sf_dir, "lineitem")
+            .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+            .groupBy(F.col("l_linestatus").alias("marker"), F.col("p_size").cast("int").alias("row"), F.col("l_quantity").cast("int").alias("col"))
+            .agg(F.expr("cast(sum(cast(round(l_discount * 100) as int)) * 10 div count(1) as int)").alias("value")))
+
+
+BLANK_SQL = """pxa AS (
+SELECT * FROM px UNION ALL SELECT l_linestatus, CAST(p_size AS INT), CAST(l_quantity AS INT),
+  CAST(sum(CAST(round(l_discount * 100) AS INT)) * 10 // count(*) AS INT)
+FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY 1,2,3)"""
+
+
 def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Molecules projected to the 50 x 50 grid, one row per distinct entity pixel."""
     m = molecules(spark, sf_dir)
@@ -156,7 +170,7 @@ SELECT g.row, g.col, sqrt(min((g.row-m.row)*(g.row-m.row)+(g.col-m.col)*(g.col-m
 FROM (SELECT DISTINCT row, col FROM px) g CROSS JOIN mask m GROUP BY 1,2)"""
 
 VIEW_SQL = {"ent": [ENT_SQL], "mol": [MOL_SQL], "calls": [CALLS_SQL], "px": [PX_SQL],
-            "foot": [MOL_SQL, FOOT_SQL], "mask": [PX_SQL, MASK_SQL], "dist": [PX_SQL, MASK_SQL, DIST_SQL]}
+            "foot": [MOL_SQL, FOOT_SQL], "mask": [PX_SQL, MASK_SQL], "dist": [PX_SQL, MASK_SQL, DIST_SQL], "pxa": [PX_SQL, BLANK_SQL]}
 
 
 def with_views(body: str, *views: str) -> str:
