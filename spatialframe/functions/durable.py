@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +30,41 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Paths made inside the innermost ``temporary_tables`` block; None outside of any.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def fresh_path(spark: SparkSession, head: str) -> str:
+    """A new path in the shared folder. Inside ``temporary_tables`` it's deleted with the block."""
+    path = f"{shared_dir(spark)}/{head}-{uuid.uuid4().hex}"
+    if _made.get() is not None:
+        _made.get().append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Delete the intermediate tables of all operators called inside when the block ends, also when it fails. Results that read them must
+    be written or collected inside the block; blocks may be nested. Outside of a block tables stay in the checkpoint folder."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        made = _made.get()
+        _made.reset(token)
+        for path in made:
+            delete(spark, path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back. Unlike a checkpointed RDD the table has known sizes, so
     small intermediate results are joined by broadcast."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -42,7 +75,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.root = fresh_path(spark, "scratch")
         self.paths: dict[str, str] = {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -55,8 +88,7 @@ class Scratch:
     def drop(self, *names: str) -> None:
         for name in names:
             if name in self.paths:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                delete(self.spark, self.paths.pop(name))
 
     def close(self, *keep: str) -> None:
         """Delete all tables but those that the result still reads."""

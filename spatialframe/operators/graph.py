@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import as_list, n_rows
-from ..functions.durable import durable
+from ..functions.durable import Scratch, durable
 from .spatial import self_pairs, weighted_sites
 from .windows import top_n_per_group
 
@@ -16,12 +16,13 @@ def connected_components(edges: DataFrame, nodes: DataFrame, by=(), node: str =
 
     Alternating large-star and small-star steps: each links a node's neighbours to the smallest one. Minima are
     plain aggregates joined back, so no neighbour list is ever gathered. Every round is written to the shared
-    folder; the loop ends when every linked node points at one node that itself has no link.
+    folder and the table of the round before deleted; the loop ends when every linked node points at one node that itself has no link.
     """
     by = as_list(by)
     e = (edges.where(F.col(src) != F.col(dst))
          .select(*by, F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
-    e = durable(e)
+    tables = Scratch(edges.sparkSession)
+    e = tables.keep(e, "edges")
 
     def stars_only(d) -> bool:
         ends = (d.select(*by, F.col("u").alias("w"), F.lit(1).alias("out"), F.lit(0).alias("into"))
@@ -41,7 +42,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame, by=(), node: str =
         low2 = large.groupBy(*by, "u").agg(F.min("v").alias("m"))
         small = (large.join(low2, [*by, "u"]).where("v <> m").select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low2.select(*by, "u", F.col("m").alias("v"))).distinct())
-        e = durable(small)
+        e = tables.keep(small, "edges")
         settled = stars_only(e)
     return (nodes.select(*by, node).join(e.select(*by, F.col("u").alias(node), F.col("v").alias("component")), [*by, node], "left")
             .withColumn("component", F.coalesce("component", node)))

@@ -6,8 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..functions.durable import durable
+from ..functions.durable import durable, fresh_path
 from ..operators import pixels as X, resample as Z
+from ..sources.sinks import write_table_bucketed
 from . import views as V
 from .queries_resample import hint, hx
 from .queries_summaries import r, settle
@@ -75,6 +76,20 @@ def _(spark, sf):
     return X.pixel_join(V.footprints(spark, sf).select("entity_id", "row", "col"), V.pixels(spark, sf))
 
 
+def bucketed(spark, df, head, buckets=8):
+    """The frame as a stored table, bucketed by pixel."""
+    path = fresh_path(spark, head)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    write_table_bucketed(df, name, buckets, "row", "col", path=path)
+    return spark.table(name)
+
+
+@query("pixel_join_bucketed", "SELECT entity_id, row, col, marker, value FROM foot JOIN px USING (row, col)", ("foot", "px"))
+def _(spark, sf):
+    foot = bucketed(spark, V.footprints(spark, sf).select("entity_id", "row", "col"), "foot")
+    return X.pixel_join(foot, bucketed(spark, V.pixels(spark, sf), "px")).select("entity_id", "row", "col", "marker", "value")
+
+
 @query("calibrate_threshold", f"WITH {THR_SQL} SELECT marker, pedestal, round(q95,6) AS q95, round(q99,6) AS q99, round(q999,6) AS q999, round(thr,6) AS thr, round(CAST(background_pos AS DOUBLE),6) AS background_pos, n_background FROM thr", "dist")
 def _(spark, sf):
     return r(calibrated(spark, sf)[1], 6, "q95", "q99", "q999", "thr", "background_pos")

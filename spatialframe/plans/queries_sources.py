@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..functions.durable import shared_dir
+from ..functions.durable import fresh_path
 from ..sources import sinks, text
 from ..streaming import incremental as J
 from . import views as V
@@ -15,7 +13,7 @@ from .registry import query
 
 
 def scratch(spark) -> str:
-    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    return fresh_path(spark, "files")
 
 
 @query("read_table_text", "SELECT p_partkey, p_name, p_size, p_retailprice FROM part")

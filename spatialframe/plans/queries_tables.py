@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import hash_hex, stars
-from ..functions.durable import shared_dir
+from ..functions.durable import fresh_path
 from ..operators import entities as E, windows as G
-from ..sources import tables as A
+from ..sources import sinks, tables as A
 from . import views as V
 from .registry import query
 
@@ -22,7 +20,7 @@ def _(spark, sf):
 
 @query("scan_arm", "SELECT 'post_all' AS arm, * FROM ent UNION ALL SELECT 'post_whole', * FROM ent WHERE etype = 'cell'", "ent")
 def _(spark, sf):
-    e, root = V.entities(spark, sf), f"{shared_dir(spark)}/arms-{uuid.uuid4().hex}"
+    e, root = V.entities(spark, sf), fresh_path(spark, "arms")
     for arm in ("post_whole", "post_partial"):
         A.arm_of(e, arm).write.parquet(f"{root}/all_{arm}_spatial.parquet")
     return G.union_arms(*[A.scan_arm(spark, root, a) for a in ("post_all", "post_whole")])
@@ -63,6 +61,13 @@ def _(spark, sf):
     return A.scan_pixels(V.pixels(spark, sf), "A", rows=(10, 30))
 
 
+@query("scan_pixel_store", "SELECT marker, row, col, value FROM px WHERE marker IN ('A') AND row >= 10 AND row < 30 AND col >= 5 AND col < 45", "px")
+def _(spark, sf):
+    path = fresh_path(spark, "pixels")
+    sinks.write_pixel_store(V.pixels(spark, sf), path, 8)
+    return A.scan_pixel_store(spark, path, "A", rows=(10, 30), cols=(5, 45), height=8).select("marker", "row", "col", "value")
+
+
 @query("enrich_missing", """
 SELECT e.entity_id, e.lig, coalesce(c."Brand#1", 0) AS "Brand#1", coalesce(c."Brand#2", 0) AS "Brand#2"
 FROM ent e LEFT JOIN (SELECT entity_id, CAST(sum(CASE WHEN feature='Brand#1' THEN 1 END) AS BIGINT) AS "Brand#1",

@@ -101,6 +101,21 @@ def with_row_band(df: DataFrame, height: int = 256) -> DataFrame:
     return df.withColumn("row_band", F.floor(F.col("row") / height).cast("int"))
 
 
+def band_column(height: int) -> str:
+    return f"band_{height}"
+
+
+def scan_pixel_store(spark: SparkSession, path: str, marker, rows=None, cols=None, height: int = 256, schema: str = "marker string, row int, col int, value int") -> DataFrame:
+    """``scan_pixels`` over a table of ``sinks.write_pixel_store``: only the folders of the wanted markers and row bands are read, and
+    inside them row groups are skipped by the statistics of ``row`` and ``col``."""
+    if band_column(height) not in spark.read.parquet(path).columns:
+        raise ValueError(f"{path} has no bands of {height} rows")
+    px, band = spark.read.schema(f"{schema}, {band_column(height)} int").parquet(path), F.col(band_column(height))
+    if rows is not None:
+        px = px.where((band >= rows[0] // height) & (band <= (rows[1] - 1) // height))
+    return scan_pixels(px, marker, rows, cols).drop(band_column(height))
+
+
 def enrich_missing(df: DataFrame, counts: DataFrame, features: list[str], key: str = "entity_id") -> DataFrame:
     """Add a count column per feature the table lacks; entities without molecules get 0. Safe to rerun."""
     todo = [f for f in features if f not in df.columns]
