@@ -5,9 +5,15 @@ Every draw is a hash rank or a hash index, so results do not depend on partition
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from ..functions import as_list, exact_percentiles, hash_hex, hash_int, hash_rank, n_rows, rarefied_detection
 from ..functions.durable import durable
@@ -102,13 +108,77 @@ def _members(ent: DataFrame, axis, by, id: str) -> DataFrame:
                                        F.when(lig, F.col(lg) > 0).otherwise(F.col(rg) > 0).alias("pos"))
 
 
+SITES_AT_ONCE = 1024  # rows whose bitmaps are unpacked together
+SUMS_AT_ONCE = 512  # sums of one group and radius a task holds before it emits them
+
+
+def _draw_bits(look: DataFrame, by: list[str], n: int) -> DataFrame:
+    """(group, id, plane, l, r): bit ``draw`` of ``l`` is binary digit ``plane`` of how many left members the draw picked at the site."""
+    names = [*by, "id"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SITES_AT_ONCE):
+                b = whole.slice(at, SITES_AT_ONCE)
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b["picks"]).to_numpy(zero_copy_only=False))
+                draw, *counts = (b["picks"].flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                for plane in range(int(max(c.max(initial=0) for c in counts)).bit_length()):
+                    sides = []
+                    for c in counts:
+                        flags = np.zeros((b.num_rows, n), np.uint8)
+                        flags[row, draw] = c >> plane & 1
+                        sides.append(np.packbits(flags, axis=1))
+                    some = np.flatnonzero(sides[0].any(1) | sides[1].any(1))
+                    part = b.take(pa.array(some))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part[c] for c in names), pa.array(np.full(len(some), plane, np.int32)), *(pa.array([x.tobytes() for x in s[some]], pa.binary()) for s in sides)],
+                        [*names, "plane", "l", "r"])
+
+    fields = [look.schema[c] for c in names] + [StructField("plane", IntegerType()), StructField("l", BinaryType()), StructField("r", BinaryType())]
+    return look.mapInArrow(pack, StructType(fields))
+
+
+def _count_draws(met: DataFrame, by: list[str], n: int) -> DataFrame:
+    """Add up mixed edges per draw inside each task: (group, _from, draw, _e). Only sums leave the task."""
+    names = [*by, "_from"]
+    kinds = [to_arrow_type(met.schema[c].dataType) for c in names]
+    wide = (n + 7) // 8
+
+    def emit(sums: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for key, t in sums.items():
+            draw = np.flatnonzero(t)
+            yield pa.RecordBatch.from_arrays([*(pa.array([v] * len(draw), k) for v, k in zip(key, kinds)), pa.array(draw.astype(np.int32)), pa.array(t[draw])],
+                                             [*names, "draw", "_e"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, SITES_AT_ONCE):
+                b = whole.slice(at, SITES_AT_ONCE)
+                la, ra, lb, rb = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(-1, wide) for c in ("_la", "_ra", "_lb", "_rb"))
+                mixed = np.stack([la & rb, ra & lb], axis=1)
+                rows: dict[tuple, list[int]] = {}
+                for i, key in enumerate(zip(*(b[c].to_pylist() for c in [*names, "_shift"]))):
+                    rows.setdefault(key, []).append(i)
+                for (*key, shift), where in rows.items():
+                    t = np.unpackbits(mixed[where].reshape(-1, wide), axis=1, count=n).sum(0, dtype=np.int64) << shift
+                    sums[tuple(key)] = sums.get(tuple(key), 0) + t
+            if len(sums) > SUMS_AT_ONCE:
+                yield from emit(sums)
+                sums = {}
+        yield from emit(sums)
+
+    fields = [met.schema[c] for c in names] + [StructField("draw", IntegerType()), StructField("_e", LongType())]
+    return met.mapInArrow(count, StructType(fields))
+
+
 def permutation_null(ent: DataFrame, axis, radii, n: int, seed, by, id: str = "entity_id", full: bool = False) -> DataFrame:
     """Mixed edges per group, radius and draw when marker status is permuted within each class.
 
-    Space is joined once, at the largest radius, over all members of both classes. Members at one place form one
-    site; a site keeps, per side, how many of it every draw picked (at most ``n`` entries). An edge then meets both
-    ends' picks, whatever the number of draws. With ``full`` the components of every draw are found too, all draws
-    in one run keyed by draw.
+    Space is joined once, at the largest radius, over all members of both classes. Members at one place form one site. A site keeps, per side,
+    one bitmap of draws for each binary digit of how many of it a draw picked; an edge meets the bitmaps of its ends by AND, and a task adds
+    them up per draw, so what is shuffled after the join grows with tasks x draws and not with edges x draws. With ``full`` the components of
+    every draw are found too, all draws in one run keyed by draw; there an edge becomes a row for each draw that both its ends share.
     """
     by = as_list(by)
     radii = sorted(float(r) for r in ([radii] if isinstance(radii, (int, float)) else radii))
@@ -120,18 +190,18 @@ def permutation_null(ent: DataFrame, axis, radii, n: int, seed, by, id: str = "e
     nodes = sites.join(per_site, [*by, "x", "y"])  # a site no draw ever picked cannot matter
     pairs = self_pairs(nodes.select(*by, "id", "x", "y"), radii[-1], by)
     look = nodes.select(*by, "id", "picks")
-    j = (pairs.select(*by, "a_id", "b_id", "dist2")
-         .join(look.withColumnsRenamed({"id": "a_id", "picks": "_pa"}), [*by, "a_id"])
-         .join(look.withColumnsRenamed({"id": "b_id", "picks": "_pb"}), [*by, "b_id"]))
-    draws = F.array_intersect(F.col("_pa.draw"), F.col("_pb.draw"))
-    of = lambda c: F.map_from_arrays(F.col(f"{c}.draw"), F.col(c))
-    both = (j.select(*by, "a_id", "b_id", "dist2", of("_pa").alias("_ma"), of("_pb").alias("_mb"), F.explode(draws).alias("draw"))
-            .select(*by, "a_id", "b_id", "dist2", "draw", F.element_at("_ma", F.col("draw")).alias("a"), F.element_at("_mb", F.col("draw")).alias("b"))
-            .withColumn("radius", F.explode(F.filter(F.array(*[F.lit(r) for r in radii]), lambda r: F.col("dist2") <= r * r))))
     keys = [*by, "radius", "draw"]
     grid = (mem.select(*by).distinct().withColumn("radius", F.explode(F.array(*[F.lit(r) for r in radii])))
             .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
     if full:
+        j = (pairs.select(*by, "a_id", "b_id", "dist2")
+             .join(look.withColumnsRenamed({"id": "a_id", "picks": "_pa"}), [*by, "a_id"])
+             .join(look.withColumnsRenamed({"id": "b_id", "picks": "_pb"}), [*by, "b_id"]))
+        draws = F.array_intersect(F.col("_pa.draw"), F.col("_pb.draw"))
+        of = lambda c: F.map_from_arrays(F.col(f"{c}.draw"), F.col(c))
+        both = (j.select(*by, "a_id", "b_id", "dist2", of("_pa").alias("_ma"), of("_pb").alias("_mb"), F.explode(draws).alias("draw"))
+                .select(*by, "a_id", "b_id", "dist2", "draw", F.element_at("_ma", F.col("draw")).alias("a"), F.element_at("_mb", F.col("draw")).alias("b"))
+                .withColumn("radius", F.explode(F.filter(F.array(*[F.lit(r) for r in radii]), lambda r: F.col("dist2") <= r * r))))
         drawn = (nodes.select(*by, "id", "x", "y", F.inline("picks"))
                  .withColumn("radius", F.explode(F.array(*[F.lit(r) for r in radii])))
                  .select(*keys, "id", F.col("l").alias("n_lig"), F.col("r").alias("n_rec"), clump_of(radii[0]).alias("clump")))
@@ -143,8 +213,14 @@ def permutation_null(ent: DataFrame, axis, radii, n: int, seed, by, id: str = "e
         t = topology(drawn, e, keys)
         return grid.join(t, keys, "left").select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_mixed_edges", "largest_mixed")],
                                                  F.coalesce("frac_in_mixed", F.lit(0.0)).alias("frac_in_mixed"))
-    m = both.groupBy(*keys).agg(F.sum(F.col("a.l") * F.col("b.r") + F.col("a.r") * F.col("b.l")).alias("_e"))
-    own = (picks.where("l > 0 and r > 0").groupBy(*by, "draw").agg(F.sum(F.col("l") * F.col("r")).alias("_o")))
+    bits = durable(_draw_bits(look, by, n))
+    end = lambda e: bits.withColumnsRenamed({"id": f"{e}_id", "plane": f"_p{e}", "l": f"_l{e}", "r": f"_r{e}"})
+    first = F.array_min(F.filter(F.array(*[F.lit(r) for r in radii]), lambda r: F.col("dist2") <= r * r))
+    met = (pairs.select(*by, "a_id", "b_id", first.alias("_from")).join(end("a"), [*by, "a_id"]).join(end("b"), [*by, "b_id"])
+           .select(*by, "_from", (F.col("_pa") + F.col("_pb")).alias("_shift"), "_la", "_ra", "_lb", "_rb"))
+    m = (_count_draws(met, by, n).withColumn("radius", F.explode(F.filter(F.array(*[F.lit(r) for r in radii]), lambda r: r >= F.col("_from"))))
+         .groupBy(*keys).agg(F.sum("_e").alias("_e")))
+    own = (per_site.select(*by, F.inline("picks")).where("l > 0 and r > 0").groupBy(*by, "draw").agg(F.sum(F.col("l") * F.col("r")).alias("_o")))
     return (grid.join(m, keys, "left").join(own, [*by, "draw"], "left")
             .select(*keys, (F.coalesce("_e", F.lit(0)) + F.coalesce("_o", F.lit(0))).alias("n_mixed_edges")))
 

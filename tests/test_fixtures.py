@@ -276,6 +276,28 @@ def test_full_null_agrees_with_the_plain_one(spark):
     assert a == b and sum(a.values()) > 0
 
 
+def test_permutation_null_with_many_members_at_one_place(spark):
+    """Sites of several members need more than one binary digit; two radii and two grouping columns, one of them text."""
+    r = random.Random(12)
+    rows = [(i, "s'1" if i % 5 else "s 2", i % 2, float(r.randrange(4)) * 3, float(r.randrange(3)) * 3, "TAM" if r.random() < .5 else "T", int(r.random() < .6), int(r.random() < .7))
+            for i in range(400)]
+    d = spark.createDataFrame(rows, "entity_id int, sample string, part int, x double, y double, cell_type string, lig int, rec int")
+    ax, by, radii = ("lig", "TAM", "rec", "T"), ["sample", "part"], [3.0, 6.5]
+    plain = {(x.sample, x.part, x.radius, x.draw): x.n_mixed_edges for x in resample.permutation_null(d, ax, radii, 11, 3, by).collect()}
+    full = {(x.sample, x.part, x.radius, x.draw): x.n_mixed_edges for x in resample.permutation_null(d, ax, radii, 11, 3, by, full=True).collect()}
+    assert plain == full and len(plain) == 2 * 2 * 2 * 11 and min(plain.values()) > 0
+    # all members carry their marker: every draw is the observed count
+    e = d.withColumns({"lig": F.lit(1), "rec": F.lit(1)})
+    for q in radii:
+        want = {}
+        for a in rows:
+            for b in rows:
+                if a[1:3] == b[1:3] and a[5] == "TAM" and b[5] == "T" and (a[3] - b[3]) ** 2 + (a[4] - b[4]) ** 2 <= q * q:
+                    want[a[1:3]] = want.get(a[1:3], 0) + 1
+        got = {(x.sample, x.part, x.draw): x.n_mixed_edges for x in resample.permutation_null(e, ax, q, 3, 5, by).collect()}
+        assert got == {(*k, t): v for k, v in want.items() for t in range(3)}
+
+
 def test_matching_is_without_replacement_and_close(spark):
     r = random.Random(7)
     case = spark.createDataFrame([("s", i, r.randint(5, 400)) for i in range(30)], "sample string, entity_id long, n_tx int")
