@@ -151,3 +151,98 @@ def shared_embedding(prof: DataFrame, k: int = 30, id: str = "id", vec: str = "v
             pcs = pa.array([next(scores) if y else None for y in known], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b["id"], b["arm"], pcs], ["id", "arm", "pcs"])
     return base.mapInArrow(project, StructType([base.schema["id"], base.schema["arm"], StructField("pcs", ArrayType(DoubleType()))]))
+
+
+WIDE_BLOCK = 1 << 21  # numbers of one slice of rows
+
+
+def _new_directions(y: np.ndarray, basis: np.ndarray, floor: float) -> np.ndarray:
+    """Orthonormal columns spanning ``y`` outside of ``basis``; directions shorter than ``floor`` are left out."""
+    for _ in range(2):
+        y = y - basis @ (basis.T @ y)
+    u, size, _ = np.linalg.svd(y, full_matrices=False)
+    u = u[:, size > floor]
+    return np.linalg.qr(u - basis @ (basis.T @ u))[0]
+
+
+def wide_embedding(prof: DataFrame, k: int = 30, id: str = "id", vec: str = "vector", arm: str = "arm", lognorm: bool = True,
+                   extra: int = 10, tol: float = 1e-8, max_blocks: int = 6, seed: int = 0) -> DataFrame:
+    """``shared_embedding`` for profiles of thousands of dimensions: (id, arm, pcs), the same scores, without a matrix of dimensions x dimensions.
+
+    A random basis of ``k + extra`` columns is multiplied by the covariance in one pass over the rows per round: a row y adds w y (y' X), with w
+    giving each arm the same weight. The driver holds at most ``max_blocks`` such bases of d rows, takes the best vectors of all products so far
+    and asks for the next product along their residuals, until the largest residual of the first ``k`` is below ``tol`` times the largest
+    eigenvalue. A basis that is full is cut back to its best ``2 (k + extra)`` vectors, whose products are known. Each task emits one row per
+    dimension. Scaling, clipping and signs are those of ``shared_embedding``; vectors of equal eigenvalue are any basis of their space.
+
+    A vector that is NULL or holds a NULL or a NaN stays out of the fit and has NULL scores; a NULL arm is an arm. With fewer than ``k`` dimensions
+    there is one score per dimension. Vectors of different lengths stop the job.
+    """
+    v = F.transform(vec, lambda x: x.cast("double"))
+    v = F.when(~F.exists(v, lambda x: x.isNull() | F.isnan(x)), v)
+    if lognorm:
+        tot = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+        v = F.transform(v, lambda x: F.log1p(x / F.when(tot == 0, 1.0).otherwise(tot) * 1e4))
+    base = durable(prof.select(F.col(id).alias("id"), F.col(arm).alias("arm"), v.alias("v")))
+    known = base.where("v is not null")
+    per_arm = known.select("arm", F.posexplode("v").alias("i", "x")).groupBy("arm", "i").agg(
+        F.avg("x").alias("m"), F.var_pop("x").alias("s2"), n_rows().alias("n"))
+    st = per_arm.groupBy("i").agg(F.avg("m").alias("m"), F.sqrt(F.avg("s2") + F.var_pop("m")).alias("s"), n_rows().alias("arms"), F.sum("n").alias("n")).orderBy("i").collect()
+    if not st:
+        return base.select("id", "arm", F.lit(None).cast("array<double>").alias("pcs"))
+    if len({(r["arms"], r["n"]) for r in st}) > 1:
+        raise ValueError("vectors of different lengths")
+    mean = np.array([r["m"] for r in st])
+    sd = np.array([r["s"] if r["s"] >= 1e-6 else 1.0 for r in st])
+    d, arms = len(st), st[0]["arms"]
+    weight = known.groupBy("arm").agg((1.0 / (n_rows() * arms)).alias("w"))
+    fit = known.join(weight, known["arm"].eqNullSafe(weight["arm"])).select("v", "w")
+
+    def slices(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        step = max(1, WIDE_BLOCK // d)
+        for at in range(0, b.num_rows, step):
+            part = b.slice(at, step)
+            flat = part["v"].drop_null().flatten().to_numpy()
+            yield part, np.clip((flat.reshape(-1, d) - mean) / sd, -10.0, 10.0)
+
+    def times_covariance(x: np.ndarray) -> np.ndarray:
+        width = x.shape[1]
+        names = [f"c{j}" for j in range(width + 1)]
+
+        def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((d, width + 1))
+            for b in batches:
+                for part, y in slices(b):
+                    w = part["w"].to_numpy()[:, None]
+                    total += y.T @ np.hstack([w * (y @ x), w])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), *(pa.array(c) for c in total.T)], ["i", *names])
+
+        sums = (fit.mapInArrow(products, "i int, " + ", ".join(f"{c} double" for c in names)).groupBy("i").agg(*[F.sum(c).alias(c) for c in names]).orderBy("i"))
+        t = np.array([list(r)[1:] for r in sums.collect()])
+        return t[:, :width] - np.outer(t[:, width], t[:, width] @ x)
+
+    width = min(d, k + extra)
+    x = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, width)))[0]
+    basis, image = np.zeros((d, 0)), np.zeros((d, 0))
+    while True:
+        basis, image = np.hstack([basis, x]), np.hstack([image, times_covariance(x)])
+        small = basis.T @ image
+        value, turn = np.linalg.eigh((small + small.T) / 2)
+        value, turn = value[::-1], turn[:, ::-1]
+        left = image @ turn[:, :width] - basis @ turn[:, :width] * value[:width]
+        top = max(value[0], np.finfo(float).tiny)
+        if basis.shape[1] == d or np.linalg.norm(left[:, :k], axis=0).max() <= tol * top:
+            break
+        if basis.shape[1] + width > max_blocks * width:
+            basis, image = basis @ turn[:, :2 * width], image @ turn[:, :2 * width]
+        x = _new_directions(left, basis, 1e-14 * top)[:, :d - basis.shape[1]]
+    load = basis @ turn[:, :k]
+    load = load * np.sign(load[np.abs(load).argmax(0), np.arange(load.shape[1])])
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, y in slices(b):
+                scores = iter((y @ load).tolist())
+                pcs = pa.array([next(scores) if z else None for z in part["v"].is_valid().to_pylist()], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part["id"], part["arm"], pcs], ["id", "arm", "pcs"])
+    return base.mapInArrow(project, StructType([base.schema["id"], base.schema["arm"], StructField("pcs", ArrayType(DoubleType()))]))

@@ -283,3 +283,10 @@ def _(spark, sf):
     p = V.profiles(spark, sf).select(F.col("vec_id").alias("id"), F.when(F.col("label") < 5, "a").otherwise("b").alias("arm"), F.col("embedding").alias("vector"))
     e = K.shared_embedding(p, k=10, lognorm=False)
     return e.select("id", "arm", F.round(F.col("pcs")[0], 4).alias("pc1"), F.round(F.col("pcs")[1], 4).alias("pc2"), F.size("pcs").alias("n_pc"))
+
+
+@query("wide_embedding")
+def _(spark, sf):
+    p = V.profiles(spark, sf).select(F.col("vec_id").alias("id"), F.when(F.col("label") < 5, "a").otherwise("b").alias("arm"), F.col("embedding").alias("vector"))
+    e = K.wide_embedding(p, k=10, lognorm=False)
+    return e.select("id", "arm", F.round(F.col("pcs")[0], 4).alias("pc1"), F.round(F.col("pcs")[1], 4).alias("pc2"), F.size("pcs").alias("n_pc"))

@@ -407,6 +407,33 @@ def test_shared_embedding_fits_all_rows_with_equal_arms(spark):
         assert np.allclose([got[f"{a}{i}"] for i in range(len(u))], u @ load, atol=1e-6)
 
 
+def test_wide_embedding_agrees_with_the_exact_fit(spark):
+    import numpy as np
+    g = np.random.default_rng(8)
+    mix = g.normal(size=(64, 64)) * np.linspace(3, .2, 64)[:, None]
+    rows = [(f"{a}{i}", a, g.poisson(np.exp(np.clip(z @ mix / 12, -4, 4))).astype(float).tolist()) for a, n in (("a", 120), (None, 500), ("c", 90)) for i, z in enumerate(g.normal(size=(n, 64)))]
+    rows += [("none", "a", None)]
+    d = spark.createDataFrame(rows, "id string, arm string, vector array<double>").repartition(4)
+    exact = {x.id: x.pcs for x in vectors.shared_embedding(d, 6).collect()}
+    wide = {x.id: x.pcs for x in vectors.wide_embedding(d, 6, extra=4, max_blocks=3).collect()}  # the basis is cut back on the way
+    assert exact.keys() == wide.keys() and wide["none"] is None
+    assert np.allclose([exact[i] for i in exact if i != "none"], [wide[i] for i in exact if i != "none"], atol=1e-6)
+
+
+def test_wide_embedding_border_cases(spark):
+    import numpy as np
+    kind = "id int, arm string, vector array<double>, extra string"
+    odd = spark.createDataFrame([(1, "a", [1.0, 2.0], "x"), (2, "a", [2.0, 1.0], "x"), (3, "b", [0.0, 5.0], "x"), (3, "b", [0.0, 5.0], "x"), (4, None, [1.0, None], "x"),
+                                 (5, "b", [float("nan"), 1.0], "x"), (6, "a", None, "x")], kind)
+    got = sorted((x.id, x.arm, x.pcs is None, len(x.pcs or [])) for x in vectors.wide_embedding(odd, 5, lognorm=False).collect() if x.arm)
+    assert got == [(1, "a", False, 2), (2, "a", False, 2), (3, "b", False, 2), (3, "b", False, 2), (5, "b", True, 0), (6, "a", True, 0)]
+    assert vectors.wide_embedding(odd.where("id = 4"), 2).first().pcs is None
+    assert vectors.wide_embedding(odd.where("false"), 2).count() == 0
+    assert vectors.wide_embedding(odd.where("id = 3"), 1, lognorm=False).first().pcs == [0.0]  # no variance at all
+    with pytest.raises(ValueError):
+        vectors.wide_embedding(spark.createDataFrame([(1, "a", [1.0, 2.0], ""), (2, "a", [1.0], "")], kind), 1)
+
+
 def test_mask_distance_is_exact(spark):
     r = random.Random(3)
     grid = spark.range(31 * 61).select((F.col("id") / 61).cast("int").alias("row"), (F.col("id") % 61).cast("int").alias("col"), F.lit("x").alias("tag"))
