@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -16,20 +16,46 @@ from ..functions.durable import durable
 from .windows import rank_within, top_n_per_group
 
 MAX_PIVOTS = 1024
-BLOCK = 2048  # rows per side of one distance block
+SHELF = 1 << 21  # numbers of the vectors on one shelf: one side of a distance block
+SHELF_ROWS = 32_768
+AT_ONCE = 1 << 22  # distances a task holds at once
+EXACT_AT_ONCE = 1 << 22  # numbers of the differences a task holds at once
 
 
 def _sq_dist(q: np.ndarray, s: np.ndarray) -> np.ndarray:
     return np.maximum((q * q).sum(1)[:, None] + (s * s).sum(1)[None, :] - 2.0 * q @ s.T, 0.0)
 
 
+def _rows(vectors: pa.ListArray | pa.ChunkedArray, dim: int) -> np.ndarray:
+    return np.asarray(pc.list_flatten(vectors), np.float64).reshape(-1, dim)
+
+
+def _shelves(size: np.ndarray, pivots: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells dealt to shelves of about ``rows`` points, near cells together: the first shelf of each cell and how many it takes.
+    A cell of more points has shelves of its own."""
+    first, parts = np.zeros(len(size), np.int64), np.maximum(1, -(-size // rows))
+    todo = np.flatnonzero(size > 0).tolist()
+    at, shelf, held = todo[0], 0, 0
+    while todo:
+        todo.remove(at)
+        if held and (parts[at] > 1 or held + size[at] > rows):
+            shelf, held = shelf + 1, 0
+        first[at], held = shelf, held + size[at]
+        if parts[at] > 1:
+            shelf, held = shelf + int(parts[at]), 0
+        if todo:
+            at = todo[int(((pivots[todo] - pivots[at]) ** 2).sum(1).argmin())]
+    return first, parts
+
+
 def feature_knn(prof: DataFrame, k: int, id: str = "id", vec: str = "vector", seed=0) -> DataFrame:
     """The k nearest other points of every point (Euclidean), exact: (id, neighbor_id, dist, rank).
 
     Points are assigned to pivots. From each pivot's distance range and its k + 1 closest members every point gets
-    an upper bound on its k-th distance, and visits only the cells the triangle inequality cannot rule out. Both
-    sides of a visited cell are cut into blocks of bounded size; a block keeps k rows per query point. Equal
-    distances are ordered by id.
+    an upper bound on its k-th distance, and needs only the cells the triangle inequality cannot rule out. Near cells share
+    a shelf of bounded size, a larger cell takes several. A point travels once to each shelf that holds a cell it needs, not
+    once to each cell; a pair of shelves is one task, which keeps k rows per point and a bounded number of distances at
+    a time. Where nothing can be ruled out, all pairs are met. Equal distances are ordered by id.
     """
     kind = dict(prof.dtypes)[id]
     pts = prof.select(F.col(id).alias("id"), F.transform(vec, lambda v: v.cast("double")).alias("v"))
@@ -40,16 +66,22 @@ def feature_knn(prof: DataFrame, k: int, id: str = "id", vec: str = "vector", se
     pivots = np.array([r["v"] for r in picked], dtype=np.float64).reshape(len(picked), -1)
     if n == 0:
         return prof.sparkSession.createDataFrame([], f"id {kind}, neighbor_id {kind}, dist double, rank int")
+    dim = pivots.shape[1]
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def slices(b: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        step = max(1, AT_ONCE // max(width, dim))
+        for at in range(0, b.num_rows, step):
+            part = b.slice(at, step)
+            yield part, _rows(part["v"], dim)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                d = np.sqrt(_sq_dist(np.stack(b["v"].to_numpy()), pivots))
-                b["cell"] = d.argmin(1).astype(np.int32)
-                b["dp"] = d[np.arange(len(b)), b["cell"]]
-                yield b
+            for part, v in slices(b, n_piv):
+                d = np.sqrt(_sq_dist(v, pivots))
+                cell = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([part["id"], part["v"], pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(v)), cell])], ["id", "v", "cell", "dp"])
 
-    placed = durable(pts.mapInPandas(assign, f"id {kind}, v array<double>, cell int, dp double"))
+    placed = durable(pts.mapInArrow(assign, f"id {kind}, v array<double>, cell int, dp double"))
     # per cell: size, largest radius and the k + 1 smallest radii - at most MAX_PIVOTS small rows
     stats = placed.groupBy("cell").agg(n_rows().alias("n"), F.max("dp").alias("far")).collect()
     close = (top_n_per_group(placed.select("cell", "dp", "id"), "cell", ["dp", "id"], k + 1)
@@ -59,44 +91,75 @@ def feature_knn(prof: DataFrame, k: int, id: str = "id", vec: str = "vector", se
         size[r["cell"]], far[r["cell"]] = r["n"], r["far"]
     owner = np.concatenate([np.full(len(r["d"]), r["cell"]) for r in close])
     radius = np.concatenate([np.asarray(r["d"]) for r in close])
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # squares of distances are rounded to the vectors' length, not to the distance
+    slack = 1e-6 * (np.sqrt((pivots * pivots).sum(1).max()) + far.max())
+    rows = max(256, min(SHELF_ROWS, SHELF // dim, max(2048, -(-n // 4))))
+    first, parts = _shelves(size, pivots, rows)
+    n_shelves = int((first + parts)[size > 0].max())
+    on = np.zeros((n_piv, n_shelves), np.float32)
+    for c in np.flatnonzero(size > 0):
+        on[c, first[c]:first[c] + parts[c]] = 1.0
+
+    def needed(d: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        return (d - far[None, :] <= bound[:, None] * (1 + 1e-9) + slack) & (size[None, :] > 0)
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b):
-                continue
-            d = np.sqrt(_sq_dist(np.stack(b["v"].to_numpy()), pivots))
-            reach = d[:, owner] + radius[None, :]
-            kth = min(k, reach.shape[1] - 1)  # position k, because the point itself is counted once
-            bound = np.partition(reach, kth, axis=1)[:, kth] if reach.shape[1] > k else np.full(len(b), np.inf)
-            row, cell = np.nonzero((d - far[None, :] <= bound[:, None] * (1 + 1e-9) + 1e-9) & (size[None, :] > 0))
-            yield pd.DataFrame({"id": b["id"].to_numpy()[row], "v": [b["v"].iloc[i] for i in row], "cell": cell.astype(np.int32)})
-
-    visits = durable(placed.select("id", "v").mapInPandas(visit, f"id {kind}, v array<double>, cell int"))
-    parts = placed.groupBy("cell").agg(F.ceil(n_rows() / BLOCK).alias("ns")).join(
-        visits.groupBy("cell").agg(F.ceil(n_rows() / BLOCK).alias("nq")), "cell")
-    zero = F.lit(0).cast("bigint")
-    span = lambda c: F.explode(F.sequence(zero, (F.col(c) - 1).cast("bigint")))
-    q = (visits.join(F.broadcast(parts), "cell").withColumn("qb", F.pmod(F.xxhash64("id"), F.col("nq"))).withColumn("sb", span("ns")))
-    s = (placed.select("id", "v", "cell").join(F.broadcast(parts), "cell").withColumn("sb", F.pmod(F.xxhash64("id"), F.col("ns"))).withColumn("qb", span("nq")))
-    cols = ["id", "v", "cell", "qb", "sb"]
-
-    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "neighbor_id": [], "d2": []})
-        qa, sb = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-        qi, si = a["id"].to_numpy(), b["id"].to_numpy()
-        d = _sq_dist(qa, sb)
-        d[qi[:, None] == si[None, :]] = np.inf
-        kk = min(k, d.shape[1]) - 1
-        cut = np.partition(d, kk, axis=1)[:, kk]
-        # shortlist with room for rounding, then exact differences decide
-        row, col = np.nonzero((d <= cut[:, None] * (1 + 1e-9) + 1e-9) & np.isfinite(d))
-        exact = ((qa[row] - sb[col]) ** 2).sum(1)
-        out = pd.DataFrame({"id": qi[row], "neighbor_id": si[col], "d2": exact}).sort_values(["id", "d2", "neighbor_id"])
-        return out.groupby("id", sort=False).head(k)
-
-    best = (q.select(*cols).groupBy("cell", "sb", "qb").cogroup(s.select(*cols).groupBy("cell", "sb", "qb"))
-            .applyInPandas(block, f"id {kind}, neighbor_id {kind}, d2 double"))
+            for part, v in slices(b, len(radius)):
+                d = np.sqrt(_sq_dist(v, pivots))
+                bound = np.full(len(v), np.inf)
+                if len(radius) > k:  # position k, because the point itself is counted once
+                    bound = np.partition(d[:, owner] + radius[None, :], k, axis=1)[:, k]
+                row, to = np.nonzero(needed(d, bound).astype(np.float32) @ on > 0)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(v)))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part["id"], part["v"], part["cell"], pa.array(bound), pa.ListArray.from_arrays(pa.array(ends), pa.array(to.astype(np.int32)))],
+                                                 ["id", "v", "cell", "bound", "visits"])
+
+    dealt = prof.sparkSession.createDataFrame([(int(c), int(first[c]), int(parts[c])) for c in np.flatnonzero(size > 0)], "cell int, _first int, _parts int")
+    asked = placed.select("id", "v", "cell").mapInArrow(visit, f"id {kind}, v array<double>, cell int, bound double, visits array<int>")
+    asked = durable(asked.join(F.broadcast(dealt), "cell").select(
+        "id", "v", "cell", "bound", "visits", (F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_parts"))).cast("int").alias("shelf")))
+    q = asked.select("id", "v", "cell", "bound", F.col("shelf").alias("qs"), F.explode("visits").alias("ss"))
+    pairs = durable(asked.select(F.col("shelf").alias("qs"), F.explode("visits").alias("ss")).distinct())  # shelves x shelves rows
+    own = lambda *cols: [F.col(c).alias(c) for c in cols]  # columns of their own, as both sides of the cogroup come from one table
+    s = asked.select(*own("id", "v", "cell"), F.col("shelf").alias("ss")).join(F.broadcast(pairs), "ss")
+
+    def block(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
+        if a.num_rows and b.num_rows:
+            a, b = a.sort_by("cell"), b.sort_by("cell")
+            qa, sb = _rows(a["v"], dim), _rows(b["v"], dim)
+            bound, cells = a["bound"].to_numpy(), b["cell"].to_numpy()
+            code = np.unique(np.concatenate([a["id"].to_numpy(), b["id"].to_numpy()]), return_inverse=True)[1]
+            qi, si = code[:a.num_rows], code[a.num_rows:]
+            step = max(1, AT_ONCE // max(len(sb), n_piv))
+            for at in range(0, len(qa), step):
+                x = qa[at:at + step]
+                need = needed(np.sqrt(_sq_dist(x, pivots)), bound[at:at + step]).any(0)[cells]
+                col = np.flatnonzero(need)
+                if not len(col):
+                    continue
+                y, yi = (sb, si) if need.all() else (sb[col], si[col])
+                d = _sq_dist(x, y)
+                d[qi[at:at + step, None] == yi[None, :]] = np.inf
+                # the k-th of some columns bounds the k-th of all; a shortlist with room for rounding, then exact differences decide
+                some = d[:, ::max(1, min(8, d.shape[1] // (8 * k)))]
+                cut = np.partition(some, k - 1, axis=1)[:, k - 1] if some.shape[1] >= k else np.full(len(x), np.inf)
+                room = 1e-12 * ((x * x).sum(1) + (y * y).sum(1).max())
+                r, c = np.nonzero((d <= (cut * (1 + 1e-9) + room)[:, None]) & np.isfinite(d))
+                del d, some
+                exact = np.empty(len(r))
+                for i in range(0, len(r), max(1, EXACT_AT_ONCE // dim)):
+                    j = slice(i, i + max(1, EXACT_AT_ONCE // dim))
+                    exact[j] = ((x[r[j]] - y[c[j]]) ** 2).sum(1)
+                order = np.lexsort((yi[c], exact, r))
+                r, c, exact = r[order], c[order], exact[order]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                out.append((at + r[keep], col[c[keep]], exact[keep]))
+        row, col, d2 = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table([a["id"].take(pa.array(row)), b["id"].take(pa.array(col)), pa.array(d2)], ["id", "neighbor_id", "d2"])
+
+    best = q.groupBy("qs", "ss").cogroup(s.groupBy("qs", "ss")).applyInArrow(block, f"id {kind}, neighbor_id {kind}, d2 double")
     best = top_n_per_group(best, "id", ["d2", "neighbor_id"], k)
     return rank_within(best, "id", ["d2", "neighbor_id"]).select("id", "neighbor_id", F.sqrt("d2").alias("dist"), "rank")
 
