@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import statistics
+
 import numpy as np
+import pytest
 
-from spatialframe.operators import vectors
+from spatialframe.operators import resample, vectors
 
 
 def counted(monkeypatch, module):
@@ -35,3 +39,24 @@ def test_knn_carries_each_point_once(spark, monkeypatch):
         d = np.sqrt(((v - v[i]) ** 2).sum(1))
         best = sorted((x, j) for j, x in enumerate(d) if j != i)[:4]
         assert [got[i][k] for k in (1, 2, 3, 4)] == [(j, round(x, 6)) for x, j in best], i
+
+
+def test_resamples_write_the_group_and_not_the_draws(spark, monkeypatch):
+    """Mean and median from the same resamples, equal to the draws redone by hand; no table has a row per draw."""
+    values = {"a": [float(i * i % 97) for i in range(700)], "b": [float("nan"), 2.0, 5.0, 1.0], "c": [7.0], "d": [3.0] * 2500}
+    rows = counted(monkeypatch, resample)
+    rows_of = [(g, f"{g}{i}", v) for g, vs in values.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows_of, "g string, id string, v double").repartition(3)
+    h = lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+    want = {}
+    for g, vs in values.items():
+        order = sorted((hashlib.md5(f"8|{g}{i}".encode()).hexdigest(), f"{g}{i}", v) for i, v in enumerate(vs) if v == v)
+        for rep in range(6):
+            drawn = [order[h(8, rep, g, i) % len(order)][2] for i in range(len(order))]
+            want[g, rep] = (statistics.fmean(drawn), statistics.median(drawn))
+    for k, stat in enumerate(("mean", "median")):
+        got = {(r.g, r.rep): r.stat for r in resample.bootstrap_draws(df, "g", "v", stat, 6, 8, "id").collect()}
+        assert got == {key: pytest.approx(w[k]) for key, w in want.items()}
+    ci = {(r.g, r.stat): (r.n, r.ci_lo is None) for r in resample.bootstrap_ci(df, "g", "v", ["mean", "median"], 6, 8, "id").collect()}
+    assert ci == {(g, s): (n, n < 3) for g, n in (("a", 700), ("b", 3), ("c", 1), ("d", 2500)) for s in ("mean", "median")}
+    assert max(rows) <= len(rows_of)
