@@ -7,7 +7,10 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from spatialframe.functions import ordering
+from spatialframe.functions.durable import durable
 from spatialframe.operators import resample, vectors
 
 
@@ -60,3 +63,23 @@ def test_resamples_write_the_group_and_not_the_draws(spark, monkeypatch):
     ci = {(r.g, r.stat): (r.n, r.ci_lo is None) for r in resample.bootstrap_ci(df, "g", "v", ["mean", "median"], 6, 8, "id").collect()}
     assert ci == {(g, s): (n, n < 3) for g, n in (("a", 700), ("b", 3), ("c", 1), ("d", 2500)) for s in ("mean", "median")}
     assert max(rows) <= len(rows_of)
+
+
+def test_percentiles_never_broadcast_the_values(spark):
+    """The values come from a small file and are many times larger in memory; what goes to every executor is one row per group."""
+    src = durable(spark.range(60_000).select((F.col("id") % 3).cast("string").alias("g"), (F.col("id") % 5).cast("double").alias("v")))
+    q = ordering.exact_percentiles(src, "g", {"m": ("v", .5)})
+    assert {r.g: r.m for r in q.collect()} == {"0": 2.0, "1": 2.0, "2": 2.0}
+    sizes, todo = [], [q._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if node.nodeName() == "BroadcastExchange":
+            sizes.append(node.metrics().apply("numOutputRows").value())
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    assert sizes and max(sizes) <= 3, sizes
