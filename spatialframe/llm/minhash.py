@@ -19,6 +19,7 @@ has a class for each of them, and rows that repeat an id and its text are one do
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -26,7 +27,7 @@ from spatialframe.functions.components import component_roots
 from spatialframe.functions.durable import Scratch
 
 from .ranking import global_index
-from .words import WordHash, lists, map_arrow, map_texts, mix, packed, signed, split_words, unpacked, window_hashes
+from .words import WordHash, bloom_of, in_bloom, lists, map_arrow, map_texts, mix, packed, signed, split_words, unpacked, window_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5            # a pair at 0.8 is missed once in 14,000, whatever its repetitions
@@ -124,6 +125,18 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return map_texts(docs, run, "doc long, copy string, bands array<long>")
 
 
+def _texts_of(base: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of ``nodes`` (node, copy, least). Only their own texts are shuffled: a Bloom filter of fixed size leaves out most others where they are
+    read, and the join that follows leaves out the rest."""
+    bloom = bloom_of(nodes.select(F.xxhash64("least", "copy").alias("h")), "h")
+
+    @F.pandas_udf("boolean")
+    def wanted(h: pd.Series) -> pd.Series:
+        return pd.Series(in_bloom(bloom, h.to_numpy().view(np.uint64)))
+    own = base.where(wanted(F.xxhash64("doc", "copy")))
+    return own.join(nodes, (own["copy"] == nodes["copy"]) & (F.col("doc") == F.col("least"))).select("node", "text")
+
+
 def _sets(texts: DataFrame) -> DataFrame:
     """(node, shingles, weights adding up to 1) of texts (node, text)."""
     words = WordHash()
@@ -199,7 +212,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, similarity: float = SIMIL
     full = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
     buckets = scratch.keep(rows.join(full, "bucket").distinct(), "buckets")
     meeting = scratch.keep(buckets.select("node").distinct().join(nodes, "node"), "meeting")
-    sets = scratch.keep(_sets(base.join(meeting, (base["copy"] == meeting["copy"]) & (F.col("doc") == F.col("least")))).dropDuplicates(["node"]), "sets")
+    sets = scratch.keep(_sets(_texts_of(base, meeting)).dropDuplicates(["node"]), "sets")
     scratch.drop("texts", "meeting")
 
     # every text of a bucket against the one that meets most others in all its buckets: of near copies, the least changed

@@ -333,6 +333,39 @@ def test_an_id_with_several_texts_loses_none(spark, turn):
     assert {(x["doc_id"], x["text"]) for x in minhash.keep_one(docs).collect()} == {(1, a), (2, b), (3, c)}
 
 
+def test_only_texts_that_meet_another_are_shuffled(spark, monkeypatch):
+    """Two near copies and an exact one among 400 texts that meet none: the join that fetches the texts to compare moves few others."""
+    r = np.random.default_rng(9)
+    texts = [words(r, 300, 4000) for _ in range(400)]
+    texts += [texts[0] + " end", texts[1] + " end", texts[0]]
+    moved, real = [], minhash._sets
+
+    def sets(meeting):
+        meeting.collect()
+        todo = [meeting._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "AdaptiveSparkPlan":
+                todo.append(node.executedPlan())
+                continue
+            if node.nodeName() == "Exchange":
+                moved.append(node.metrics().apply("shuffleRecordsWritten").value())
+            if node.nodeName().endswith("QueryStage"):
+                todo.append(node.plan())
+            kids = node.children()
+            todo.extend(kids.apply(i) for i in range(kids.size()))
+        return real(meeting)
+    monkeypatch.setattr(minhash, "_sets", sets)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = classes(spark.createDataFrame([(i, t, "", "", 0, "", "", "") for i, t in enumerate(texts)], DOC))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == {i: {400: 0, 401: 1, 402: 0}.get(i, i) for i in range(403)}
+    assert moved and max(moved) <= 8, moved
+
+
 def test_signatures_estimate_probability_jaccard():
     a, b = np.arange(1, 301, dtype=np.uint64), np.arange(61, 361, dtype=np.uint64)
     from spatialframe.llm.words import mix
