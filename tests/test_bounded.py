@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spatialframe.functions import ordering
 from spatialframe.functions.durable import durable
-from spatialframe.operators import resample, vectors
+from spatialframe.operators import graph, resample, vectors
 
 
 def counted(monkeypatch, module):
@@ -83,3 +83,43 @@ def test_percentiles_never_broadcast_the_values(spark):
         kids = node.children()
         todo += [kids.apply(i) for i in range(kids.size())]
     assert sizes and max(sizes) <= 3, sizes
+
+
+def test_components_go_on_with_the_few_roots_that_differ(spark, monkeypatch):
+    """A winding chain of clumps: after one pass over all edges, no table of the rounds has a row per clump."""
+    side = 40
+    place = [(x if y % 2 == 0 else side - 1 - x, y) for y in range(0, side) for x in range(side) if y % 2 == 0 or x == 0]
+    clump = [(x << 32) + y + 2 ** 31 for x, y in place]
+    rows, real = [], graph.Scratch.keep
+
+    def keep(self, df, name):
+        out = real(self, df, name)
+        rows.append((name, out.count()))
+        return out
+    monkeypatch.setattr(graph.Scratch, "keep", keep)
+    sites = spark.createDataFrame([(1, c, 1, 0) for c in clump], "g int, clump long, n_lig int, n_rec int")
+    edges = spark.createDataFrame([(1, a, b) for a, b in zip(clump, clump[1:])], "g int, a_clump long, b_clump long").repartition(3)
+    got = graph.clump_labels(sites, edges, "g").select("clump", "component").collect()
+    assert {r.component for r in got} == {min(clump)} and len(got) == len(clump)
+    later = [n for name, n in rows if name == "edges"][1:]
+    assert later and max(later) <= len(clump) // 20, rows
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_of_small_batches(spark, kind):
+    """Random graphs of several groups, with edges spread over many batches, against labels spread by hand."""
+    rng = np.random.default_rng(5)
+    name = (lambda i: int(i) * 7 - 300) if kind == "long" else (lambda i: f"é{i * 37 % 101}x{i}")
+    edges = [(str(g), name(a), name(b)) for g in range(3) for a, b in rng.integers(0, 120, (70 + 20 * g, 2))]
+    nodes = [(str(g), name(i)) for g in range(4) for i in range(120)]
+    want = {x: x[1] for x in nodes}
+    for _ in range(120):
+        for g, a, b in edges:
+            want[g, a] = want[g, b] = min(want[g, a], want[g, b])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = graph.connected_components(spark.createDataFrame(edges, f"g string, src {kind}, dst {kind}"), spark.createDataFrame(nodes, f"g string, node {kind}"), "g").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(r.g, r.node): r.component for r in got} == want
