@@ -123,3 +123,30 @@ def test_components_of_small_batches(spark, kind):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert {(r.g, r.node): r.component for r in got} == want
+
+
+def test_draws_do_not_shuffle_the_pairs(spark):
+    """300 sites that all meet each other, from one file: the sites go to their cells with their draws, and the 44,850 pairs stay where they are found."""
+    df = spark.createDataFrame([(0, i, i * 1e-3, 0.0, "TAM" if i % 2 else "T", int(i % 3 == 0), int(i % 4 == 0)) for i in range(300)],
+                               "g int, id long, x double, y double, cell_type string, lig int, rec int").coalesce(1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        q = resample.permutation_null(df, ("lig", "TAM", "rec", "T"), 1.0, 4, 3, "g", "id")
+        got = [r.n_mixed_edges for r in q.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [50 * 75] * 4
+    moved, todo = [], [q._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if node.nodeName() == "Exchange":
+            moved.append(node.metrics().apply("shuffleRecordsWritten").value())
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    assert moved and max(moved) <= 5 * 300, moved
