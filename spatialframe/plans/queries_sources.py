@@ -71,9 +71,10 @@ def _(spark, sf):
     p = V.profiles(spark, sf)
     n = p.count()
     body = (p.select("vec_id", F.posexplode("embedding").alias("g", "v")).withColumn("v", F.round(F.col("v").cast("double"), 6)).where("v <> 0")
-            .select((F.col("vec_id") * 64 + F.col("g")).alias("k"), F.concat_ws(" ", F.col("g") + 1, F.col("vec_id") + 1, F.format_string("%.6f", "v")).alias("value")))
+            .select(F.concat_ws(" ", F.col("g") + 1, F.col("vec_id") + 1, F.format_string("%.6f", "v")).alias("value")))
     lines = lambda rows: spark.createDataFrame(rows, "k long, value string")
-    in_order(lines([(-2, "%%MatrixMarket matrix coordinate real general"), (-1, f"64 {n} {body.count()}")]).unionByName(body), f"{path}/mtx")
+    in_order(lines([(-2, "%%MatrixMarket matrix coordinate real general"), (-1, f"64 {n} {body.count()}")]), f"{path}/mtx")
+    body.write.mode("append").text(f"{path}/mtx")  # triples have no order: no task holds them all
     in_order(lines([(i, f"g{i // 2}") for i in range(64)]), f"{path}/names")
     in_order(lines([(-1, "id")]).unionByName(p.select(F.col("vec_id").alias("k"), F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("value"))), f"{path}/meta")
     one = lambda d: f"{path}/{d}/part-*"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.durable import durable
+
 
 def read_table_text(spark: SparkSession, path: str, schema, sep: str = "\t") -> DataFrame:
     """TSV/CSV with a header and a declared schema (no inference pass over the data)."""
@@ -88,19 +90,26 @@ def read_mtx(spark: SparkSession, mtx: str, names: str, meta: str, partitions: i
     """MatrixMarket triples with names and metadata -> (cell_id, feature, count).
 
     The matrix is turned so that cells are rows, whichever way it was stored; a shape that fits neither way stops the
-    job. A compressed matrix is one split: pass ``partitions`` to spread it after reading.
+    job. A compressed matrix is one split: pass ``partitions`` to spread it after reading. ``mtx`` may name several files, one of which has the banner
+    and the size line; the others hold triples only.
     """
     gene = unique_names(_numbered(spark.read.text(names, wholetext=True)).select("index", F.trim(F.split("line", "\t")[0]).alias("feature")))
     cell = _numbered(spark.read.text(meta, wholetext=True)).where("index > 0").select((F.col("index") - 1).alias("index"), F.split("line", "\t")[0].alias("cell_id"))
-    lines = spark.read.text(mtx).where(~F.col("value").startswith("%")).select(
-        F.split(F.trim("value"), r"\s+").alias("p"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_seq"))
-    # the size line is the first one of the first block
-    top = lines.where("_at = 0").orderBy("_seq").limit(1).first()
-    n_r, n_c = int(top["p"][0]), int(top["p"][1])
-    body = lines.where(~((F.col("_at") == 0) & (F.col("_seq") == top["_seq"])))
+    gene, cell = durable(gene), durable(cell)  # their sizes are known: the triples aren't shuffled to meet a small one
+    raw = spark.read.text(mtx).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_seq"))
+    triple = ~F.col("value").startswith("%")
+    # the size line is the first one after the comments in the first block of the file with the banner
+    heads = raw.where("_at = 0").groupBy("_file").agg(F.min_by("value", "_seq").alias("banner"), F.min(F.when(triple, F.struct("_seq", "value"))).alias("top"))
+    first = heads.where(F.col("banner").startswith("%%MatrixMarket")).limit(2).collect()
+    if len(first) > 1:
+        raise ValueError(f"several files with a banner: {', '.join(r['_file'] for r in first)}")
+    head = first[0] if first else heads.where("top is not null").orderBy("top").first()
+    n_r, n_c = (int(v) for v in head["top"]["value"].split()[:2])
+    body = raw.where(triple & ~((F.col("_file") == head["_file"]) & (F.col("_at") == 0) & (F.col("_seq") == head["top"]["_seq"])))
     if partitions:
         body = body.repartition(partitions)
-    t = body.select(*[F.col("p")[i].cast("double").alias(c) for i, c in enumerate("ijv")])
+    p = F.split(F.trim("value"), r"\s+")
+    t = body.select(*[p[i].cast("double").alias(c) for i, c in enumerate("ijv")])
     n_gene, n_cell = gene.count(), cell.count()
     if (n_r, n_c) == (n_gene, n_cell) and n_gene != n_cell:
         g, c = "i", "j"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spatialframe.functions import ordering
 from spatialframe.functions.durable import durable
 from spatialframe.operators import graph, resample, vectors
+from spatialframe.sources import text
 
 
 def counted(monkeypatch, module):
@@ -150,3 +151,19 @@ def test_draws_do_not_shuffle_the_pairs(spark):
         kids = node.children()
         todo += [kids.apply(i) for i in range(kids.size())]
     assert moved and max(moved) <= 5 * 300, moved
+
+
+def test_matrix_in_several_files(spark, tmp_path):
+    """The size line is that of the file with the banner, wherever Spark reads it; a matrix need not be one file, so no task need hold it to write it."""
+    files = {"a": "1 2 0.5\n2 1 -3\n" * 200, "b": "%%MatrixMarket matrix coordinate real general\n% note\n2 3 402\n", "c": "2 3 4\n1 1 7\n"}
+    (tmp_path / "m").mkdir()
+    for k, v in files.items():
+        (tmp_path / "m" / k).write_text(v)
+    (tmp_path / "names").write_text("g\nh\n")
+    (tmp_path / "meta").write_text("id\nx\ny\nz\n")
+    read = lambda: text.read_mtx(spark, str(tmp_path / "m" / "*"), str(tmp_path / "names"), str(tmp_path / "meta"))
+    got = read().groupBy("cell_id", "feature", "count").count().collect()
+    assert {tuple(r) for r in got} == {("y", "g", 0.5, 200), ("x", "h", -3.0, 200), ("z", "h", 4.0, 1), ("x", "g", 7.0, 1)}
+    (tmp_path / "m" / "d").write_text(files["b"])
+    with pytest.raises(ValueError, match="several files with a banner"):
+        read()
