@@ -24,7 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .words import bloom_of, in_bloom, lists, map_arrow, map_texts, mix, packed, signed, split_words, unpacked, window_hashes
+from spatialframe.functions.durable import durable
+
+from .words import bloom_of, in_bloom, lists, map_arrow, map_texts, mix, packed, signed, split_words, unpacked, window_hashes, without
 
 WINDOW, LITERALS, COVER = 8, 4, 13
 #: Units that a value may carry.
@@ -185,6 +187,6 @@ def find_leaks(docs: DataFrame, bench: DataFrame, cover: int = COVER) -> DataFra
 
 def drop_leaks(docs: DataFrame, bench: DataFrame, cover: int = COVER) -> DataFrame:
     """The documents that no item contaminates, with their columns unchanged."""
-    leaks = find_leaks(docs, bench, cover).select(F.col("doc_id").alias("i"), F.col("key").alias("k")).distinct()
+    leaks = durable(find_leaks(docs, bench, cover).select(F.col("doc_id").alias("doc"), "key").distinct())
     rows = packed(docs, doc=F.col("doc_id").cast("long"), key=F.xxhash64("text"))
-    return unpacked(rows.join(leaks, F.col("doc").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_anti"))
+    return unpacked(without(rows, leaks, ["doc", "key"]))

@@ -27,7 +27,7 @@ from spatialframe.functions.components import component_roots
 from spatialframe.functions.durable import Scratch
 
 from .ranking import global_index
-from .words import WordHash, bloom_of, in_bloom, lists, map_arrow, map_texts, mix, packed, signed, split_words, unpacked, window_hashes
+from .words import WordHash, bloom_of, in_bloom, lists, map_arrow, map_texts, mix, packed, signed, split_words, unpacked, window_hashes, without
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5            # a pair at 0.8 is missed once in 14,000, whatever its repetitions
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, similarity: float = SIMIL
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, that with its smallest id, with all columns; rows without an id are kept."""
     scratch = Scratch(docs.sparkSession)
-    gone = near_duplicates(docs, scratch, similarity).where("not kept").select(F.col("doc_id").alias("gone"), F.col("text_md5").alias("gone_text"))
+    gone = near_duplicates(docs, scratch, similarity).where("not kept").select(F.col("doc_id").alias("doc"), F.col("text_md5").alias("copy"))
     scratch.close("classes")
     rows = packed(docs, doc=F.col("doc_id").cast("long"), copy=F.md5("text"))
-    return unpacked(rows.join(gone, (F.col("doc") == F.col("gone")) & F.col("copy").eqNullSafe(F.col("gone_text")), "left_anti"))
+    return unpacked(without(rows, gone, ["doc", "copy"]))

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .words import draw_labelled, map_arrow, map_texts, slices
+from .words import draw_labelled, map_arrow, map_texts, slices, small_batches
 
 WIDTH, PAIRS = 8, 4            # bytes and byte pairs under a filter
 POSITIONS = 125                # filter positions of a chunk of 256 bytes
@@ -203,4 +203,4 @@ def filter_quality(docs: DataFrame, net: Network, threshold: float = 0.3) -> Dat
                     if pc.any(keep).as_py():
                         yield pa.RecordBatch.from_arrays([c.filter(keep) for c in row.flatten()], names)
             pa.default_memory_pool().release_unused()
-    return rows.mapInArrow(Scorer().__call__, kind)
+    return small_batches(rows).mapInArrow(Scorer().__call__, kind)

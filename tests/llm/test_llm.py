@@ -7,11 +7,13 @@ import zlib
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spatialframe.functions.durable import Scratch
 from spatialframe.llm import chat, decontaminate, embedding, langid, minhash, mixing, phrases, quality, queries, toxicity, urls
+from spatialframe.llm.words import map_texts
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, __k string, size string, root string"
@@ -366,6 +368,52 @@ def test_only_texts_that_meet_another_are_shuffled(spark, monkeypatch):
     assert moved and max(moved) <= 8, moved
 
 
+def shuffled_rows(df):
+    """The most rows that an exchange of ``df`` writes."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if node.nodeName() == "Exchange":
+            most = max(most, node.metrics().apply("shuffleRecordsWritten").value())
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        kids = node.children()
+        todo.extend(kids.apply(i) for i in range(kids.size()))
+    return most
+
+
+def test_only_documents_that_may_go_are_shuffled(spark):
+    """The steps that drop near copies and leaks move the documents in question, not all of them; null ids and texts are keys like others."""
+    r = np.random.default_rng(12)
+    texts = [words(r, 300, 4000) for _ in range(400)]
+    item = words(r, 40, 4000)
+    rows = [*enumerate(texts), (400, texts[0] + " end"), (401, texts[0]), (402, None), (None, None), (None, texts[1]), (403, item + " " + words(r, 300, 4000)), (None, item)]
+    docs = spark.createDataFrame([(i, t, "", "", 0, "", "", "") for i, t in rows], DOC)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one, clean = minhash.keep_one(docs), decontaminate.drop_leaks(docs, bench)
+        moved = shuffled_rows(one), shuffled_rows(clean)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert max(moved) <= 20, moved
+    ids = lambda df: sorted(str(x["doc_id"]) for x in df.select("doc_id").collect())
+    assert ids(one) == sorted(str(i) for i, _ in rows if i not in (400, 401))
+    assert ids(clean) == sorted(str(i) for i, t in rows if item not in (t or ""))
+
+
+def test_batches_of_texts_are_bounded_in_bytes(spark):
+    """What lies in memory at once is a few MB of text, whatever the number of rows."""
+    docs = spark.range(3000).repartition(1).select(F.repeat(F.lit("word "), 1000).alias("text"))
+    read = lambda b: [pa.RecordBatch.from_arrays([pa.array([sum(x.size for x in b.column(0).buffers() if x)])], ["size"])]
+    assert max(x["size"] for x in map_texts(docs, read, "size long").collect()) < 8 << 20
+
+
 def test_signatures_estimate_probability_jaccard():
     a, b = np.arange(1, 301, dtype=np.uint64), np.arange(61, 361, dtype=np.uint64)
     from spatialframe.llm.words import mix
